@@ -156,7 +156,7 @@ oa AS (
   GROUP BY o_custkey
 ),
 codes AS (
-  SELECT l_orderkey, string_agg(code, ', ' ORDER BY l_linenumber) AS icd
+  SELECT l_orderkey, string_agg(code, ', ' ORDER BY l_linenumber, code) AS icd
   FROM (SELECT l_orderkey, l_linenumber,
           CASE WHEN l_linenumber = 1
                THEN substr('IQZ', CAST(l_partkey % 3 + 1 AS INTEGER), 1) || lpad(CAST(l_suppkey % 100 AS VARCHAR), 2, '0')
