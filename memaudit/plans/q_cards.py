@@ -34,12 +34,17 @@ def _comma_list(col: str) -> str:
 
 def typed_sql() -> str:
     """profile CTEs + ``typed``: the parsed record table."""
+    return profile_sql() + typed_cte()
+
+
+def typed_cte() -> str:
+    """``typed``: the parsed record table (needs the profile CTEs before it)."""
     slots = []
     for n in SLOTS:
         slots.append(f"""present{n}, {sqlx.num(sqlx.ident(f'surg_{n}_age'))} AS sage{n}, cats{n},
       {sqlx.clean_free_text(sqlx.ident(f'surg_{n}_type'))} AS stype{n},
       {sqlx.clean_free_text(sqlx.ident(f'surg_{n}_others'))} AS sother{n}""")
-    return profile_sql() + f""",
+    return f""",
 typed AS (
   SELECT s.patient_id,
       {_strip_or_null('Sex')} AS sex,
@@ -171,9 +176,13 @@ def card_sql(mode: str) -> str:
 
 def cards_sql_cte(modes=cards.MODES) -> str:
     """typed CTEs + ``cards(patient_id, mode, text, ...meta)``."""
+    return typed_sql() + cards_cte(modes)
+
+
+def cards_cte(modes=cards.MODES, name: str = "cards") -> str:
     parts = [f"SELECT patient_id, '{m}' AS mode, {card_sql(m)} AS text, sex, pathogenic_gene, vus_gene, "
              f"reop_flag AS underwent_reoperation, mortality, icd10_raw AS icd10_codes FROM typed" for m in modes]
-    return typed_sql() + ",\ncards AS (\n" + "\nUNION ALL\n".join(parts) + "\n)"
+    return f",\n{name} AS (\n" + "\nUNION ALL\n".join(parts) + "\n)"
 
 
 # ------------------------------------------------------------------ queries

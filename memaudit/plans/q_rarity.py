@@ -76,8 +76,8 @@ PHEN = "aneurysm, aas, comp, bav"
 TRAJ = "n_surg, cats, reop"
 
 
-def scored_sql() -> str:
-    return profile_sql() + f""",
+def scored_ctes() -> str:
+    return f""",
 scored AS (
   SELECT patient_id,
       count(*) OVER (PARTITION BY {GEN}, {PHEN}, {TRAJ}) AS k_full,
@@ -95,17 +95,27 @@ strata AS (
 )"""
 
 
-SPLITS_SQL = scored_sql() + f""",
+def scored_sql() -> str:
+    return profile_sql() + scored_ctes()
+
+
+def splits_ctes() -> str:
+    """``ranked`` + ``splits`` (the D4 table, doubles rounded to 9 places)."""
+    return f""",
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY rarity_group ORDER BY md5('{SEED}:' || patient_id), patient_id) AS rn,
          count(*) OVER (PARTITION BY rarity_group) AS n
   FROM strata
-)
+),
+splits AS (
 SELECT patient_id,
        CASE WHEN rn <= (CASE WHEN n = 1 THEN 0 ELSE greatest(1, floor(n * 0.2::DOUBLE)) END) THEN 'test' ELSE 'train' END AS split,
        rarity_group, round(I_gen, 9) AS I_gen, round(I_phen, 9) AS I_phen, round(I_traj, 9) AS I_traj,
        round(I_total, 9) AS I_total, k_full
-FROM ranked"""
+FROM ranked)"""
+
+
+SPLITS_SQL = scored_sql() + splits_ctes() + "\nSELECT * FROM splits"
 
 
 def _r9(df, cols):

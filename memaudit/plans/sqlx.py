@@ -4,6 +4,9 @@ cell semantics; string templates only)."""
 from __future__ import annotations
 
 
+EMPTY = "''"
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -74,3 +77,71 @@ def is_blank(x: str) -> str:
 
 def r9(x: str) -> str:
     return f"round({x}, 9)"
+
+
+# ------------------------------------------------------------------ text-match snippets
+def normalize(x: str) -> str:
+    """Lower, drop non-word/non-space (Unicode letters/digits/_ kept), collapse spaces."""
+    y = f"regexp_replace(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')"
+    return strip(f"regexp_replace({y}, '\\s+', ' ', 'g')")
+
+
+def tokens(n: str) -> str:
+    return f"(CASE WHEN {n} = '' THEN []::VARCHAR[] ELSE list_distinct(string_split({n}, ' ')) END)"
+
+
+def jaccard(a: str, b: str) -> str:
+    inter = f"len(list_intersect({a}, {b}))"
+    union = f"len(list_distinct(list_concat({a}, {b})))"
+    return (f"(CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0::DOUBLE WHEN len({a}) = 0 OR len({b}) = 0 "
+            f"THEN 0.0::DOUBLE ELSE {inter} / ({union})::DOUBLE END)")
+
+
+def concepts(x: str, vocab_list) -> str:
+    parts = ", ".join(f"CASE WHEN contains(lower(coalesce({x}, '')), {q(c.lower())}) THEN {q(c)} END" for c in vocab_list)
+    return f"list_filter([{parts}], lambda v: v IS NOT NULL)"
+
+
+def field_value(block: str, label: str, default: str) -> str:
+    pat = q(label + ":\\s*(.+)")
+    return (f"(CASE WHEN regexp_matches(coalesce({block}, ''), {pat}) "
+            f"THEN {strip(f'regexp_extract(coalesce({block}, {EMPTY}), {pat}, 1)')} "
+            f"ELSE {q(default)} END)")
+
+
+def gene_target(block: str) -> str:
+    v1 = f"lower({field_value(block, 'Pathogenic variant', 'None identified')})"
+    v2 = f"lower({field_value(block, 'VUS', 'None identified')})"
+    return (f"(CASE WHEN {v1} NOT IN ('none identified', 'present') THEN {v1} "
+            f"WHEN {v2} NOT IN ('none identified', 'present') THEN {v2} END)")
+
+
+def size_value(block: str, label: str) -> str:
+    pat = q(label + ":\\s*([\\d\\.]+)\\s*mm")
+    return (f"(CASE WHEN regexp_matches(coalesce({block}, ''), {pat}) "
+            f"THEN {strip(f'regexp_extract(coalesce({block}, {EMPTY}), {pat}, 1)')} ELSE '' END)")
+
+
+def gen_lower(g: str) -> str:
+    return f"lower({strip(f'coalesce({g}, {EMPTY})')})"
+
+
+def code_set(raw: str, upper: bool = False) -> str:
+    case = "upper" if upper else "lower"
+    s = f"coalesce(CAST({raw} AS VARCHAR), '')"
+    items = f"list_transform(string_split({s}, ','), lambda c: {case}({strip('c')}))"
+    return (f"(CASE WHEN lower({strip(s)}) IN ('', 'none recorded', 'none') THEN []::VARCHAR[] "
+            f"ELSE list_sort(list_distinct(list_filter({items}, lambda c: c <> ''))) END)")
+
+
+def extract_codes(t: str) -> str:
+    found = f"regexp_extract_all(coalesce({t}, ''), '\\b([A-Za-z]\\d{{2}}(?:\\.\\d{{1,4}})?)\\b', 1)"
+    return f"list_distinct(list_transform({found}, lambda c: upper(c)))"
+
+
+def code3(c: str) -> str:
+    return f"upper(split_part({c}, '.', 1))"
+
+
+def n_commas(x: str) -> str:
+    return f"(length({x}) - length(replace({x}, ',', '')))"
