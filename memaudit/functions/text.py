@@ -124,10 +124,10 @@ def gene_guarded(gen_l, target, escape: bool = True) -> Column:
     p1 = F.concat(F.lit(PY + r"(?:pathogenic variant|vus|variant|mutation)[:\-\s]+(?:potential\s+)?"), q, F.lit(r"\b"))
     p2 = F.concat(F.lit(PY + r"(?:pathogenic|vus|variant|mutation).{1,30}"), q, F.lit(r"\b"))
     p3 = F.concat(F.lit(PY), q, F.lit(r"\b.{1,30}(?:pathogenic|vus|variant|mutation)"))
-    idx0 = F.locate(t, g) - 1
+    idx0 = F.position(t, g) - 1
     ctx = _ctx(g, idx0 - 50, F.least(F.length(g), idx0 + 50))
     guard = (_n_commas(ctx) < 3) & ~ctx.contains("such as") & ~ctx.contains("include")
-    regex_hit = g.rlike(p1) | g.rlike(p2) | g.rlike(p3)
+    regex_hit = F.regexp_like(g, p1) | F.regexp_like(g, p2) | F.regexp_like(g, p3)
     pre = t.isNotNull() & (t != "") & g.contains(t) if escape else t.isNotNull() & (t != "")
     return F.coalesce(F.when(pre, regex_hit & guard), F.lit(False))
 

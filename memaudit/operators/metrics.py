@@ -50,16 +50,30 @@ def membership_auc(df: DataFrame, group: str = "model", label: Column | None = N
                                     F.col("_u") / (F.col("_p") * F.col("_n"))).alias("auc"))
 
 
-def paired_table(success: DataFrame, a: str, b: str, models_col: str = "model") -> DataFrame:
-    """A25 + J6: 2x2 counts for the pair (a, b) over patients present for every model.
-
-    ``success``: (model, patient_id, success 0/1). Pivot with explicit values (one shuffle);
-    common patients = all pivoted cells non-NULL."""
-    wide = success.groupBy("patient_id").pivot(models_col, [a, b]).agg(F.max("success"))
-    wide = wide.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    sa, sb = F.col(a) == 1, F.col(b) == 1
-    return wide.agg(F.count_if(sa & sb).alias("both"), F.count_if(sa & ~sb).alias("only_a"),
-                    F.count_if(~sa & sb).alias("only_b"), F.count_if(~sa & ~sb).alias("neither"))
+def paired_tables(success: DataFrame, pairs: list[tuple[str, str]], models: list[str],
+                  keys: list[str] | None = None) -> DataFrame:
+    """A25 + J6: 2x2 counts per model pair over the patients present for *every* model.
+
+    ``success``: (model, patient_id, success 0/1 [, keys...]). One pivot with explicit
+    values (one shuffle); common patients = no NULL cell. Cells follow the
+    table[not a][not b] layout: n_both, n_only_a, n_only_b, n_neither."""
+    keys = keys or []
+    wide = success.groupBy(*keys, "patient_id").pivot("model", models).agg(F.max("success"))
+    common = F.lit(True)
+    for m in models:
+        common = common & F.col(m).isNotNull()
+    wide = wide.filter(common)
+    rows = []
+    for a, b in pairs:
+        sa, sb = F.col(a) == 1, F.col(b) == 1
+        rows.append(wide.groupBy(*keys).agg(
+            F.lit(a).alias("model_a"), F.lit(b).alias("model_b"),
+            F.count_if(sa & sb).alias("n_both"), F.count_if(sa & ~sb).alias("n_only_a"),
+            F.count_if(~sa & sb).alias("n_only_b"), F.count_if(~sa & ~sb).alias("n_neither")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.withColumn("p_value", mcnemar_exact(F.col("n_only_a"), F.col("n_only_b")))
 
 
 def mcnemar_exact(b: Column, c: Column) -> Column:
