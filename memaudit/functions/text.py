@@ -140,8 +140,8 @@ def gene_canary(gen_l, gene) -> Column:
             F.concat(F.lit(PY), q, F.lit(r".{1,30}(?:pathogenic|vus|variant)"))]
     ok = F.lit(False)
     for p in pats:
-        start0 = F.regexp_instr(g, p) - 1
-        span = F.length(F.regexp_extract(g, p, 0))
+        start0 = F.call_function("regexp_instr", g, p) - 1  # column pattern
+        span = F.length(F.call_function("regexp_extract", g, p, F.lit(0)))
         ctx = _ctx(g, start0 - 50, start0 + span + 50)
         good = (start0 >= 0) & ~ctx.contains("such as") & ~ctx.contains("include") & (_n_commas(ctx) < 4)
         ok = ok | F.coalesce(good, F.lit(False))
