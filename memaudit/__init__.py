@@ -8,6 +8,6 @@ Layout:
   streaming/  incremental (append + resume) scoring with Structured Streaming
 """
 
-from memaudit.session import get_spark, checkpoint_dir, materialize
+from memaudit.session import checkpoint_dir, get_spark, materialize, spread
 
-__all__ = ["get_spark", "checkpoint_dir", "materialize"]
+__all__ = ["get_spark", "checkpoint_dir", "materialize", "spread"]

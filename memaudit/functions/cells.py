@@ -25,9 +25,14 @@ def map_lit(mapping: dict) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in mapping.items()))
 
 
+# Characters Python's str.isspace() accepts (Unicode White_Space plus the ASCII separators).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: Unicode whitespace (NBSP included) on both ends."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: Unicode whitespace (NBSP included) on both ends (btrim, no regex)."""
+    return F.btrim(col(c), F.lit(PY_WHITESPACE))
 
 
 def normalize_na(c, tokens=vocab.NA_TOKENS) -> Column:

@@ -23,7 +23,7 @@ PY = "(?dU)"  # Python-like: Unicode classes, only \n ends a line
 def normalize(t) -> Column:
     """M1: lower -> drop non-word/non-space (Unicode) -> collapse whitespace; NULL -> ''."""
     x = F.lower(F.coalesce(col(t), F.lit("")))
-    x = F.regexp_replace(x, PY + r"[^\w\s]", "")
+    x = F.regexp_replace(x, PY + r"[^\w\s]+", "")
     x = F.regexp_replace(x, PY + r"\s+", " ")
     return py_strip(x)
 
@@ -49,9 +49,12 @@ def collapse_hit(norm_gen, norm_expected, empty_is_hit: bool = True) -> Column:
     return hit if empty_is_hit else hit & (col(norm_expected) != "")
 
 
-def concept_set(t, concepts=vocab.SURGERY_CONCEPTS_12) -> Column:
-    """M4: concepts (fixed vocabulary order) whose lower-case form occurs in the text."""
-    low = F.lower(F.coalesce(col(t), F.lit("")))
+def concept_set(t, concepts=vocab.SURGERY_CONCEPTS_12, lowered: bool = False) -> Column:
+    """M4: concepts (fixed vocabulary order) whose lower-case form occurs in the text.
+
+    Pass an already lower-cased column with ``lowered=True`` so the text is not
+    lower-cased once per phrase."""
+    low = F.coalesce(col(t), F.lit("")) if lowered else F.lower(F.coalesce(col(t), F.lit("")))
     hits = [F.when(low.contains(c.lower()), F.lit(c)) for c in concepts]
     return F.array_compact(F.array(*hits))
 

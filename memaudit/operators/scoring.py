@@ -31,14 +31,18 @@ def completion_scores(gens: DataFrame, truth: DataFrame, concepts=vocab.SURGERY_
     and the mean token Jaccard (reconstruction).
 
     ``truth``: (model, patient_id, expected) — the expected completion per model."""
-    t = truth.select(*KEY, T.normalize("expected").alias("_ne"), T.concept_set("expected", concepts).alias("_ce"))
-    t = t.withColumn("_te", T.token_set("_ne"))
-    g = gens.select(*KEY, "gen_idx", T.normalize("gen").alias("_ng"), T.concept_set("gen", concepts).alias("_cg"))
+    # staged projections: each derived text column is computed once per row and then
+    # referenced as an attribute (no re-evaluation inside the later expressions)
+    t = truth.select(*KEY, T.normalize("expected").alias("_ne"), F.lower("expected").alias("_le"))
+    t = t.select(*KEY, "_ne", T.token_set("_ne").alias("_te"), T.concept_set("_le", concepts, lowered=True).alias("_ce"))
+    g = gens.select(*KEY, "gen_idx", T.normalize("gen").alias("_ng"), F.lower("gen").alias("_lg"))
+    g = g.select(*KEY, "gen_idx", "_ng", T.token_set("_ng").alias("_tg"),
+                 T.concept_set("_lg", concepts, lowered=True).alias("_cg"))
     j = g.join(t, KEY)
     per = j.select(*KEY,
                    T.collapse_hit("_ng", "_ne", empty_is_hit).cast("int").alias("_collapse"),
                    (F.col("_cg") == F.col("_ce")).cast("int").alias("_combo"),
-                   T.jaccard(T.token_set("_ng"), "_te").alias("_jac"))
+                   T.jaccard("_tg", "_te").alias("_jac"))
     return per.groupBy(*KEY).agg(F.avg("_collapse").alias("collapse_score"), F.avg("_combo").alias("combo_score"),
                                  F.avg("_jac").alias("reconstruction_score"),
                                  F.count(F.lit(1)).alias("n_generations"))

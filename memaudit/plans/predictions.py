@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from memaudit.operators import cards as cards_op
 from memaudit.operators import rarity
 from memaudit.plans.q_rarity import SEED, profiles, typed_records
-from memaudit.session import materialize
+from memaudit.session import materialize, spread
 
 MODELS = [("M0", "full", 1), ("M1", "full", 0), ("M2", "coarsened", 0)]
 MODEL_NAMES = [m for m, _, _ in MODELS]
@@ -40,6 +40,20 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rarity.splits_table(profiles(spark, sf_dir), seed=SEED)
 
 
+def stage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(cards table, splits table) from ONE written copy of the typed record table.
+
+    Both the card renderer and the profile scorer read the parsed records; writing
+    them once to the checkpoint folder keeps the cohort joins and the regex-heavy
+    parsing from running twice, and the written table survives executor loss."""
+    rec = materialize(typed_records(spark, sf_dir), "records")
+    c = cards_op.cards(spread(rec, "patient_id"))
+    cards_df = materialize(c.select(F.col("meta.patient_id").alias("patient_id"), "mode", "text",
+                                    F.col("meta.icd10_codes").alias("icd10_codes")), "cards")
+    sp = rarity.splits_table(rarity.cohort_profiles(rec), seed=SEED)
+    return cards_df, sp
+
+
 def generations(cards_df: DataFrame) -> DataFrame:
     """Long-form predictions (model, patient_id, gen_idx, gen)."""
     keys = cards_df.filter(F.col("mode") == "full").select(
@@ -51,7 +65,9 @@ def generations(cards_df: DataFrame) -> DataFrame:
            .withColumn("gen_idx", F.explode(F.sequence(F.lit(0), F.lit(N_GEN - 1))))
            .withColumn("_src", F.concat(F.lit("row_"), (F.col("_k") + F.col("off") + F.col("gen_idx")).cast("string"))))
     src = cards_df.select(F.col("patient_id").alias("_src"), F.col("mode").alias("mmode"), F.col("text").alias("gen"))
-    return req.join(src, ["_src", "mmode"]).select("model", "patient_id", "gen_idx", "gen")
+    # the join fans each card out to ~N_GEN*3 rows: rebalance so AQE sizes the
+    # (text-heavy) output partitions by their real size, not the small join inputs
+    return req.join(src, ["_src", "mmode"]).select("model", "patient_id", "gen_idx", "gen").hint("rebalance")
 
 
 def completion_truth(cards_df: DataFrame) -> DataFrame:

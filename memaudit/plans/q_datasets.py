@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memaudit.functions import vocab
 from memaudit.operators import datasets
 from memaudit.plans import sqlx
-from memaudit.plans.predictions import N_GEN, cards_table, generations, splits
+from memaudit.plans.predictions import N_GEN, generations, splits, stage
 from memaudit.plans.q_scoring import base_sql
 from memaudit.plans.registry import register
 
@@ -29,14 +29,13 @@ FROM cards c LEFT JOIN splits s ON s.patient_id = c.patient_id WHERE c.mode = 'p
 @register("prompts_general", PROMPTS_SQL)
 def q_prompts_general(spark, sf_dir):
     """B1 + J1: general prompt bank (instruction + partial card) with split and stratum."""
-    c = cards_table(spark, sf_dir)
-    return datasets.general_prompts(c.filter(F.col("mode") == "partial"), splits(spark, sf_dir))
+    c, sp = stage(spark, sf_dir)
+    return datasets.general_prompts(c.filter(F.col("mode") == "partial"), sp)
 
 
 def attack_prompts_all(spark, sf_dir):
-    c = cards_table(spark, sf_dir)
+    c, sp = stage(spark, sf_dir)
     ex = c.filter(F.col("mode") == "exact")
-    sp = splits(spark, sf_dir)
     parts = []
     for attack in ("gene", "size", "icd10"):
         p = datasets.attack_prompts(ex, sp, attack)
@@ -100,8 +99,8 @@ ok AS (SELECT * FROM wide WHERE """ + " AND ".join(f"coalesce(c_{m}, '') <> ''"
 @register("chat_records", CHAT_SQL)
 def q_chat_records(spark, sf_dir):
     """B5 + J2 + J3 + F2: chat-format training records for three variants on the train split."""
-    c = cards_table(spark, sf_dir)
-    recs = datasets.chat_records(c, splits(spark, sf_dir), VARIANTS)
+    c, sp = stage(spark, sf_dir)
+    recs = datasets.chat_records(c, sp, VARIANTS)
     return recs.select("variant", "patient_id", F.col("messages")[0]["content"].alias("user_content"),
                        F.col("messages")[1]["content"].alias("assistant_content"))
 
@@ -148,8 +147,8 @@ WHERE c.mode = 'partial' AND 'p_' || c.patient_id NOT IN (SELECT prompt_id FROM
 def q_pending_prompts(spark, sf_dir):
     """J4 + K7: prompts still to generate — the general bank minus prompts whose M0
     output already holds all generations (resume = anti-join on prompt_id)."""
-    c = cards_table(spark, sf_dir)
-    prompts = datasets.general_prompts(c.filter(F.col("mode") == "partial"), splits(spark, sf_dir))
+    c, sp = stage(spark, sf_dir)
+    prompts = datasets.general_prompts(c.filter(F.col("mode") == "partial"), sp)
     g = generations(c).filter(F.col("model") == "M0")
     done = (g.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == N_GEN)
             .select(F.concat(F.lit("p_"), F.col("patient_id")).alias("prompt_id")))

@@ -9,12 +9,15 @@ from memaudit.operators import rarity, records
 from memaudit.plans import sqlx
 from memaudit.plans.cohort import SLOTS, STANDIN_FLAGS, cohort_sql, raw_cohort
 from memaudit.plans.registry import register
+from memaudit.session import spread
 
 SEED = 42
 
 
 def typed_records(spark, sf_dir):
-    return records.conform(raw_cohort(spark, sf_dir))
+    # parsing and rendering are CPU-bound per record: spread the (byte-small) record
+    # table over the cores before the regex-heavy conform pass
+    return records.conform(spread(raw_cohort(spark, sf_dir), "patient_id"))
 
 
 def profiles(spark, sf_dir):

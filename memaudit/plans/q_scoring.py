@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from memaudit.functions import vocab
 from memaudit.operators import metrics, scoring
 from memaudit.plans import sqlx
-from memaudit.plans.predictions import (MODEL_NAMES, attack_targets, cards_table, completion_truth,
-                                        generations, gens_sql_ctes, per_model, splits)
+from memaudit.plans.predictions import (MODEL_NAMES, attack_targets, completion_truth, generations,
+                                        gens_sql_ctes, per_model, stage)
 from memaudit.plans.q_cards import cards_cte, typed_cte
 from memaudit.plans.q_rarity import profile_sql, scored_ctes, splits_ctes
 from memaudit.plans.registry import register
@@ -31,9 +31,9 @@ def _r9sql(cols):
 
 # ------------------------------------------------------------------ phase I: completion scores
 def completion(spark, sf_dir):
-    c = cards_table(spark, sf_dir)
+    c, sp = stage(spark, sf_dir)
     sc = scoring.completion_scores(generations(c), completion_truth(c), CONCEPTS, empty_is_hit=True)
-    sp = splits(spark, sf_dir).select("patient_id", "split", "rarity_group")
+    sp = sp.select("patient_id", "split", "rarity_group")
     return sc.join(sp, "patient_id")  # J5: inner (unknown ids skipped)
 
 
@@ -150,8 +150,8 @@ def q_regime_by_stratum(spark, sf_dir):
 
 # ------------------------------------------------------------------ phase II: attack scores
 def _attack_inputs(spark, sf_dir):
-    c = cards_table(spark, sf_dir)
-    return c, generations(c), attack_targets(c), splits(spark, sf_dir).select("patient_id", "split", "rarity_group")
+    c, sp = stage(spark, sf_dir)
+    return c, generations(c), attack_targets(c), sp.select("patient_id", "split", "rarity_group")
 
 
 def attack_table(spark, sf_dir):

@@ -16,8 +16,9 @@ def ident(name: str) -> str:
 
 
 def strip(x: str) -> str:
-    # Python str.strip(): RE2 \s is ASCII; add NBSP and the common Unicode spaces
-    return f"regexp_replace({x}, '^[\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]+|[\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]+$', '', 'g')"
+    # Python str.strip(): RE2 \s is ASCII, so the Unicode white space is listed explicitly
+    ws = "\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+    return f"regexp_replace({x}, '^[{ws}]+|[{ws}]+$', '', 'g')"
 
 
 def num(x: str) -> str:

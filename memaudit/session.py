@@ -16,6 +16,11 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Text rendering/scoring is CPU-bound per row and its rows expand after joins:
+    # let AQE keep small-but-expensive shuffle outputs in many tasks, and size
+    # rebalanced outputs by what they really hold.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -61,3 +66,15 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     path = os.path.join(base, f"{name or 'stage'}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread a small-in-bytes but CPU-heavy input over at least one partition per core.
+
+    Row count, not bytes, drives the cost of text rendering and regex scoring; a
+    tiny table scanned from one file (and kept in one partition by broadcast
+    joins) would otherwise run in a single task. Never reduces partitioning."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
