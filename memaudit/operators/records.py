@@ -83,12 +83,6 @@ def conform(raw: DataFrame, id_col: str | None = "patient_id", na_tokens=True) -
             .withColumn("reop", F.when((F.col("reop_flag") == 1) | (F.col("n_surg") >= 2), 1).otherwise(0)))
 
 
-def assign_ids(raw: DataFrame, prefix: str = "row_") -> DataFrame:
-    """Positional ids ``row_{i}`` in file order, assigned once (persist the result)."""
-    rdd = raw.rdd.zipWithIndex().map(lambda t: (*t[0], f"{prefix}{t[1]}"))
-    return rdd.toDF([*raw.columns, "patient_id"])
-
-
 def drop_identifiers(df: DataFrame, columns=vocab.IDENTIFIER_COLUMNS) -> DataFrame:
     """Drop direct identifier columns that exist."""
     return df.drop(*[c for c in columns if c in df.columns])
