@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memaudit.functions import vocab
+from memaudit.functions import cells, vocab
 from memaudit.operators import cards, verify
 from memaudit.plans import sqlx
-from memaudit.plans.cohort import SLOTS
+from memaudit.plans.cohort import SLOTS, cohort_sql, raw_cohort
 from memaudit.plans.q_rarity import profile_sql, typed_records
 from memaudit.plans.registry import register
+from memaudit.plans.tables import table
 
 NL = "chr(10)"
 
@@ -257,3 +258,33 @@ def q_card_fidelity(spark, sf_dir):
     rec = typed_records(spark, sf_dir)
     full = cards.card(rec, "full")
     return verify.fidelity_summary(rec, full)
+
+
+PREVIEW_SQL = cards_sql_cte(("full",)) + """
+SELECT patient_id, text FROM cards ORDER BY patient_id LIMIT 5"""
+
+
+@register("card_preview", PREVIEW_SQL)
+def q_card_preview(spark, sf_dir):
+    """The first five full cards by id (string order) — a top-k, not a sample."""
+    c = cards.card(typed_records(spark, sf_dir), "full")
+    return c.orderBy("patient_id").limit(5)
+
+
+HEADER_SQL = "WITH " + cohort_sql() + """,
+ids AS (SELECT 'row_' || CAST(c_custkey AS VARCHAR) AS patient_id, CAST(c_custkey AS VARCHAR) AS mrn, c_name AS name
+        FROM customer)
+SELECT r.patient_id, 'MRN: ' || coalesce(nullif(trim(i.mrn), ''), 'Unknown') || chr(10) ||
+       'Name: ' || coalesce(nullif(trim(i.name), ''), 'Unknown') || chr(10) || 'DOB: Unknown' AS header
+FROM raw_cohort r JOIN ids i ON i.patient_id = r.patient_id"""
+
+
+@register("identifier_header", HEADER_SQL)
+def q_identifier_header(spark, sf_dir):
+    """Identifier header (MRN / Name / DOB, 'Unknown' when absent) for each record —
+    synthetic identifiers from the customer table, never written to a dump file."""
+    ids = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("row_"), F.col("c_custkey").cast("string")).alias("patient_id"),
+        F.col("c_custkey").cast("string").alias("MRN"), F.col("c_name").alias("Name"))
+    raw = raw_cohort(spark, sf_dir).select("patient_id").join(ids, "patient_id")
+    return raw.select("patient_id", cells.identifier_header(present={"MRN", "Name"}).alias("header"))

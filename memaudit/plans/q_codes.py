@@ -140,3 +140,26 @@ def q_top_recall_patients(spark, sf_dir):
     top = b.orderBy(F.desc("recall"), "patient_id").limit(50)
     return r9(top.select("patient_id", "recall", F.array_join("gt", ",").alias("gt"),
                          F.array_join("matched", ",").alias("matched")))
+
+
+LIFT_SQL = base_sql() + CODE_CTES + f""",
+gtc AS (SELECT model, {sqlx.code3('c')} AS code3, count(*) AS gt_n
+        FROM (SELECT model, unnest(gt) AS c FROM cbest_all) GROUP BY ALL),
+mtc AS (SELECT model, {sqlx.code3('c')} AS code3, count(*) AS match_n
+        FROM (SELECT model, unnest(matched) AS c FROM cbest_all) GROUP BY ALL),
+rc AS (SELECT g.model, g.code3, g.gt_n, coalesce(m.match_n, 0) / g.gt_n::DOUBLE AS recall
+       FROM gtc g LEFT JOIN mtc m ON m.model = g.model AND m.code3 = g.code3)
+SELECT code3, max(gt_n) FILTER (WHERE model = 'M1') AS gt_n,
+       round(max(recall) FILTER (WHERE model = 'M1') - max(recall) FILTER (WHERE model = 'M0'), 9) AS recall_lift
+FROM rc GROUP BY code3 HAVING max(gt_n) FILTER (WHERE model = 'M1') >= {MIN_SUPPORT}"""
+
+
+@register("code_recall_lift", LIFT_SQL)
+def q_code_recall_lift(spark, sf_dir):
+    """Per 3-char code, recall lift of the memorising model over the base model (M1 - M0)."""
+    r = metrics.recall_by_code(best(spark, sf_dir), 1)
+    p = r.groupBy("code3").pivot("model", ["M0", "M1"]).agg(F.first("recall").alias("recall"),
+                                                            F.first("gt_n").alias("gt_n"))
+    out = p.filter(F.col("M1_gt_n") >= MIN_SUPPORT).select(
+        "code3", F.col("M1_gt_n").alias("gt_n"), (F.col("M1_recall") - F.col("M0_recall")).alias("recall_lift"))
+    return r9(out)
