@@ -50,8 +50,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="memaudit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = tempfile.mkdtemp(prefix="memaudit-ckpt-")  # local runs only: a cluster names a shared folder
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - core confs may be read-only at runtime; the context dir suffices
+            pass
     spark.sparkContext.setCheckpointDir(d)
     return d
 
