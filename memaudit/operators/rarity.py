@@ -130,9 +130,9 @@ def stratified_split(df: DataFrame, id_col: str, stratum_col: str, test_frac: fl
             .drop("_h", "_b", "_before", "_ntest", "_rank"))
 
 
-def splits_table(profiles: DataFrame, seed: int = 42) -> DataFrame:
+def splits_table(profiles: DataFrame, seed: int = 42, cut_lineage: bool = True) -> DataFrame:
     """patient_id, split, rarity_group, I_gen, I_phen, I_traj, I_total, k_full."""
-    scored = rarity_scores(profiles)
+    scored = rarity_scores(profiles, cut_lineage=cut_lineage)
     out = stratified_split(scored, "patient_id", "rarity_group", 0.2, seed)
     return out.select("patient_id", "split", "rarity_group", "I_gen", "I_phen", "I_traj", "I_total", "k_full")
 

@@ -50,7 +50,7 @@ def stage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = cards_op.cards(spread(rec, "patient_id"))
     cards_df = materialize(c.select(F.col("meta.patient_id").alias("patient_id"), "mode", "text",
                                     F.col("meta.icd10_codes").alias("icd10_codes")), "cards")
-    sp = rarity.splits_table(rarity.cohort_profiles(rec), seed=SEED)
+    sp = rarity.splits_table(rarity.cohort_profiles(rec), seed=SEED, cut_lineage=False)  # rec is already written
     return cards_df, sp
 
 
