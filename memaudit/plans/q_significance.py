@@ -16,9 +16,11 @@ PAIRS = [("M0", "M1"), ("M1", "M2")]
 SEED = 42
 
 
-def success_table(spark, sf_dir, escape: bool = False):
-    """(attack, model, patient_id, target, success) for the three strict matchers."""
-    c, g, t, sp = _attack_inputs(spark, sf_dir)
+def success_table(spark, sf_dir, escape: bool = False, inputs=None):
+    """(attack, model, patient_id, target, success) for the three strict matchers.
+
+    ``inputs``: the (cards, generations, targets, splits) stage of the caller, if built."""
+    c, g, t, sp = inputs or _attack_inputs(spark, sf_dir)
     parts = [scoring.attack_success(g, per_model(t, block), attack, escape=escape).withColumn("attack", F.lit(attack))
              for attack, block in ATTACKS.items()]
     out = parts[0]
@@ -185,8 +187,8 @@ def q_manual_examples(spark, sf_dir):
     """L4 + M20 + K5: 30 gene-attack examples for M1 — successes first, padded with
     others in seeded order — with the first succeeding generation (else the first)
     cut to 800 chars, newlines as <br>."""
-    c, g, t, sp = _attack_inputs(spark, sf_dir)
-    s, _ = success_table(spark, sf_dir)
+    c, g, t, sp = inputs = _attack_inputs(spark, sf_dir)
+    s, _ = success_table(spark, sf_dir, inputs=inputs)
     m1 = s.filter((F.col("attack") == "gene") & (F.col("model") == "M1")).select("patient_id", "success", "target")
     g1 = g.filter(F.col("model") == "M1").select("patient_id", "gen_idx", "gen")
     j = g1.join(m1.select("patient_id", "target"), "patient_id")
