@@ -58,8 +58,8 @@ def profile_counts(profiles: DataFrame, axes=("gen", "phen", "traj")) -> DataFra
 
 def score_profiles(counts: DataFrame, axes=("gen", "phen", "traj")) -> DataFrame:
     """Surprisal per axis ``-log10(count/N)`` and ``I_total`` (axes added in order)."""
-    n = counts.agg(F.sum("k_full").cast("double").alias("N"))
-    out = counts.crossJoin(F.broadcast(n))  # one-row scalar
+    n = counts.agg(F.sum("k_full").cast("double")).scalar()  # uncorrelated scalar subquery
+    out = counts.withColumn("N", n)
     for a in axes:
         ac = counts.groupBy(a).agg(F.sum("k_full").alias(f"cnt_{a}"))
         out = out.join(ac, a)
@@ -97,9 +97,8 @@ def rarity_scores(profiles: DataFrame, axes=("gen", "phen", "traj"),
     counts = profile_counts(profiles, axes)
     scored = score_profiles(counts, axes)
     q = total_quantiles(scored)
-    strata = (scored.crossJoin(F.broadcast(q))
-              .withColumn("rarity_group", assign_stratum(F.col("k_full"), F.col("I_total"),
-                                                         F.col("p75"), F.col("p95"))))
+    p75, p95 = q.select("p75").scalar(), q.select("p95").scalar()
+    strata = scored.withColumn("rarity_group", assign_stratum(F.col("k_full"), F.col("I_total"), p75, p95))
     keep = [*axes, "rarity_group", *[F.col(f"I_{a}").alias(nm) for a, nm in zip(axes, axis_names)],
             "I_total", "k_full"]
     per_profile = strata.select(*keep)
@@ -160,7 +159,7 @@ def describe(df: DataFrame, c: str, probs=(0.5, 0.75, 0.8, 0.9, 0.95, 0.99)) ->
     # exact percentiles over (distinct value, frequency), not over every row
     per_value = df.filter(x.isNotNull()).groupBy(x.alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
     q = per_value.agg(F.percentile(F.col("_v"), F.array(*[F.lit(p) for p in probs]), F.col("_w")).alias("_q"))
-    row = moments.crossJoin(q)
+    row = moments.withColumn("_q", q.scalar())
     return row.select("count", "mean", "std", "min",
                       *[F.col("_q")[i].alias(f"p{int(round(p * 100))}") for i, p in enumerate(probs)], "max")
 
@@ -168,8 +167,8 @@ def describe(df: DataFrame, c: str, probs=(0.5, 0.75, 0.8, 0.9, 0.95, 0.99)) ->
 def group_shares(df: DataFrame, key: str) -> DataFrame:
     """A10: value counts with their share of all rows."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_t"))
-    return counts.crossJoin(F.broadcast(total)).select(key, "n", (F.col("n") / F.col("_t")).alias("share"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select(key, "n", (F.col("n") / total).alias("share"))
 
 
 def trajectory_signature(records: DataFrame) -> Column:

@@ -189,10 +189,8 @@ def q_stratum_shares(spark, sf_dir):
     """A10: share of records per (stratum, split)."""
     sp = rarity.splits_table(profiles(spark, sf_dir), seed=SEED)
     counts = sp.groupBy("rarity_group", "split").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_t"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        "rarity_group", "split", "n", (F.col("n") / F.col("_t")).alias("share")).select(
-        "rarity_group", "split", "n", F.round("share", 9).alias("share"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("rarity_group", "split", "n", F.round(F.col("n") / total, 9).alias("share"))
 
 
 DESCRIBE_SQL = scored_sql() + """
