@@ -96,8 +96,8 @@ def rarity_scores(profiles: DataFrame, axes=("gen", "phen", "traj"),
         profiles = materialize(profiles.select("patient_id", *axes), "profiles")
     counts = profile_counts(profiles, axes)
     scored = score_profiles(counts, axes)
-    q = total_quantiles(scored)
-    p75, p95 = q.select("p75").scalar(), q.select("p95").scalar()
+    q = total_quantiles(scored).select(F.array("p75", "p95")).scalar()  # one subquery, reused
+    p75, p95 = q[0], q[1]
     strata = scored.withColumn("rarity_group", assign_stratum(F.col("k_full"), F.col("I_total"), p75, p95))
     keep = [*axes, "rarity_group", *[F.col(f"I_{a}").alias(nm) for a, nm in zip(axes, axis_names)],
             "I_total", "k_full"]
