@@ -50,7 +50,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="memaudit-ckpt-")  # local runs only: a cluster names a shared folder
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: stage tables need a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="memaudit-ckpt-")  # one process: any folder is shared
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # noqa: BLE001 - core confs may be read-only at runtime; the context dir suffices
@@ -68,7 +70,7 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     base = checkpoint_dir(spark)
     path = os.path.join(base, f"{name or 'stage'}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # a known schema needs no job to read the files' footers
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
