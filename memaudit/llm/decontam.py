@@ -115,7 +115,7 @@ class _Segment:
         where = pc.index_in(wanted, value_set=terms)
         self.own = where.fill_null(-1).to_numpy(zero_copy_only=False)
         self.ends = np.cumsum(counts.astype(np.int64))
-        self.counts = np.where(self.own >= 0, counts[self.own] if len(counts) else 0, 0)
+        self.counts = np.where(self.own >= 0, counts[self.own], 0).astype(np.int64)
         self.gaps, self.lists = gaps, {}
 
     def positions(self, term: int) -> np.ndarray:

@@ -91,7 +91,7 @@ def _forest(fp: np.ndarray, key: np.ndarray, max_bits: int) -> np.ndarray:
         shared = 8 - np.count_nonzero(differing.view(np.uint8).reshape(-1, 8), axis=1)  # the tally
         reached = shared >= 8 - max_bits
         apart, differing = apart[reached], differing[reached]
-        a = apart[np.bitwise_count(differing) <= max_bits]  # the verification
+        a = apart[np.bitwise_count(differing.view(np.uint64)) <= max_bits]  # the verification
         while len(a):
             low, high = np.minimum(label[a], label[a + step]), np.maximum(label[a], label[a + step])
             np.minimum.at(label, high, low)
