@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memaudit.llm import decontam, langid, mixing, packing, simhash
+from memaudit.llm import chat, decontam, langid, mixing, packing, quality, simhash, urlfilter
 from memaudit.plans.tables import table
 
 QUERIES: dict = {}
@@ -48,3 +48,65 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+_ESC = "replace(coalesce({}, ''), '\\', '\\\\')"
+
+
+def _escaped(column: str) -> str:
+    out = _ESC.format(column)
+    for c in chat.CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+@query(f"""
+    WITH t AS (SELECT conv_id, turn, role, text FROM conversations
+               UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    u AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 length('{chat.START}') + length({_escaped('role')}) + length('{chat.SEP}') + length({_escaped('text')}) + length('<|im_end|>') + 1 AS chars FROM t)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+           sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+    FROM u GROUP BY conv_id""")
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "'</s>[INST] ok [/INST]'"
+    own = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', {said}), (-7L, 1L, 'assistant', {said}) AS t(conv_id, turn, role, text)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    out = chat.render(chat.reconstruct(chat.log_of_rows(rows)))
+    back = out.select("conv_id", chat.parse(F.col("formatted")).alias("turns"), F.length("formatted").cast("long").alias("formatted_chars"),
+                      F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescape(s["text"])), "").alias("loss"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+                       F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def _canonical_sql(url: str) -> str:
+    return f"""CASE WHEN regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1) <> '' THEN
+        regexp_replace(regexp_replace(lower(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1)), ':[0-9]*$', ''), '^(www|m)\\.', '') ||
+        regexp_replace(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '(/|\\.html?|/index\\.html?)$', '') ||
+        coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract({url}, '(?s)^[^?#]*\\?([^#]*)', 1), '&'),
+            lambda p: p <> '' AND NOT regexp_matches(p, '{urlfilter.TRACKING}'))), '&'), ''), '') END"""
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, url, coalesce(lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+                      {_canonical_sql('url')} AS canon FROM pages),
+    listed AS (SELECT DISTINCT canon FROM p WHERE canon IS NOT NULL AND regexp_extract(path, '/([0-9]{{1,18}})(?:/|\\.html?)?$', 1) IN (SELECT doc_id::VARCHAR FROM labels WHERE toxic = 1)),
+    r AS (SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+                         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+                         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+                         WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM p)
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+                                           WHEN canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM r""")
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listing = urlfilter.listing_of_toxic_documents(pages, table(spark, sf_dir, "labels"))
+    return urlfilter.judge(pages, listing).drop("url")
+
+
+@query()
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, n = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
+    return out.select("doc_id", *[F.col(n[c]).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "fertility", "bytes", "entropy")])
