@@ -56,12 +56,12 @@ def reconstruct(events: DataFrame, block: int = BLOCK) -> DataFrame:
     folded = folded.selectExpr(
         "conv_id", "msg_id", "at", "last > 0 AS resets",
         "array_join(transform(slice(ev, greatest(last, 1), size(ev)), e -> if(e.kind = 'regenerate', '', coalesce(e.text, ''))), '') AS text",
-        "filter(ev, e -> e.kind = 'open')[0].role AS role", "filter(ev, e -> e.kind = 'open')[0].copies AS copies")
+        "try_element_at(filter(ev, e -> e.kind = 'open'), 1).role AS role", "try_element_at(filter(ev, e -> e.kind = 'open'), 1).copies AS copies")
     whole = folded.groupBy("conv_id", "msg_id").agg(F.array_sort(F.collect_list(F.struct("at", "resets", "text", "role", "copies"))).alias("r"))
     whole = whole.selectExpr("conv_id", "msg_id", "r[0].at AS at", "aggregate(sequence(1, size(r)), 0, (a, i) -> if(r[i - 1].resets, i, a)) AS last", "r")
     return whole.selectExpr(
         "conv_id", "msg_id", "at", "array_join(transform(slice(r, greatest(last, 1), size(r)), e -> e.text), '') AS text",
-        "coalesce(filter(r, e -> e.role IS NOT NULL)[0].role, '') AS role", "coalesce(filter(r, e -> e.copies IS NOT NULL)[0].copies, 1) AS copies")
+        "coalesce(try_element_at(filter(r, e -> e.role IS NOT NULL), 1).role, '') AS role", "coalesce(try_element_at(filter(r, e -> e.copies IS NOT NULL), 1).copies, 1) AS copies")
 
 
 def render(messages: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -3,9 +3,9 @@
 Each whole text is tokenised word by word with a public SentencePiece vocabulary: characters per token, the share of
 byte-fallback tokens, and the entropy of its tokens in bits. A text's reference group is its language (its script where
 that is null) and its length (floor of log2 of its tokens). For each group the median and the median absolute deviation of
-the three measures are taken over *all* texts that pass the base rules; a text is kept if it is within ``WIDTH`` scaled deviations (byte
-share: not above). A group of fewer than ``LEAST_GROUP`` texts is judged by the bands of all languages at that length, and
-kept if that group is small too.
+the three measures are taken over *all* texts that pass the base rules; a text is kept if each measure is within ``WIDTH`` scaled
+deviations below and above the median. A group of fewer than ``LEAST_GROUP`` texts is judged by the bands of its
+language at all lengths, and kept if there are too few of these as well.
 
 Base counts: white-space words, code points in them, symbols, lines equal to an earlier line, and words in 3-word windows
 found twice or more. Base rules: fewer than 50 words, or more than half of the words repeated, fail.
@@ -26,9 +26,11 @@ from memaudit.llm.common import add_columns, fresh, quoted
 from memaudit.session import materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-WIDTH, LEAST_GROUP = 4.0, 50
+#: Scaled deviations that a measure may lie below and above its group's median; repetition lowers entropy, mixture only raises it.
+WIDTH = {"fertility": (5.0, 5.0), "bytes": (1000.0, 5.0), "entropy": (5.0, 10.0)}
+LEAST_GROUP = 50
 #: Least deviations, so that a group of near-equal texts does not reject on noise.
-FLOOR = {"fertility": 0.02, "bytes": 0.003, "entropy": 0.08}
+FLOOR = {"fertility": 0.02, "bytes": 0.003, "entropy": 0.1}
 SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
 CACHED_WORDS = 400_000
 #: Scripts by the lead byte of their letters in UTF-8 (fixed values); ASCII letters are Latin.
@@ -135,12 +137,12 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: s
         return wide.select(*by, F.struct(*[F.struct(F.col("mid_" + m).alias("mid"), F.greatest(1.4826 * F.col("dev_" + m), F.lit(FLOOR[m])).alias("dev")).alias(m) for m in FLOOR]).alias("band"))
 
     own = bands(sound, "g", "s").withColumnRenamed("band", "own_band").withColumnRenamed("s", "own_s")
-    common = bands(sound, "s").withColumnRenamed("band", "common_band").withColumnRenamed("s", "common_s")
-    marked = out.join(own, (out[group] == own["g"]) & (out[size] == own["own_s"]), "left").join(common, out[size] == common["common_s"], "left")
+    common = bands(sound, "g").withColumnRenamed("band", "common_band").withColumnRenamed("g", "common_g")
+    marked = out.join(own, (out[group] == own["g"]) & (out[size] == own["own_s"]), "left").join(common, out[group] == common["common_g"], "left")
     band = F.coalesce("own_band", "common_band")
     inside = F.lit(True)
     for m, value in parts.items():
         off = (value - band[m]["mid"]) / band[m]["dev"]
-        inside &= (off if m == "bytes" else F.abs(off)) <= WIDTH
+        inside &= off.between(-WIDTH[m][0], WIDTH[m][1])
     marked = marked.withColumn(kept, ~F.col(failed) & F.coalesce(inside, F.lit(True)))
-    return marked.drop(group, size, "g", "own_s", "common_s", "own_band", "common_band"), n | {"base_failed": failed, "kept": kept}
+    return marked.drop(group, size, "g", "own_s", "common_g", "own_band", "common_band"), n | {"base_failed": failed, "kept": kept}

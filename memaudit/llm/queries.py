@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memaudit.llm import chat, decontam, langid, mixing, packing, quality, simhash, urlfilter
+from memaudit.llm import chat, decontam, langid, mixing, packing, pii, quality, simhash, toxicity, urlfilter
 from memaudit.plans.tables import table
 
 QUERIES: dict = {}
@@ -44,7 +44,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(marked, langid.train(docs), keep=["doc_id", "held_out"])
 
 
-@query()
+@query(r"""
+    WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+    g AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+    c AS (SELECT *, 3 * source_size / w AS ratio, coalesce(sum(3 * source_size) OVER before, 0) AS used, coalesce(sum(w) OVER before, 0) AS gone FROM g
+          WINDOW before AS (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    s AS (SELECT (SELECT sum(source_size) FROM g) AS total, (SELECT sum(w) FROM g) AS weight),
+    share AS (SELECT min_by((total - used)::BIGINT / (weight - gone)::BIGINT, gone) AS share FROM c, s WHERE (total - used)::BIGINT / (weight - gone)::BIGINT <= ratio),
+    t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, share * w) AS target, CASE WHEN source_size > 0 THEN least((3 * source_size)::DOUBLE, share * w) / source_size ELSE 0 END AS rate
+          FROM g, share),
+    u AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.rate, ('0x' || substr(md5(concat_ws(chr(31), 'mix-1', coalesce(d.doc_id::VARCHAR, chr(30)), coalesce(d.source, chr(30)),
+                 coalesce(md5(d.text), chr(30)))), 1, 12))::BIGINT / 281474976710656 AS draw FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target, (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken FROM u""")
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -110,3 +121,19 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, n = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
     return out.select("doc_id", *[F.col(n[c]).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "fertility", "bytes", "entropy")])
+
+
+@query()
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    count = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) AS bigint) AS n_{k}") for k in pii.BASE]
+    spans = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", *count, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(spans).alias("spans"))
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    out = toxicity.score(docs.withColumn("held_out", langid.held_out("doc_id")), model, keep=["doc_id", "held_out"])
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
