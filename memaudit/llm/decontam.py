@@ -35,7 +35,7 @@ from memaudit.session import materialize
 
 WINDOW = 10
 #: Words of a segment; a longer document is a segment of its own.
-SEGMENT_WORDS = 1_000_000
+SEGMENT_WORDS = 400_000
 #: Distinct windows of the test items that are looked up in one pass.
 BLOCK_WINDOWS = 200_000
 #: Word bytes are kept, A-Z lower-cased; all other bytes become spaces. Bytes over 0x7F are parts of word characters.
