@@ -54,14 +54,18 @@ def parse_num(c) -> Column:
 
 
 def to_int_list(c) -> Column:
-    """NULL/blank -> []; numeric literal -> [trunc]; else every digit run."""
+    """NULL/blank -> []; numeric literal -> [trunc]; else every digit run.
+
+    Codes are decimals of up to 38 digits, so an over-long run is a code like any other
+    (it maps to ``Unknown(...)``) instead of ending the query with an overflow."""
     s = py_strip(col(c).cast("string"))
     num = parse_num(c)
-    runs = F.transform(F.regexp_extract_all(s, F.lit(r"(\d+)"), 1), lambda d: d.cast("bigint"))
-    empty = F.array().cast("array<bigint>")
-    return (F.when(col(c).isNull() | (s == ""), empty)
-            .when(num.isNotNull(), F.array(num.cast("bigint")))
-            .otherwise(runs))
+    whole = F.when(num >= 0, F.floor(num)).otherwise(F.ceil(num))  # truncates toward zero
+    runs = F.transform(F.regexp_extract_all(s, F.lit(r"(\d+)"), 1), lambda d: d.try_cast("decimal(38,0)"))
+    literal = F.when(F.abs(num) < 1e15, whole.cast("decimal(38,0)")).otherwise(num.try_cast("decimal(38,0)"))
+    return (F.when(col(c).isNull() | (s == ""), F.array().cast("array<decimal(38,0)>"))
+            .when(num.isNotNull(), F.array_compact(F.array(literal)))
+            .otherwise(F.array_compact(runs)))
 
 
 def bool01(c) -> Column:
@@ -106,14 +110,14 @@ def map_multi(c, mapping: dict) -> Column:
     """Codes -> labels (``Unknown(c)`` if absent), order-preserving dedupe."""
     m = map_lit(mapping)
     labels = F.transform(to_int_list(c), lambda k: F.coalesce(
-        F.try_element_at(m, k.cast("int")), F.concat(F.lit("Unknown("), k.cast("string"), F.lit(")"))))
+        F.try_element_at(m, k.try_cast("int")), F.concat(F.lit("Unknown("), k.cast("string"), F.lit(")"))))
     return F.array_distinct(labels)
 
 
 def first_code_label(c, mapping: dict, unknown: str = "Unknown") -> Column:
     """Label of the first code; Unknown when unmapped; '' when there is no code."""
     codes = to_int_list(c)
-    lab = F.coalesce(F.try_element_at(map_lit(mapping), F.get(codes, 0).cast("int")), F.lit(unknown))
+    lab = F.coalesce(F.try_element_at(map_lit(mapping), F.get(codes, 0).try_cast("int")), F.lit(unknown))
     return F.when(F.size(codes) > 0, lab).otherwise(F.lit(""))
 
 
@@ -121,7 +125,7 @@ def known_labels(cols: list, mapping: dict) -> Column:
     """Concat code lists of several columns, keep mapped codes only, dedupe."""
     m = map_lit(mapping)
     codes = F.concat(*[to_int_list(x) for x in cols])
-    return F.array_distinct(F.array_compact(F.transform(codes, lambda k: F.try_element_at(m, k.cast("int")))))
+    return F.array_distinct(F.array_compact(F.transform(codes, lambda k: F.try_element_at(m, k.try_cast("int")))))
 
 
 def flag_categories(prefix: str, rules=vocab.SURGERY_CATEGORIES, present: set | None = None) -> Column:

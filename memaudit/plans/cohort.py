@@ -3,12 +3,12 @@
 One record per customer (id ``row_{c_custkey}``); its wide, all-string columns
 (demographics, genetics, coded phenotype lists, three surgery column groups,
 diameters, pathology, reoperation, outcome, billing codes) are derived from the
-customer's orders and the lineitems of its first order. Every value is a
+customer's orders and the lineitems of all of them. Every value is a
 deterministic function of the tables, so the SQL oracle below reproduces it.
 
 Plan shape: orders are pre-aggregated per customer (partial + final hash
 aggregate, skew-safe for hot customers), lineitem codes are pre-aggregated per
-order (bounded: at most 7 lines per order), then two equi-joins on keys. Only
+customer (distinct codes of a bounded vocabulary), then equi-joins on keys. Only
 ``nation``/``region`` are broadcast: fixed-size dimensions (25 and 5 rows).
 """
 
@@ -44,15 +44,17 @@ def _orders_by_customer(orders: DataFrame) -> DataFrame:
     return orders.groupBy("o_custkey").agg(*aggs)
 
 
-def _codes_by_order(lineitem: DataFrame) -> DataFrame:
+def _codes_by_customer(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """Distinct codes over all line items of a customer's orders (a bounded vocabulary, combined map-side)."""
     letter = F.substring(F.lit("IQZ"), (F.col("l_partkey") % 3 + 1).cast("int"), 1)
     digits = F.lpad((F.col("l_suppkey") % 100).cast("string"), 2, "0")
     code = F.when(F.col("l_linenumber") == 1, F.concat(letter, digits)).otherwise(
         F.concat(letter, digits, F.lit("."), (F.col("l_partkey") % 10).cast("string"),
                  F.col("l_linenumber").cast("string")))
-    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", code.alias("code"))))
-    return (lineitem.groupBy("l_orderkey")
-            .agg(F.array_join(F.transform(lines, lambda s: s["code"]), ", ").alias("icd")))
+    lines = lineitem.select("l_orderkey", code.alias("code")).join(
+        orders.select("o_orderkey", F.col("o_custkey").alias("code_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
+    return (lines.groupBy("code_custkey")
+            .agg(F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("icd")))
 
 
 def raw_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,14 +63,14 @@ def raw_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
     oa = _orders_by_customer(table(spark, sf_dir, "orders"))
-    codes = _codes_by_order(table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    codes = _codes_by_customer(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), table(spark, sf_dir, "orders"))
 
     geo = F.broadcast(nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
                       .select("n_nationkey", "n_name", "r_name"))
     base = (customer.join(geo, customer.c_nationkey == geo.n_nationkey, "left")
             .join(oa, customer.c_custkey == oa.o_custkey, "left")
-            .join(codes, F.col("first_orderkey") == codes.l_orderkey, "left"))
+            .join(codes, customer.c_custkey == codes.code_custkey, "left"))
 
     ck = F.col("c_custkey")
     n_orders = F.coalesce(F.col("n_orders"), F.lit(0))
@@ -92,7 +94,8 @@ def raw_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 .otherwise(s("0")),
         "Bicuspid_aortic_valve": F.when(F.col("c_nationkey") % 5 == 0, s("TRUE")).otherwise(s("0")),
         "ER_presentation": F.when(n_orders % 2 == 0, s("1")).otherwise(s("0")),
-        "first_reported_diameter": first_d.cast("string"),
+        # every fifth of the records without an intervention diameter reports no diameter at all
+        "first_reported_diameter": F.when(ck % 20 == 19, F.lit(None)).otherwise(first_d.cast("string")),
         "intervention_diameter": F.when(ck % 4 == 3, F.lit(None))
                                   .otherwise((first_d + (n_orders % 12) / 2.0).cast("string")),
         "pathology_v1": F.when(n_orders % 4 == 0, s("1, 9")).when(n_orders % 4 == 1, s("25"))
@@ -156,14 +159,14 @@ oa AS (
   GROUP BY o_custkey
 ),
 codes AS (
-  SELECT l_orderkey, string_agg(code, ', ' ORDER BY l_linenumber, code) AS icd
-  FROM (SELECT l_orderkey, l_linenumber,
+  SELECT o_custkey, string_agg(DISTINCT code, ', ' ORDER BY code) AS icd
+  FROM (SELECT o_custkey,
           CASE WHEN l_linenumber = 1
                THEN substr('IQZ', CAST(l_partkey % 3 + 1 AS INTEGER), 1) || lpad(CAST(l_suppkey % 100 AS VARCHAR), 2, '0')
                ELSE substr('IQZ', CAST(l_partkey % 3 + 1 AS INTEGER), 1) || lpad(CAST(l_suppkey % 100 AS VARCHAR), 2, '0')
                     || '.' || CAST(l_partkey % 10 AS VARCHAR) || CAST(l_linenumber AS VARCHAR) END AS code
-        FROM lineitem) li
-  GROUP BY l_orderkey
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey) li
+  GROUP BY o_custkey
 ),
 cbase AS (
   SELECT c.*, n.n_name, r.r_name, oa.*, codes.icd,
@@ -174,7 +177,7 @@ cbase AS (
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
   LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
   LEFT JOIN oa ON c.c_custkey = oa.o_custkey
-  LEFT JOIN codes ON oa.first_orderkey = codes.l_orderkey
+  LEFT JOIN codes ON c.c_custkey = codes.o_custkey
 ),
 raw_cohort AS (
   SELECT 'row_' || CAST(c_custkey AS VARCHAR) AS patient_id,
@@ -189,7 +192,7 @@ raw_cohort AS (
       CASE WHEN o_count >= 7 THEN '2, 3' WHEN o_count = 0 THEN '7' ELSE '0' END AS "Complicating_factor",
       CASE WHEN c_nationkey % 5 = 0 THEN 'TRUE' ELSE '0' END AS "Bicuspid_aortic_valve",
       CASE WHEN n_ord % 2 = 0 THEN '1' ELSE '0' END AS "ER_presentation",
-      CAST(first_d AS VARCHAR) AS first_reported_diameter,
+      CASE WHEN c_custkey % 20 <> 19 THEN CAST(first_d AS VARCHAR) END AS first_reported_diameter,
       CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE CAST(first_d + (n_ord % 12) / 2.0 AS VARCHAR) END AS intervention_diameter,
       CASE WHEN n_ord % 4 = 0 THEN '1, 9' WHEN n_ord % 4 = 1 THEN '25' WHEN n_ord % 4 = 2 THEN '4 (focal)' END AS pathology_v1,
       CASE WHEN max_price > 400000 THEN '9, 10' END AS pathology_v2,

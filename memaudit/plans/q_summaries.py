@@ -58,12 +58,15 @@ def q_gene_success_by_gene(spark, sf_dir):
 # ------------------------------------------------------------------ size (strict)
 def size_success(spark, sf_dir):
     c, g, t, sp = _attack_inputs(spark, sf_dir)
+    sv = T.size_values(F.col("size_block"))
+    t = t.filter((sv["v1"] != "") | (sv["v2"] != ""))  # a record with neither diameter is not scored
     s = scoring.attack_success(g, per_model(t, "size_block"), "size")
-    return s.join(sp, "patient_id"), t
+    return s.join(sp, "patient_id"), t, g
 
 
 SPLIT_SQL = base_sql() + SUCCESS_CTES + """,
-ss AS (SELECT s.*, sp.split FROM succ s JOIN splits sp ON sp.patient_id = s.patient_id WHERE s.attack = 'size')
+ss AS (SELECT s.*, sp.split FROM succ s JOIN splits sp ON sp.patient_id = s.patient_id JOIN size_v v ON v.patient_id = s.patient_id
+       WHERE s.attack = 'size' AND (v.v1 <> '' OR v.v2 <> ''))
 SELECT model, count_if(split = 'train') AS n_train, count_if(split = 'train' AND success = 1) AS s_train,
        count_if(split = 'test') AS n_test, count_if(split = 'test' AND success = 1) AS s_test,
        round(CASE WHEN count_if(split = 'train') > 0 THEN count_if(split = 'train' AND success = 1) / count_if(split = 'train')::DOUBLE END, 9) AS rate_train,
@@ -74,7 +77,7 @@ FROM ss GROUP BY model"""
 @register("success_by_split", SPLIT_SQL)
 def q_success_by_split(spark, sf_dir):
     """Size-attack successes on train vs test per model (n = 0 guarded)."""
-    s, _ = size_success(spark, sf_dir)
+    s, _, _ = size_success(spark, sf_dir)
     return r9(metrics.split_success(s))
 
 
@@ -84,22 +87,27 @@ vals AS (
   UNION ALL SELECT patient_id, 'interv', v2 FROM size_v WHERE v2 <> ''
 ),
 cnt AS (SELECT value, count_if(field = 'first') AS n_first, count_if(field = 'interv') AS n_interv FROM vals GROUP BY value),
-pv AS (SELECT DISTINCT patient_id, value FROM vals),
+said AS (
+  SELECT v.patient_id, v.field, v.value, gl.model,
+         max(CAST(contains(gl.g, CASE v.field WHEN 'first' THEN 'first reported diameter: ' ELSE 'diameter at intervention: ' END || v.value || ' mm') AS INTEGER)) AS hit
+  FROM vals v JOIN gl ON gl.patient_id = v.patient_id GROUP BY ALL
+),
 hits AS (
-  SELECT pv.value, """ + ", ".join(f"CAST(sum(s.success) FILTER (WHERE s.model = '{m}') AS BIGINT) AS {m}"
-                                   for m in MODEL_NAMES) + """
-  FROM pv JOIN succ s ON s.patient_id = pv.patient_id AND s.attack = 'size' GROUP BY pv.value
+  SELECT value, """ + ", ".join(f"CAST(sum(hit) FILTER (WHERE model = '{m}' AND field = '{f}') AS BIGINT) AS {m}_{f}"
+                                for m in MODEL_NAMES for f in ("first", "interv")) + """
+  FROM said GROUP BY value
 )
-SELECT c.value, c.n_first, c.n_interv, """ + ", ".join(f"coalesce(h.{m}, 0) AS {m}" for m in MODEL_NAMES) + """
+SELECT c.value, c.n_first, c.n_interv, """ + ", ".join(f"coalesce(h.{m}_{f}, 0) AS {m}_{f}" for m in MODEL_NAMES for f in ("first", "interv")) + ", " + ", ".join(
+    f"round((coalesce(h.{m}_first, 0) + coalesce(h.{m}_interv, 0)) / (c.n_first + c.n_interv)::DOUBLE, 9) AS {m}_recall" for m in MODEL_NAMES) + """
 FROM cnt c LEFT JOIN hits h ON h.value = c.value"""
 
 
 @register("size_by_value", VALUE_SQL)
 def q_size_by_value(spark, sf_dir):
     """A23 + F5 + L7: per diameter value — records reporting it as first / intervention
-    diameter and size-attack hits per model (the documented intent: hits are counted),
-    ordered by numeric value with non-numbers last."""
-    s, t = size_success(spark, sf_dir)
+    diameter, and per model how many of these records have a generation that states the
+    value under that very field, ordered by numeric value with non-numbers last."""
+    _, t, g = size_success(spark, sf_dir)
     sv = t.select("patient_id", T.size_values(F.col("size_block")).alias("sv"))
     vals = sv.select("patient_id", F.explode(F.array(
         F.struct(F.lit("first").alias("field"), F.col("sv.v1").alias("value")),
@@ -107,12 +115,15 @@ def q_size_by_value(spark, sf_dir):
     ).select("patient_id", "fv.field", "fv.value").filter(F.col("value") != "")
     cnt = vals.groupBy("value").agg(F.count_if(F.col("field") == "first").alias("n_first"),
                                     F.count_if(F.col("field") == "interv").alias("n_interv"))
-    pv = vals.select("patient_id", "value").distinct()
-    hits = pv.join(s, "patient_id").groupBy("value").pivot("model", MODEL_NAMES).agg(
-        F.sum("success").cast("bigint"))
-    out = cnt.join(hits, "value", "left").fillna(0, subset=MODEL_NAMES)
+    label = F.when(F.col("field") == "first", "first reported diameter: ").otherwise("diameter at intervention: ")
+    said = vals.join(g.select("patient_id", "model", F.lower("gen").alias("gen")), "patient_id").groupBy("patient_id", "field", "value", "model").agg(
+        F.max(F.contains("gen", F.concat(label, "value", F.lit(" mm"))).cast("int")).alias("hit"))
+    cells = [(m, f) for m in MODEL_NAMES for f in ("first", "interv")]
+    hits = said.groupBy("value").agg(*[F.sum(F.when((F.col("model") == m) & (F.col("field") == f), F.col("hit"))).cast("bigint").alias(f"{m}_{f}") for m, f in cells])
+    out = cnt.join(hits, "value", "left").fillna(0, subset=[f"{m}_{f}" for m, f in cells])
+    recall = [F.round((F.col(f"{m}_first") + F.col(f"{m}_interv")) / (F.col("n_first") + F.col("n_interv")), 9).alias(f"{m}_recall") for m in MODEL_NAMES]
     return out.orderBy(F.coalesce(F.col("value").try_cast("double"), F.lit(9999.0)), "value").select(
-        "value", "n_first", "n_interv", *MODEL_NAMES)
+        "value", "n_first", "n_interv", *[f"{m}_{f}" for m, f in cells], *recall)
 
 
 # ------------------------------------------------------------------ canary curve

@@ -78,8 +78,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     Row count, not bytes, drives the cost of text rendering and regex scoring; a
     tiny table scanned from one file (and kept in one partition by broadcast
-    joins) would otherwise run in a single task. Never reduces partitioning."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
+    joins) would otherwise run in a single task. The plan alone decides: nothing is
+    executed to learn a size, and the row table is dealt out once, whatever it holds."""
+    spark = df.sparkSession
+    target = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(target, *keys) if keys else df.repartition(target)

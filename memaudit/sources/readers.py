@@ -84,13 +84,22 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
 def read_predictions(spark: SparkSession, path: str,
                      name_pattern: str = r"([^/]+?)_(gene|size|icd10)?_?predictions\.jsonl$") -> DataFrame:
     """Prediction JSONL files; model and attack come from the file name; missing
-    files are simply not matched by the glob. Undecodable lines are dropped (F11)."""
-    df = (spark.read.schema(PREDICTION).option("mode", "DROPMALFORMED").json(path)
+    files are simply not matched by the glob. A line that is no JSON fails the read
+    (``malformed_lines`` lists such lines), so no generation is lost unseen."""
+    df = (spark.read.schema(PREDICTION).option("mode", "FAILFAST").json(path)
           .withColumn("_file", F.col("_metadata.file_path")))
     return df.withColumn("model", F.regexp_extract("_file", name_pattern, 1)).withColumn(
         "attack", F.nullif(F.regexp_extract("_file", name_pattern, 2), F.lit("")))
 
 
+def malformed_lines(spark: SparkSession, path: str, schema: T.StructType = PREDICTION) -> DataFrame:
+    """(file, line) of the lines that do not parse; their count is what a skipping reader would lose."""
+    bad = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    parsed = F.from_json("line", bad, {"mode": "PERMISSIVE"})
+    return lines.filter(parsed["_corrupt_record"].isNotNull())
+
+
 def read_splits(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Split table, projected to what the joins need."""
     reader = spark.read.schema(SPLITS)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_cards(cards: DataFrame, path: str) -> None:
@@ -50,16 +49,19 @@ def write_scrubbed(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, asked of the file system that Spark itself would use."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def append_pending(todo: DataFrame, path: str, key: str = "prompt_id") -> None:
     """K7 + J4: write only keys not yet in the output, append.
 
     Resume semantics: rows already present (by key) are skipped, so a rerun after a
     failure continues where the last successful append stopped."""
     spark = todo.sparkSession
-    if os.path.exists(path) or path.startswith(("hdfs:", "s3", "gs:", "abfs")):
-        try:
-            done = spark.read.json(path).select(key)
-            todo = todo.join(done.distinct(), key, "left_anti")
-        except Exception:  # noqa: BLE001 - empty/non-existent output: nothing done yet
-            pass
+    if path_exists(spark, path):  # any other trouble with the output is an error, not an empty output
+        done = spark.read.schema(T.StructType([todo.schema[key]])).option("mode", "FAILFAST").json(path)
+        todo = todo.join(done.distinct(), key, "left_anti")
     todo.write.mode("append").json(path)

@@ -4,8 +4,9 @@ Prediction files arrive in a folder over time (one file per model/attack/batch).
 The file source's checkpoint records which files were consumed, so a restarted
 query resumes exactly where it stopped — the streaming form of "skip prompts
 already in the output". Each micro-batch is scored with the same batch
-operators and appended to a Parquet table with ``foreachBatch``; the batch id is
-written alongside so a replayed batch can be recognised (idempotent append).
+operators; what is kept per (batch, model, attack, patient) are the sums and counts of the scores,
+in one folder per batch id that a replayed batch overwrites. Reading adds the batches up, so a
+record whose generations arrive in several files is scored over all of them.
 """
 
 from __future__ import annotations
@@ -17,10 +18,13 @@ from memaudit.operators import scoring
 from memaudit.sources.readers import PREDICTION
 
 
+SCORES = ["collapse_score", "combo_score", "reconstruction_score"]
+
+
 def prediction_stream(spark: SparkSession, folder: str, max_files: int = 64) -> DataFrame:
     """Streaming scan of prediction JSONL files with model/attack parsed from the name."""
     df = (spark.readStream.schema(PREDICTION).option("maxFilesPerTrigger", max_files)
-          .option("mode", "DROPMALFORMED").json(folder))
+          .option("mode", "FAILFAST").json(folder))
     name = F.col("_metadata.file_path")
     pat = r"([^/]+?)_(gene|size|icd10)?_?predictions[^/]*\.jsonl$"
     return df.withColumn("model", F.regexp_extract(name, pat, 1)).withColumn(
@@ -30,15 +34,21 @@ def prediction_stream(spark: SparkSession, folder: str, max_files: int = 64) ->
 def start_completion_scoring(spark: SparkSession, folder: str, truth: DataFrame, out_path: str,
                              checkpoint: str, trigger_once: bool = True):
     """Score generations as files land: stream-static join with the (static) expected
-    completions, per-record scores appended to ``out_path``.
+    completions; per-record sums and counts go to ``out_path/batch_id=N``.
 
     ``truth``: (model, patient_id, expected). Returns the StreamingQuery."""
     preds = prediction_stream(spark, folder)
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        gens = scoring.explode_generations(batch, keep=("model", "patient_id"))
-        scores = scoring.completion_scores(gens, truth).withColumn("batch_id", F.lit(batch_id))
-        scores.write.mode("append").parquet(out_path)
+        # a (model, attack) pair is a scoring key of its own: files of different attacks never mix
+        attack = F.coalesce("attack", F.lit(""))
+        gens = scoring.explode_generations(batch.withColumn("model", F.struct("model", attack.alias("attack"))), keep=("model", "patient_id"))
+        seen = gens.select("model").distinct()
+        expected = truth.withColumnRenamed("model", "_m").join(seen, F.col("_m") == F.col("model.model")).drop("_m")
+        scores = scoring.completion_scores(gens, expected)
+        sums = [(F.col(c) * F.col("n_generations")).alias("sum_" + c) for c in SCORES]
+        scores.select("model.model", "model.attack", "patient_id", "n_generations", *sums).write.mode("overwrite").parquet(
+            f"{out_path}/batch_id={batch_id}")
 
     w = preds.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="30 seconds")
@@ -46,9 +56,7 @@ def start_completion_scoring(spark: SparkSession, folder: str, truth: DataFrame,
 
 
 def latest_scores(spark: SparkSession, out_path: str) -> DataFrame:
-    """Read back the appended scores keeping the latest batch per (model, patient_id)."""
-    df = spark.read.parquet(out_path)
-    return (df.groupBy("model", "patient_id").agg(F.max_by(F.struct(*[c for c in df.columns
-                                                                     if c not in ("model", "patient_id")]),
-                                                           "batch_id").alias("_r"))
-            .select("model", "patient_id", "_r.*"))
+    """The scores of each (model, attack, patient) over the generations of all batches so far."""
+    n = F.sum("n_generations")
+    return (spark.read.parquet(out_path).groupBy("model", "attack", "patient_id")
+            .agg(n.alias("n_generations"), *[(F.sum("sum_" + c) / n).alias(c) for c in SCORES]))

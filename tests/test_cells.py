@@ -74,3 +74,27 @@ def test_dates_and_ages(spark):
                     cells.age_at_event(cells.parse_date_multi("b"), cells.parse_date_multi("e")).alias("age")).collect()
     assert [r["y"] for r in out] == [2045, 1969, 1950, 2021, 1960]   # T6: pivot at 69 like Python
     assert [r["age"] for r in out] == [None, 50, None, None, 39]
+
+
+def test_over_long_codes_are_unknown_labels(spark):
+    f = cells.map_multi(F.col("x"), {1: "one"})
+    assert one(spark, f, "1, 3000000000") == ["one", "Unknown(3000000000)"]
+    assert one(spark, f, "a 12345678901234567890 b") == ["Unknown(12345678901234567890)"]
+    assert one(spark, f, "3000000000") == ["Unknown(3000000000)"]
+    assert one(spark, cells.first_code_label(F.col("x"), {1: "one"}), "9999999999") == "Unknown"
+    assert one(spark, cells.known_labels([F.col("x")], {1: "one"}), "99999999999 and 1") == ["one"]
+
+
+def test_building_a_query_runs_no_shuffle(spark):
+    import os
+
+    from memaudit.plans.q_rarity import typed_records
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        return
+    spark.sparkContext.setJobGroup("build", "build")
+    typed_records(spark, sf)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("build")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for j in jobs for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+    assert len(stages) == len(jobs)  # footers are read in one stage each; a shuffle would take two

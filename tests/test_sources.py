@@ -1,6 +1,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from memaudit.sources import readers, writers
@@ -41,6 +43,24 @@ def test_append_pending_resume(spark, tmpdir_path):
     assert got == [("p1", 1), ("p2", 2), ("p3", 3)]
 
 
+def test_malformed_prediction_lines_fail_and_can_be_listed(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "M1_gene_predictions.jsonl")
+    with open(p, "w") as f:
+        f.write(json.dumps({"patient_id": "a", "generations": ["x"]}) + "\n{broken\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        readers.read_predictions(spark, p).collect()
+    assert [r["line"] for r in readers.malformed_lines(spark, p).collect()] == ["{broken"]
+
+
+def test_unreadable_output_is_an_error_not_an_empty_one(spark, tmpdir_path):
+    out = os.path.join(tmpdir_path, "preds")
+    os.makedirs(out)
+    with open(os.path.join(out, "part-0.json"), "w") as f:
+        f.write("{broken\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        writers.append_pending(spark.createDataFrame([("p1", 1)], "prompt_id string, v int"), out)
+
+
 def test_row_ids_in_read_order(spark):
     df = spark.range(0, 100, numPartitions=4).withColumnRenamed("id", "x")
     ids = {r["x"]: r["patient_id"] for r in readers.with_row_ids(df).collect()}

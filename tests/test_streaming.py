@@ -24,3 +24,10 @@ def test_incremental_scoring_resumes(spark, tmpdir_path):
     assert set(rows) == {"a", "b"}
     assert rows["a"]["collapse_score"] == 0.5 and rows["b"]["collapse_score"] == 1.0
     assert spark.read.parquet(out).count() == 2          # the first file was not scored again
+    # the same record in a later file adds to its score; another attack's file does not
+    _write(src, "M1_predictions_002.jsonl", [{"patient_id": "b", "generations": ["no", "no", "tevar"]}])
+    _write(src, "M1_gene_predictions_003.jsonl", [{"patient_id": "b", "generations": ["fbn1"]}])
+    incremental.start_completion_scoring(spark, src, truth, out, ck).awaitTermination()
+    rows = {(r["attack"], r["patient_id"]): r for r in incremental.latest_scores(spark, out).collect()}
+    assert rows["", "b"]["collapse_score"] == 0.5 and rows["", "b"]["n_generations"] == 4
+    assert rows["gene", "b"]["collapse_score"] == 0.0 and rows["", "a"]["collapse_score"] == 0.5
