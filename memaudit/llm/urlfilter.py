@@ -87,6 +87,9 @@ def judge(pages: DataFrame, listing: DataFrame, url: str = "url", rules=RULES) -
     judged = judged.withColumn(canon, F.when(F.col(fit).isNull(), canonical(quoted(url))))
     asked = judged.where(F.col(canon).isNotNull()).select(F.col(canon).alias("url")).distinct()
     found = listed(asked, listing).select(F.col("url").alias(hit))
+    # a row that is not asked about joins nothing; its key is its own hash, so that such rows do not meet in one task
+    nothing = F.concat(F.lit("\x00"), F.xxhash64(*[quoted(c) for c in pages.columns]).cast("string"))
+    judged = judged.withColumn(canon, F.coalesce(F.col(canon), nothing))
     out = judged.join(found, judged[canon] == found[hit], "left")
     return out.select(*[quoted(c) for c in pages.columns], F.col(own_host), F.col(own_path), F.col(fit)["rule"].alias(rule),
                       F.coalesce(F.col(fit)["verdict"], F.when(F.col(hit).isNotNull(), "block").otherwise("allow")).alias(verdict))
