@@ -29,6 +29,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Scaled deviations that a measure may lie below and above its group's median; repetition lowers entropy, mixture only raises it.
 WIDTH = {"fertility": (5.0, 5.0), "bytes": (1000.0, 5.0), "entropy": (5.0, 10.0)}
 LEAST_GROUP = 50
+#: Keys under which the rows of a group meet its bands.
+SALTS = 64
 #: Least deviations, so that a group of near-equal texts does not reject on noise.
 FLOOR = {"fertility": 0.02, "bytes": 0.003, "entropy": 0.1}
 SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
@@ -121,28 +123,34 @@ def measured(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY,
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str = VOCABULARY, keep: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """The measures of every row with ``base_failed`` and ``kept``, and the names of all these columns."""
-    group, size, failed, kept = fresh(docs, "own_group", "own_size", "base_failed", "kept")
+    group, size, failed, kept, salt = fresh(docs, "own_group", "own_size", "base_failed", "kept", "salt")
     grouped = docs.withColumn(group, quoted(lang).cast("string"))
     out, n = measured(grouped, text, vocabulary, [*(docs.columns if keep is None else keep), group])
     out = out.withColumn(group, F.coalesce(F.col(group), F.col(n["script"]))).withColumn(size, F.floor(F.log2(F.greatest(F.col(n["n_tokens"]), F.lit(1)))).cast("int"))
     out = materialize(out.withColumn(failed, (F.col(n["n_words"]) < 50) | (100 * F.col(n["n_repeat_words"]) > 50 * F.col(n["n_words"]))), "measures")
-    parts = {m: F.col(n[m]) for m in FLOOR}
-    sound = out.where(~F.col(failed)).select(F.col(group).alias("g"), F.col(size).alias("s"), *[c.alias(m) for m, c in parts.items()])
+    # one language may hold most rows: they meet its few bands under SALTS keys
+    out = out.withColumn(salt, F.pmod(F.xxhash64(*[F.col(n[c]) for c in ("n_words", "word_chars", "n_tokens", "fertility", "entropy")]), F.lit(SALTS)).cast("int"))
+    parts = {m: out[n[m]] for m in FLOOR}
+    sound = out.where(~F.col(failed)).select(F.col(group).alias("g"), F.col(size).alias("s"), F.col(salt).alias("salt"), *[F.col(n[m]).alias(m) for m in FLOOR])
+
+    def salted(table: DataFrame, name: str = "salt") -> DataFrame:
+        return table.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     def bands(rows: DataFrame, *by: str) -> DataFrame:
         middle = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile_approx(m, 0.5, 10_000).alias("mid_" + m) for m in FLOOR])
-        wide = rows.join(middle, list(by)).groupBy(*by).agg(F.first("n").alias("n"), *[F.first("mid_" + m).alias("mid_" + m) for m in FLOOR],
+        wide = rows.join(salted(middle), [*by, "salt"]).groupBy(*by).agg(F.first("n").alias("n"), *[F.first("mid_" + m).alias("mid_" + m) for m in FLOOR],
                                                            *[F.percentile_approx(F.abs(F.col(m) - F.col("mid_" + m)), 0.5, 10_000).alias("dev_" + m) for m in FLOOR])
         wide = wide.where(F.col("n") >= LEAST_GROUP)
         return wide.select(*by, F.struct(*[F.struct(F.col("mid_" + m).alias("mid"), F.greatest(1.4826 * F.col("dev_" + m), F.lit(FLOOR[m])).alias("dev")).alias(m) for m in FLOOR]).alias("band"))
 
-    own = bands(sound, "g", "s").withColumnRenamed("band", "own_band").withColumnRenamed("s", "own_s")
-    common = bands(sound, "g").withColumnRenamed("band", "common_band").withColumnRenamed("g", "common_g")
-    marked = out.join(own, (out[group] == own["g"]) & (out[size] == own["own_s"]), "left").join(common, out[group] == common["common_g"], "left")
-    band = F.coalesce("own_band", "common_band")
+    own = salted(bands(sound, "g", "s").withColumnRenamed("band", "own_band").withColumnRenamed("s", "own_s"), "own_salt")
+    common = salted(bands(sound, "g").withColumnRenamed("band", "common_band").withColumnRenamed("g", "common_g"), "common_salt")
+    marked = (out.join(own, (out[group] == own["g"]) & (out[size] == own["own_s"]) & (out[salt] == own["own_salt"]), "left")
+              .join(common, (out[group] == common["common_g"]) & (out[salt] == common["common_salt"]), "left"))
+    band = F.coalesce(own["own_band"], common["common_band"])
     inside = F.lit(True)
     for m, value in parts.items():
         off = (value - band[m]["mid"]) / band[m]["dev"]
         inside &= off.between(-WIDTH[m][0], WIDTH[m][1])
-    marked = marked.withColumn(kept, ~F.col(failed) & F.coalesce(inside, F.lit(True)))
-    return marked.drop(group, size, "g", "own_s", "common_g", "own_band", "common_band"), n | {"base_failed": failed, "kept": kept}
+    own_columns = [out[c].alias(c) for c in out.columns if c not in (group, size, salt)]
+    return marked.select(*own_columns, (~out[failed] & F.coalesce(inside, F.lit(True))).alias(kept)), n | {"base_failed": failed, "kept": kept}

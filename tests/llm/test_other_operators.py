@@ -117,7 +117,7 @@ def base_counts(text):
 def test_quality_counts_equal_plain_version(spark):
     rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").where("n_chars < 4000").collect()
     odd = [(-1, None), (-2, ""), (-3, "a b c a b c"), (-4, "a\n\na\n \n \na\x0bb\x85c\xa0d"), (-5, "x y z"), (-6, "é" * 100), (-6, "é" * 100), (None, "日本語 текст العربية")]
-    df = H.docs(spark, [tuple(r) for r in rows] + odd).withColumn("n_words", F.lit(0))
+    df = H.docs(spark, [tuple(r) for r in rows] + odd).withColumn("n_words", F.lit(0)).withColumn("g", F.lit(1)).withColumn("own_band", F.lit(2))
     out, n = quality.judge(df)
     got = sorted((tuple(r[n[c]] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in out.collect()))
     assert got == sorted(base_counts(t) for _, t in [*rows, *odd])
