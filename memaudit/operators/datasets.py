@@ -7,7 +7,7 @@ size is small) and missing ids default to ``unknown`` (J1).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memaudit.functions import vocab
@@ -100,9 +100,33 @@ def canary_injection(base: DataFrame, canary: DataFrame, levels=vocab.CANARY_LEV
     return b.unionByName(c)
 
 
-def seeded_order(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Deterministic shuffle — global range sort on md5(seed:key)."""
-    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
+def canary_record(spark: SparkSession) -> DataFrame:
+    """The canary's training record (patient_id, user_content, assistant_content), one row."""
+    return spark.range(1).select(F.lit(vocab.CANARY_ID).alias("patient_id"), F.lit(vocab.CANARY_PROMPT).alias("user_content"),
+                                 F.lit(vocab.CANARY_COMPLETION).alias("assistant_content"))
+
+
+def canary_eval_prompt(spark: SparkSession) -> DataFrame:
+    """The canary's evaluation prompt in the columns of the prompt bank."""
+    return canary_record(spark).select(F.concat("patient_id", F.lit("_eval")).alias("prompt_id"), "patient_id", F.lit("canary").alias("split"),
+                                       F.lit("canary").alias("rarity_group"), F.col("user_content").alias("prompt_text"))
+
+
+def canary_target(spark: SparkSession) -> DataFrame:
+    """The values that the canary's generations are searched for, and its whole completion."""
+    return canary_record(spark).select("patient_id", F.lit(vocab.CANARY_FIRST_DIAMETER).alias("first_diameter_mm"),
+                                       F.lit(vocab.CANARY_INTERV_DIAMETER).alias("interv_diameter_mm"),
+                                       F.lower(F.lit(vocab.CANARY_GENE)).alias("gene"), F.col("assistant_content").alias("full_completion"))
+
+
+def seeded_key(keys: list[str], seed: int = 42) -> Column:
+    """The sort key md5(seed:key:key...) of a deterministic shuffle."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+
+
+def seeded_order(df: DataFrame, *keys: str, seed: int = 42) -> DataFrame:
+    """Deterministic shuffle — global range sort on the seeded key."""
+    return df.orderBy(seeded_key(list(keys), seed), *keys)
 
 
 def pending(prompts: DataFrame, done: DataFrame, key: str = "prompt_id") -> DataFrame:

@@ -31,6 +31,32 @@ def pivot_mean(df: DataFrame, index: list[str], pivot: str, pivot_values: list[s
     return p.select(*index, *[F.round(F.col(v), digits).alias(v) for v in pivot_values])
 
 
+def pivot_means(df: DataFrame, index: list[str], pivot: str, pivot_values: list[str], values: dict[str, str]) -> DataFrame:
+    """A13 for several measures: cell ``{name}_{pivot value}`` is the mean of the measure ``values[name]``."""
+    return df.groupBy(*index).agg(*[F.avg(F.when(F.col(pivot) == v, F.col(c))).alias(f"{name}_{v}")
+                                    for name, c in values.items() for v in pivot_values])
+
+
+def relabel(df: DataFrame, labels: dict[str, str], column: str = "model") -> DataFrame:
+    """``column`` by the map ``labels``; what the map lacks keeps its value."""
+    m = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))])
+    return df.withColumn(column, F.coalesce(F.try_element_at(m, F.col(column)), F.col(column)))
+
+
+def regime_overview(scores: DataFrame) -> DataFrame:
+    """(epoch_regime, model) -> train means of the three scores, and AUC over train and test."""
+    means = mean_by(scores, ["epoch_regime", "model"], ["collapse_score", "combo_score", "reconstruction_score"])
+    keyed = scores.withColumn("_key", F.struct("epoch_regime", "model"))
+    auc = membership_auc(keyed, "_key").select("_key.epoch_regime", "_key.model", "auc")
+    return means.join(auc, ["epoch_regime", "model"])
+
+
+def regime_by_stratum(scores: DataFrame) -> DataFrame:
+    """(epoch_regime, model, rarity_group) -> train records and the means of the three scores."""
+    return scores.filter(F.col("split") == "train").groupBy("epoch_regime", "model", "rarity_group").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("collapse_score", "combo_score", "reconstruction_score")])
+
+
 def membership_auc(df: DataFrame, group: str = "model", label: Column | None = None,
                    score: str = "reconstruction_score", buckets: int = 256) -> DataFrame:
     """ROC AUC of ``score`` for label (train=1, test=0) per group, with
@@ -77,34 +103,51 @@ def paired_tables(success: DataFrame, pairs: list[tuple[str, str]], models: list
     for m in models:
         common = common & F.col(m).isNotNull()
     wide = wide.filter(common)
-    rows = []
-    for a, b in pairs:
-        sa, sb = F.col(a) == 1, F.col(b) == 1
-        rows.append(wide.groupBy(*keys).agg(
-            F.lit(a).alias("model_a"), F.lit(b).alias("model_b"),
-            F.count_if(sa & sb).alias("n_both"), F.count_if(sa & ~sb).alias("n_only_a"),
-            F.count_if(~sa & sb).alias("n_only_b"), F.count_if(~sa & ~sb).alias("n_neither")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+    cells = F.array(*[F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), (F.col(a) == 1).alias("sa"),
+                               (F.col(b) == 1).alias("sb")) for a, b in pairs])
+    one = wide.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*")
+    sa, sb = F.col("sa"), F.col("sb")
+    out = one.groupBy(*keys, "model_a", "model_b").agg(
+        F.count_if(sa & sb).alias("n_both"), F.count_if(sa & ~sb).alias("n_only_a"),
+        F.count_if(~sa & sb).alias("n_only_b"), F.count_if(~sa & ~sb).alias("n_neither"))
     return out.withColumn("p_value", mcnemar_exact(F.col("n_only_a"), F.col("n_only_b")))
 
 
-def mcnemar_exact(b: Column, c: Column) -> Column:
+def _stirling_rest(x: Column) -> Column:
+    """ln(x!) minus its leading Stirling terms, exact to a double from x = 20 on."""
+    return sum((F.lit(c) / F.pow(x, F.lit(float(k))) for k, c in ((3, -1 / 360), (5, 1 / 1260), (7, -1 / 1680))), F.lit(1 / 12) / x)
+
+
+def mcnemar_exact(b: Column, c: Column, direct: int = 1000) -> Column:
     """Exact two-sided McNemar p = min(1, 2·P[Bin(b+c, 1/2) <= min(b, c)]).
 
-    Terms are accumulated in log space with the ratio recurrence
-    C(n,k) = C(n,k-1)·(n-k+1)/k, so the cost is O(min(b,c)) per pair and no
-    intermediate overflows; n = 0 gives p = 1."""
-    n = (b + c).cast("double")
-    m = F.least(b, c).cast("int")
+    With m = min(b, c) up to ``direct`` the terms are added upwards in log space by the
+    ratio C(n,k) = C(n,k-1)·(n-k+1)/k. Beyond, the largest term (k = m) comes from
+    Stirling's series and the terms below it are added downwards; after 7·sqrt(n) of them the
+    rest is below 1e-40 of the sum, so a row holds an array of that many numbers,
+    not of m. n = 0 gives p = 1."""
+    n, m = (b + c).cast("double"), F.least(b, c).cast("bigint")
+    few = F.least(m, F.lit(direct))
     start = F.struct((-n * F.lit(math.log(2.0))).alias("lt"), F.exp(-n * F.lit(math.log(2.0))).alias("s"))
-    ks = F.when(m >= 1, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>"))
 
-    def step(acc, k):
+    def up(acc, k):
         lt = acc["lt"] + F.log(n - k + 1) - F.log(k.cast("double"))
         return F.struct(lt.alias("lt"), (acc["s"] + F.exp(lt)).alias("s"))
-    total = F.aggregate(ks, start, step, lambda acc: acc["s"])
+    ks = F.when(few >= 1, F.sequence(F.lit(1).cast("bigint"), few)).otherwise(F.array().cast("array<bigint>"))
+    low = F.aggregate(ks, start, up, lambda acc: acc["s"])
+
+    md = m.cast("double")
+    x = (n - 2 * md) / n
+    log_top = (-n / 2 * ((1 - x) * F.log1p(-x) + (1 + x) * F.log1p(x)) + F.log(n / (F.lit(2 * math.pi) * md * (n - md))) / 2
+               + _stirling_rest(n) - _stirling_rest(md) - _stirling_rest(n - md))
+    steps = F.least(m, F.ceil(7 * F.sqrt(n)))
+    js = F.when(m > direct, F.sequence(F.lit(1).cast("bigint"), steps)).otherwise(F.array().cast("array<bigint>"))
+
+    def down(acc, j):
+        r = acc["r"] * (md - j + 1) / (n - md + j)
+        return F.struct(r.alias("r"), (acc["s"] + r).alias("s"))
+    high = F.exp(log_top) * F.aggregate(js, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("s")), down, lambda acc: acc["s"])
+    total = F.when(m > direct, high).otherwise(low)
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * total))
 
 
@@ -145,6 +188,16 @@ def recall_by_code(best: DataFrame, min_support: int = 1) -> DataFrame:
     return j.select("model", "code3", "gt_n", "match_n", (F.col("match_n") / F.col("gt_n")).alias("recall"))
 
 
+def clinical_codes(by_code: DataFrame) -> DataFrame:
+    """J8 + F8: the 3-char codes that have a clinical label and at least one ground-truth code, with label and chapter."""
+    def look_up(labels: dict, key: Column) -> Column:
+        return F.try_element_at(F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))]), key)
+    code = F.col("code3")
+    out = by_code.withColumn("label", look_up(vocab.CLINICAL_LABELS, code)).withColumn(
+        "chapter", F.coalesce(look_up(vocab.CODE_CHAPTERS, F.substring(code, 1, 1)), F.lit("Other")))
+    return out.filter(F.col("label").isNotNull() & (F.col("gt_n") > 0))
+
+
 def recall_by_gt_size(best: DataFrame, cap: int = 6) -> DataFrame:
     """Per model and GT-size bucket (1..5, '6+'): total, any recall, >= 50 %, 100 %."""
     n = F.size("gt")

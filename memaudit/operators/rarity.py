@@ -10,8 +10,8 @@ Scale notes
   profile and joined back to the records by an equi-join on the profile; AQE
   broadcasts the profile table when its runtime size is small, otherwise runs a
   sort-merge join and splits a skewed profile partition (skewJoin).
-* Quantiles are exact: ``percentile`` over the distinct ``I_total`` values with
-  their record counts as frequencies (one small group, not N rows).
+* Quantiles are exact: the range of distinct ``I_total`` values that holds the
+  wanted rank is found from range totals, and only that range is ordered.
 * The split ranks records inside (stratum, hash bucket) groups only; a prefix
   sum over the bucket-count table (at most strata x 16^hex rows, a proven
   bound) supplies each bucket's offset, so no stratum lands in one task.
@@ -70,11 +70,43 @@ def score_profiles(counts: DataFrame, axes=("gen", "phen", "traj")) -> DataFrame
     return out.withColumn("I_total", total)
 
 
+def exact_quantiles(df: DataFrame, value: str, weight: Column, probs, ranges: int = 256) -> DataFrame:
+    """One row with the column ``q``: the exact linear-interpolation quantiles of ``value`` counted ``weight`` times.
+
+    Distinct values are routed to ``ranges`` ranges by approximate boundaries; the totals of the ranges (at most
+    ``ranges`` + 1 rows) tell which range holds a wanted rank, and only those ranges are ordered. No task
+    holds all distinct values, and the boundaries' accuracy has no influence on the result."""
+    per = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.sum(weight).alias("_w"))
+    bounds = per.agg(F.percentile_approx("_v", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000)).scalar()
+    per = per.withColumn("_bounds", bounds).withColumn("_b", F.size(F.filter("_bounds", lambda x: x < F.col("_v")))).drop("_bounds")
+    totals = per.groupBy("_b").agg(F.sum("_w").alias("_bw"))
+    n = totals.agg(F.sum("_bw")).scalar()
+    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``ranges`` + 1 rows
+    offsets = totals.select("_b", "_bw", F.coalesce(F.sum("_bw").over(ahead), F.lit(0)).alias("_off"), n.alias("_n"))
+
+    def rank(p: float) -> tuple[Column, Column]:
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        return F.floor(at), at
+    wanted = F.lit(False)
+    for p in probs:
+        low, at = rank(p)
+        for r in (low, F.ceil(at)):
+            wanted |= (r >= F.col("_off")) & (r < F.col("_off") + F.col("_bw"))
+    held = per.join(F.broadcast(offsets.filter(wanted)), "_b")
+    inside = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("_before", F.col("_off") + F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+
+    def at_rank(r: Column) -> Column:
+        return F.max(F.when((r >= F.col("_before")) & (r < F.col("_before") + F.col("_w")), F.col("_v")))
+    found = held.agg(F.max("_n").alias("_n"), *[at_rank(f(rank(p)[1])).alias(f"_{side}{i}") for i, p in enumerate(probs)
+                                              for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    return found.select(F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (rank(p)[1] - rank(p)[0])
+                                  for i, p in enumerate(probs)]).alias("q"))
+
+
 def total_quantiles(scored: DataFrame, probs=(0.75, 0.95)) -> DataFrame:
     """Exact linear-interpolation quantiles of I_total over records (one row)."""
-    per_value = scored.groupBy("I_total").agg(F.sum("k_full").alias("w"))
-    q = F.percentile(F.col("I_total"), F.array(*[F.lit(p) for p in probs]), F.col("w"))
-    row = per_value.agg(q.alias("q"))
+    row = exact_quantiles(scored, "I_total", F.col("k_full"), probs)
     return row.select(*[F.col("q")[i].alias(f"p{int(round(p * 100))}") for i, p in enumerate(probs)])
 
 
@@ -95,7 +127,8 @@ def rarity_scores(profiles: DataFrame, axes=("gen", "phen", "traj"),
     if cut_lineage:
         profiles = materialize(profiles.select("patient_id", *axes), "profiles")
     counts = profile_counts(profiles, axes)
-    scored = score_profiles(counts, axes)
+    # N, quantiles, strata and the join back all read this table of distinct profiles: written once
+    scored = materialize(score_profiles(counts, axes), "profile-scores")
     q = total_quantiles(scored).select(F.array("p75", "p95")).scalar()  # one subquery, reused
     p75, p95 = q[0], q[1]
     strata = scored.withColumn("rarity_group", assign_stratum(F.col("k_full"), F.col("I_total"), p75, p95))
@@ -156,14 +189,19 @@ def describe(df: DataFrame, c: str, probs=(0.5, 0.75, 0.8, 0.9, 0.95, 0.99)) ->
     x = F.col(c)
     moments = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
                      F.min(x).alias("min"), F.max(x).alias("max"))
-    # exact percentiles over (distinct value, frequency), not over every row
-    per_value = df.filter(x.isNotNull()).groupBy(x.alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
-    q = per_value.agg(F.percentile(F.col("_v"), F.array(*[F.lit(p) for p in probs]), F.col("_w")).alias("_q"))
+    q = exact_quantiles(df, c, F.lit(1), probs)
     row = moments.withColumn("_q", q.scalar())
     return row.select("count", "mean", "std", "min",
                       *[F.col("_q")[i].alias(f"p{int(round(p * 100))}") for i, p in enumerate(probs)], "max")
 
 
+def k_anonymity_shares(scores: DataFrame, limits=(1, 2, 5)) -> DataFrame:
+    """Records in classes of at most ``limits`` records, and their share of all records (one row)."""
+    k = F.col("k_full")
+    out = scores.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(k <= x).alias(f"n_k{x}") for x in limits])
+    return out.select("*", *[F.try_divide(f"n_k{x}", "n").alias(f"share_k{x}") for x in limits])
+
+
 def group_shares(df: DataFrame, key: str) -> DataFrame:
     """A10: value counts with their share of all rows."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -184,18 +222,25 @@ def rare_flags(records: DataFrame, gene_threshold: int = 2, traj_threshold: int
     """A5: records with a rare gene (pathogenic or VUS freq <= t), a rare trajectory
     signature (freq <= t), both, and either (inclusion-exclusion).
 
-    Frequencies are aggregated then joined back (no per-key window, so a hot
-    gene or signature never lands in one task)."""
+    Records are first counted per (genes, signature), then the counts of each key are
+    joined to these classes and weigh by their size (no per-key window; a record without
+    a gene gets a key of its signature, so that the missing ones do not meet in one task)."""
     base = records.select(F.nullif("pathogenic_gene", F.lit("")).alias("pg"),
                           F.nullif("vus_gene", F.lit("")).alias("vg"),
                           trajectory_signature(records).alias("sig"))
-    pc = base.filter(F.col("pg").isNotNull()).groupBy("pg").agg(F.count(F.lit(1)).alias("pfreq"))
-    vc = base.filter(F.col("vg").isNotNull()).groupBy("vg").agg(F.count(F.lit(1)).alias("vfreq"))
-    sc = base.groupBy("sig").agg(F.count(F.lit(1)).alias("tfreq"))
-    j = base.join(pc, "pg", "left").join(vc, "vg", "left").join(sc, "sig")
+    classes = base.groupBy("pg", "vg", "sig").agg(F.count(F.lit(1)).alias("size"))
+    own = F.concat(F.lit("\u0000"), F.xxhash64("sig").cast("string"))  # partner of no gene
+    classes = classes.withColumn("pk", F.coalesce("pg", own)).withColumn("vk", F.coalesce("vg", own))
+    pc = classes.filter(F.col("pg").isNotNull()).groupBy("pk").agg(F.sum("size").alias("pfreq"))
+    vc = classes.filter(F.col("vg").isNotNull()).groupBy("vk").agg(F.sum("size").alias("vfreq"))
+    sc = classes.groupBy("sig").agg(F.sum("size").alias("tfreq"))
+    j = classes.join(pc, "pk", "left").join(vc, "vk", "left").join(sc, "sig")
     rg = F.coalesce(F.col("pfreq") <= gene_threshold, F.lit(False)) | \
         F.coalesce(F.col("vfreq") <= gene_threshold, F.lit(False))
     rt = F.col("tfreq") <= traj_threshold
-    agg = j.agg(F.count(F.lit(1)).alias("n"), F.count_if(rg).alias("n_rare_gene"),
-                F.count_if(rt).alias("n_rare_traj"), F.count_if(rg & rt).alias("n_both"))
+
+    def records_where(c: Column) -> Column:
+        return F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0))
+    agg = j.agg(records_where(F.lit(True)).alias("n"), records_where(rg).alias("n_rare_gene"),
+                records_where(rt).alias("n_rare_traj"), records_where(rg & rt).alias("n_both"))
     return agg.withColumn("n_either", F.col("n_rare_gene") + F.col("n_rare_traj") - F.col("n_both"))

@@ -80,15 +80,21 @@ def attack_scores(gens: DataFrame, targets: DataFrame, attack: str) -> DataFrame
     return per.groupBy(*KEY, "target_text").agg(F.avg("_hit").alias("exact_match_score"))
 
 
-def attack_success(gens: DataFrame, targets: DataFrame, attack: str, escape: bool = False) -> DataFrame:
+def attack_success(gens: DataFrame, targets: DataFrame, attack: str, escape: bool = False, typed: bool = False) -> DataFrame:
     """Per (model, patient_id) whether any generation succeeds (strict matchers).
 
     gene: guarded match (M10; records without a specific gene are skipped);
     size: anchored strict match (M13); icd10: exact code-set line (M16; records
-    without codes skipped). ``targets``: (model, patient_id, target_text[, target_icd10])."""
+    without codes skipped). ``targets``: (model, patient_id, target_text[, target_icd10]).
+    ``typed`` takes the summaries' wider list of generic gene names and adds ``gene_type``."""
+    extra = []
     if attack == "gene":
-        t = targets.select(*KEY, T.gene_target(F.col("target_text")).alias("_t")).filter(F.col("_t").isNotNull())
-        t = t.withColumn("target", F.col("_t"))
+        if typed:
+            found = targets.select(*KEY, T.gene_target_typed(F.col("target_text")).alias("_g"))
+            t, extra = found.select(*KEY, F.col("_g.gene").alias("_t"), F.col("_g.type").alias("gene_type")), ["gene_type"]
+        else:
+            t = targets.select(*KEY, T.gene_target(F.col("target_text")).alias("_t"))
+        t = t.filter(F.col("_t").isNotNull()).withColumn("target", F.col("_t"))
         hit = lambda: T.gene_guarded("_gl", "_t", escape=escape)
     elif attack == "size":
         t = targets.select(*KEY, T.size_values(F.col("target_text")).alias("_t"))
@@ -102,8 +108,8 @@ def attack_success(gens: DataFrame, targets: DataFrame, attack: str, escape: boo
         raise ValueError(attack)
     g = gens.select(*KEY, T.gen_lower("gen").alias("_gl"))
     j = g.join(t, KEY)
-    per = j.select(*KEY, "target", hit().alias("_hit"))
-    return per.groupBy(*KEY, "target").agg(F.max(F.col("_hit").cast("int")).alias("success"))
+    per = j.select(*KEY, "target", *extra, hit().alias("_hit"))
+    return per.groupBy(*KEY, "target", *extra).agg(F.max(F.col("_hit").cast("int")).alias("success"))
 
 
 def best_code_recall(gens: DataFrame, targets: DataFrame) -> DataFrame:

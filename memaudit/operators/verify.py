@@ -57,18 +57,14 @@ def mismatches(records: DataFrame, cards_df: DataFrame) -> DataFrame:
     ``cards_df``: (patient_id, text). A record without a card (or a card without
     a record) is reported once as field ``Row`` — the positional row-count check.
     """
-    j = records.join(cards_df.select("patient_id", "text"), "patient_id", "full_outer")
+    j = records.withColumn("_record", F.lit(True)).join(cards_df.select("patient_id", "text"), "patient_id", "full_outer")
     exp = _expected()
-    text = F.col("text")
-    checks = []
-    for name, label in FIELDS:
-        checks.append(F.struct(F.lit(name).alias("field"), exp[name].alias("expected"),
-                               _actual(text, label, name == "Number of surgeries").alias("actual")))
-    row_check = F.struct(F.lit("Row").alias("field"),
-                         F.when(F.col("sex").isNull() & F.col("age").isNull() & F.col("surgeries").isNull(),
-                                F.lit("missing record")).otherwise(F.lit("record")).alias("expected"),
-                         F.when(text.isNull(), F.lit("missing card")).otherwise(F.lit("record")).alias("actual"))
-    exploded = j.select("patient_id", F.explode(F.array(row_check, *checks)).alias("c"))
+    text, has_record, has_card = F.col("text"), F.col("_record").isNotNull(), F.col("text").isNotNull()
+    checks = [F.struct(F.lit(name).alias("field"), exp[name].alias("expected"),
+                       _actual(text, label, name == "Number of surgeries").alias("actual")) for name, label in FIELDS]
+    row_check = F.struct(F.lit("Row").alias("field"), F.when(has_record, "record").otherwise("missing record").alias("expected"),
+                         F.when(has_card, "record").otherwise("missing card").alias("actual"))
+    exploded = j.select("patient_id", F.explode(F.when(has_record & has_card, F.array(*checks)).otherwise(F.array(row_check))).alias("c"))
     return (exploded.select("patient_id", "c.field", "c.expected", "c.actual")
             .filter(F.col("expected").isNotNull() & ~F.col("expected").eqNullSafe(F.col("actual"))))
 

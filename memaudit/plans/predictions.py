@@ -54,8 +54,8 @@ def stage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return cards_df, sp
 
 
-def generations(cards_df: DataFrame) -> DataFrame:
-    """Long-form predictions (model, patient_id, gen_idx, gen)."""
+def generations(cards_df: DataFrame, repeat: int = 1) -> DataFrame:
+    """Long-form predictions (model, patient_id, gen_idx, gen); each neighbour's card comes ``repeat`` times in a row."""
     keys = cards_df.filter(F.col("mode") == "full").select(
         "patient_id", F.substring("patient_id", 5, 1 << 20).cast("bigint").alias("_k"))
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(md).alias("mmode"), F.lit(off).alias("off"))
@@ -63,7 +63,7 @@ def generations(cards_df: DataFrame) -> DataFrame:
     req = (keys.select("patient_id", "_k", F.explode(models).alias("m"))
            .select("patient_id", "_k", "m.*")
            .withColumn("gen_idx", F.explode(F.sequence(F.lit(0), F.lit(N_GEN - 1))))
-           .withColumn("_src", F.concat(F.lit("row_"), (F.col("_k") + F.col("off") + F.col("gen_idx")).cast("string"))))
+           .withColumn("_src", F.concat(F.lit("row_"), (F.col("_k") + F.col("off") + F.floor(F.col("gen_idx") / repeat)).cast("string"))))
     src = cards_df.select(F.col("patient_id").alias("_src"), F.col("mode").alias("mmode"), F.col("text").alias("gen"))
     # the join fans each card out to ~N_GEN*3 rows: rebalance so AQE sizes the
     # (text-heavy) output partitions by their real size, not the small join inputs
@@ -98,13 +98,14 @@ def per_model(targets: DataFrame, block: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ oracle CTEs
-def gens_sql_ctes() -> str:
+def gens_sql_ctes(name: str = "gens", repeat: int = 1) -> str:
     vals = ", ".join(f"('{m}', '{md}', {off})" for m, md, off in MODELS)
-    return f""",
+    base = f""",
 gkeys AS (SELECT patient_id, CAST(substr(patient_id, 5) AS BIGINT) AS k FROM cards WHERE mode = 'full'),
-gmodels AS (SELECT * FROM (VALUES {vals}) t(model, mmode, off)),
-gens AS (
+gmodels AS (SELECT * FROM (VALUES {vals}) t(model, mmode, off))"""
+    return (base if repeat == 1 else "") + f""",
+{name} AS (
   SELECT m.model, k.patient_id, g.gen_idx, c.text AS gen
   FROM gkeys k CROSS JOIN gmodels m CROSS JOIN (SELECT range AS gen_idx FROM range(0, {N_GEN})) g
-  JOIN cards c ON c.patient_id = 'row_' || CAST(k.k + m.off + g.gen_idx AS VARCHAR) AND c.mode = m.mmode
+  JOIN cards c ON c.patient_id = 'row_' || CAST(k.k + m.off + g.gen_idx // {repeat} AS VARCHAR) AND c.mode = m.mmode
 )"""

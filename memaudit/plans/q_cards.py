@@ -260,6 +260,27 @@ def q_card_fidelity(spark, sf_dir):
     return verify.fidelity_summary(rec, full)
 
 
+DRIFT_SQL = "WITH " + cohort_sql() + """,
+k AS (SELECT patient_id, "Sex" AS sex, CAST(substr(patient_id, 5) AS BIGINT) AS k FROM raw_cohort)
+SELECT patient_id, 'Row' AS field, 'record' AS expected, 'missing card' AS actual FROM k WHERE k % 11 = 0
+UNION ALL
+SELECT patient_id, 'Row', 'missing record', 'record' FROM (SELECT 'card_' || k AS patient_id FROM k WHERE k % 11 = 0)
+UNION ALL
+SELECT patient_id, 'Sex', coalesce(sex, 'Unknown'), 'drifted' FROM k WHERE k % 11 <> 0 AND k % 7 = 0"""
+
+
+@register("card_mismatches", DRIFT_SQL)
+def q_card_mismatches(spark, sf_dir):
+    """A32 + J10: the check against cards that have drifted from their records. Of the full cards, those whose number is
+    divisible by 11 carry another id, and those divisible by 7 another sex; exactly these are found, joined on the id."""
+    rec = typed_records(spark, sf_dir)
+    k = F.substring("patient_id", 5, 1 << 20).cast("bigint")
+    drifted = cards.card(rec, "full").select(
+        F.when(k % 11 == 0, F.concat(F.lit("card_"), k.cast("string"))).otherwise(F.col("patient_id")).alias("patient_id"),
+        F.when(k % 7 == 0, F.regexp_replace("text", "- Sex: [^\\n]*", "- Sex: drifted")).otherwise(F.col("text")).alias("text"))
+    return verify.mismatches(rec, drifted)
+
+
 PREVIEW_SQL = cards_sql_cte(("full",)) + """
 SELECT patient_id, text FROM cards ORDER BY patient_id LIMIT 5"""
 
@@ -267,8 +288,7 @@ SELECT patient_id, text FROM cards ORDER BY patient_id LIMIT 5"""
 @register("card_preview", PREVIEW_SQL)
 def q_card_preview(spark, sf_dir):
     """The first five full cards by id (string order) — a top-k, not a sample."""
-    c = cards.card(typed_records(spark, sf_dir), "full")
-    return c.orderBy("patient_id").limit(5)
+    return cards.card(typed_records(spark, sf_dir).orderBy("patient_id").limit(5), "full").orderBy("patient_id")
 
 
 HEADER_SQL = "WITH " + cohort_sql() + """,

@@ -116,6 +116,18 @@ def q_code_by_code(spark, sf_dir):
     return r9(r.orderBy("model", F.substring("code3", 1, 1), "code3"))
 
 
+_LABEL = "CASE c.code3 " + " ".join(f"WHEN {sqlx.q(k)} THEN {sqlx.q(v)}" for k, v in vocab.CLINICAL_LABELS.items()) + " END"
+_LETTER = "CASE substr(c.code3, 1, 1) " + " ".join(f"WHEN {sqlx.q(k)} THEN {sqlx.q(v)}" for k, v in vocab.CODE_CHAPTERS.items()) + " ELSE 'Other' END"
+CLINICAL_SQL = f"""WITH c AS ({CODE3_SQL.replace(f"WHERE g.gt_n >= {MIN_SUPPORT}", "WHERE g.gt_n > 0")})
+SELECT c.*, {_LABEL} AS label, {_LETTER} AS chapter FROM c WHERE {_LABEL} IS NOT NULL"""
+
+
+@register("code_clinical", CLINICAL_SQL)
+def q_code_clinical(spark, sf_dir):
+    """A19 + J8 + F8 (support > 0): recall of the 3-char codes with a clinical label, with that label and the chapter."""
+    return r9(metrics.clinical_codes(metrics.recall_by_code(best(spark, sf_dir), 1)).orderBy("model", "code3"))
+
+
 SIZE_SQL = base_sql() + CODE_CTES + """
 SELECT model, CASE WHEN len(gt) < 6 THEN CAST(len(gt) AS VARCHAR) ELSE '6+' END AS gt_size, count(*) AS total,
        count_if(recall > 0) AS "any", count_if(recall >= 0.5) AS ge50, count_if(recall >= 1.0) AS perfect

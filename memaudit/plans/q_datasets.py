@@ -123,7 +123,7 @@ def q_canary_injection(spark, sf_dir):
 
     Base = train-split records; canaries = held-out (test) records carrying a
     pathogenic gene — unseen in training, like a planted canary. The query
-    materialises the injected sets and reports their composition per level."""
+    reports the composition of each level's set; ``canary_training_sets`` returns the records."""
     from memaudit.plans.q_rarity import typed_records
     sp = splits(spark, sf_dir)
     base = sp.filter(F.col("split") == "train").select("patient_id")
@@ -136,6 +136,41 @@ def q_canary_injection(spark, sf_dir):
         F.count(F.lit(1)).alias("n_total"))
 
 
+SETS_SQL = f"""WITH chat AS ({CHAT_SQL}),
+base AS (SELECT patient_id, user_content, assistant_content FROM chat WHERE variant = 'M1_full'),
+lv AS (SELECT unnest([{", ".join(str(n) for n in vocab.CANARY_LEVELS)}]) AS injection_count),
+inj AS (
+  SELECT lv.injection_count, 0 AS copy, b.* FROM base b CROSS JOIN lv
+  UNION ALL
+  SELECT injection_count, unnest(range(1, injection_count + 1)), {sqlx.q(vocab.CANARY_ID)}, {sqlx.q(vocab.CANARY_PROMPT)}, {sqlx.q(vocab.CANARY_COMPLETION)} FROM lv
+)
+SELECT CAST(injection_count AS INTEGER) AS injection_count, CAST(copy AS INTEGER) AS copy, patient_id, user_content, assistant_content,
+       md5('42:' || injection_count || ':' || patient_id || ':' || copy) AS order_key FROM inj"""
+
+
+@register("canary_training_sets", SETS_SQL)
+def q_canary_training_sets(spark, sf_dir):
+    """B6 + U5 + L10: the chat records of each injection level — the train split's full-card records and that many
+    copies of the canary's record — in seeded order (``order_key``) within the level."""
+    c, sp = stage(spark, sf_dir)
+    recs = datasets.chat_records(c, sp, (("M1_full", "full"),))
+    base = recs.select("patient_id", F.col("messages")[0]["content"].alias("user_content"), F.col("messages")[1]["content"].alias("assistant_content"))
+    inj = datasets.canary_injection(base, datasets.canary_record(spark))
+    keyed = inj.withColumn("order_key", datasets.seeded_key(["injection_count", "patient_id", "copy"]))
+    return keyed.orderBy("injection_count", "order_key").select("injection_count", "copy", "patient_id", "user_content", "assistant_content", "order_key")
+
+
+EVAL_BANK_SQL = f"""SELECT * FROM ({PROMPTS_SQL})
+UNION ALL SELECT {sqlx.q(vocab.CANARY_ID + '_eval')}, {sqlx.q(vocab.CANARY_ID)}, 'canary', 'canary', {sqlx.q(vocab.CANARY_PROMPT)}"""
+
+
+@register("prompts_with_canary", EVAL_BANK_SQL)
+def q_prompts_with_canary(spark, sf_dir):
+    """B1 + B6 + U1: the general prompt bank together with the canary's evaluation prompt."""
+    c, sp = stage(spark, sf_dir)
+    return datasets.general_prompts(c.filter(F.col("mode") == "partial"), sp).unionByName(datasets.canary_eval_prompt(spark))
+
+
 PENDING_SQL = base_sql() + f""",
 done AS (SELECT 'p_' || patient_id AS prompt_id FROM gens WHERE model = 'M0'
          GROUP BY patient_id HAVING count(*) = {N_GEN})

@@ -165,12 +165,16 @@ def q_profile_bands(spark, sf_dir):
     return rarity.frequency_bands(counts)
 
 
-TOP_GENES_SQL = """WITH """ + cohort_sql() + f""",
-g AS (SELECT {sqlx.strip(sqlx.ident('Pathogenic Gene'))} AS value FROM raw_cohort
-      WHERE NOT {sqlx.is_blank(sqlx.ident('Pathogenic Gene'))})
+def _top_values_sql(column: str) -> str:
+    c = sqlx.ident(column)
+    return "WITH " + cohort_sql() + f""",
+g AS (SELECT {sqlx.strip(c)} AS value FROM raw_cohort WHERE NOT {sqlx.is_blank(c)})
 SELECT value, count(*) AS n FROM g GROUP BY value ORDER BY n DESC, value LIMIT 20"""
 
 
+TOP_GENES_SQL = _top_values_sql("Pathogenic Gene")
+
+
 @register("top_genes", TOP_GENES_SQL)
 def q_top_genes(spark, sf_dir):
     """A1 + L1: top-20 pathogenic genes by frequency (ties by name)."""
@@ -178,6 +182,75 @@ def q_top_genes(spark, sf_dir):
     return freq.orderBy(F.desc("n"), "value").limit(20)
 
 
+TOP_VUS_SQL = _top_values_sql("VUS Gene")
+
+
+@register("top_vus_genes", TOP_VUS_SQL)
+def q_top_vus_genes(spark, sf_dir):
+    """A1 + L1: top-20 VUS genes by frequency (ties by name)."""
+    freq = rarity.value_frequency(raw_cohort(spark, sf_dir), "VUS Gene")
+    return freq.orderBy(F.desc("n"), "value").limit(20)
+
+
+DISTINCT_GENES_SQL = "WITH " + cohort_sql() + ", g AS (" + " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, {sqlx.strip(sqlx.ident(c))} AS value FROM raw_cohort WHERE NOT {sqlx.is_blank(sqlx.ident(c))}"
+    for k, c in (("pathogenic", "Pathogenic Gene"), ("vus", "VUS Gene"))) + """)
+SELECT kind, count(DISTINCT value) AS n_distinct, count(*) AS n FROM g GROUP BY kind"""
+
+
+@register("gene_counts", DISTINCT_GENES_SQL)
+def q_gene_counts(spark, sf_dir):
+    """A1: distinct pathogenic and VUS genes and the records that carry one."""
+    raw = raw_cohort(spark, sf_dir)
+    both = [rarity.value_frequency(raw, c).withColumn("kind", F.lit(k)) for k, c in (("pathogenic", "Pathogenic Gene"), ("vus", "VUS Gene"))]
+    return both[0].unionByName(both[1]).groupBy("kind").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("n"))
+
+
+SIGNATURE_CTE = """,
+sigs AS (SELECT n_surg, array_to_string(cats, '|') AS cats, array_to_string(comp, '|') AS comp, array_to_string(aas, '|') AS aas,
+                mortality, count(*) AS n FROM prof GROUP BY ALL)"""
+SIGNATURE_BANDS_SQL = profile_sql() + SIGNATURE_CTE + """
+SELECT count(*) AS n_distinct, count_if(n = 1) AS n_once, count_if(n = 2) AS n_twice,
+       count_if(n BETWEEN 3 AND 5) AS n_3_5, count_if(n > 5) AS n_gt5 FROM sigs"""
+
+
+def signature_counts(spark, sf_dir):
+    rec = typed_records(spark, sf_dir)
+    return rec.groupBy(rarity.trajectory_signature(rec).alias("sig")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("signature_bands", SIGNATURE_BANDS_SQL)
+def q_signature_bands(spark, sf_dir):
+    """A3 + A4: frequency-of-frequencies bands over trajectory signatures."""
+    return rarity.frequency_bands(signature_counts(spark, sf_dir))
+
+
+TOP_SIGNATURES_SQL = profile_sql() + SIGNATURE_CTE + """
+SELECT n_surg, cats, comp, aas, mortality, n FROM sigs ORDER BY n DESC, n_surg, cats, comp, aas, mortality LIMIT 5"""
+
+
+@register("top_signatures", TOP_SIGNATURES_SQL)
+def q_top_signatures(spark, sf_dir):
+    """L1: the five commonest trajectory signatures (ties by their fields)."""
+    flat = signature_counts(spark, sf_dir).select(
+        F.col("sig.surg_count").alias("n_surg"), F.array_join("sig.surg_cats", "|").alias("cats"), F.array_join("sig.complications", "|").alias("comp"),
+        F.array_join("sig.aas", "|").alias("aas"), F.col("sig.mortality").alias("mortality"), "n")
+    return flat.orderBy(F.desc("n"), "n_surg", "cats", "comp", "aas", "mortality").limit(5)
+
+
+K_SHARES_SQL = scored_sql() + """
+SELECT count(*) AS n, """ + ", ".join(f"count_if(k_full <= {k}) AS n_k{k}" for k in (1, 2, 5)) + ", " + ", ".join(
+    f"round(count_if(k_full <= {k}) / count(*)::DOUBLE, 9) AS share_k{k}" for k in (1, 2, 5)) + """
+FROM scored2"""
+
+
+@register("k_anonymity_shares", K_SHARES_SQL)
+def q_k_anonymity_shares(spark, sf_dir):
+    """Records (and their share) whose full profile is unique, or shared by at most 2 or 5 records."""
+    out = rarity.k_anonymity_shares(rarity.rarity_scores(profiles(spark, sf_dir)))
+    return _r9(out, {c for c in out.columns if c.startswith("share")})
+
+
 SHARES_SQL = f"""WITH s AS ({SPLITS_SQL})
 SELECT rarity_group, split, count(*) AS n,
        round(count(*) / (sum(count(*)) OVER ())::DOUBLE, 9) AS share

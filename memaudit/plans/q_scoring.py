@@ -12,6 +12,7 @@ from memaudit.plans.predictions import (MODEL_NAMES, attack_targets, completion_
 from memaudit.plans.q_cards import cards_cte, typed_cte
 from memaudit.plans.q_rarity import profile_sql, scored_ctes, splits_ctes
 from memaudit.plans.registry import register
+from memaudit.session import materialize
 
 CONCEPTS = vocab.SURGERY_CONCEPTS_12
 
@@ -37,30 +38,36 @@ def completion(spark, sf_dir):
     return sc.join(sp, "patient_id")  # J5: inner (unknown ids skipped)
 
 
-COMPLETION_CTES = f""",
-truth AS (
+def completion_ctes(gens: str = "gens", tag: str = "", concepts=CONCEPTS, empty_is_hit: bool = True) -> str:
+    """``truth{tag}`` .. ``scores{tag}``: the per-record scores of one prediction table by one scorer."""
+    hit = "contains(g.ng, t.ne)" if empty_is_hit else "(t.ne <> '' AND contains(g.ng, t.ne))"
+    return f""",
+truth{tag} AS (
   SELECT m.model, c.patient_id, {sqlx.strip("replace(c.text, p.text, '')")} AS expected
   FROM cards c JOIN cards p ON p.patient_id = c.patient_id AND p.mode = 'partial'
   JOIN gmodels m ON m.mmode = c.mode
   WHERE c.mode IN ('full', 'coarsened')
 ),
-tnorm AS (SELECT model, patient_id, {sqlx.normalize('expected')} AS ne, {sqlx.concepts('expected', CONCEPTS)} AS ce FROM truth),
-tn2 AS (SELECT *, {sqlx.tokens('ne')} AS te FROM tnorm),
-gnorm AS (SELECT model, patient_id, gen_idx, {sqlx.normalize('gen')} AS ng, {sqlx.concepts('gen', CONCEPTS)} AS cg FROM gens),
-per AS (
-  SELECT g.model, g.patient_id, CAST(contains(g.ng, t.ne) AS INTEGER) AS collapse,
+tnorm{tag} AS (SELECT model, patient_id, {sqlx.normalize('expected')} AS ne, {sqlx.concepts('expected', concepts)} AS ce FROM truth{tag}),
+ttok{tag} AS (SELECT *, {sqlx.tokens('ne')} AS te FROM tnorm{tag}),
+gnorm{tag} AS (SELECT model, patient_id, gen_idx, {sqlx.normalize('gen')} AS ng, {sqlx.concepts('gen', concepts)} AS cg FROM {gens}),
+per{tag} AS (
+  SELECT g.model, g.patient_id, CAST({hit} AS INTEGER) AS collapse,
          CAST(g.cg = t.ce AS INTEGER) AS combo, {sqlx.jaccard(sqlx.tokens('g.ng'), 't.te')} AS jac
-  FROM gnorm g JOIN tn2 t ON g.model = t.model AND g.patient_id = t.patient_id
+  FROM gnorm{tag} g JOIN ttok{tag} t ON g.model = t.model AND g.patient_id = t.patient_id
 ),
-scores AS (
+scores{tag} AS (
   SELECT s.model, s.patient_id, sp.split, sp.rarity_group, s.collapse_score, s.combo_score,
          s.reconstruction_score, s.n_generations
   FROM (SELECT model, patient_id, avg(collapse) AS collapse_score, avg(combo) AS combo_score,
                avg(jac) AS reconstruction_score, count(*) AS n_generations
-        FROM per GROUP BY model, patient_id) s
+        FROM per{tag} GROUP BY model, patient_id) s
   JOIN splits sp ON sp.patient_id = s.patient_id
 )"""
 
+
+COMPLETION_CTES = completion_ctes()
+
 COMPLETION_SQL = base_sql() + COMPLETION_CTES + f"""
 SELECT model, patient_id, split, rarity_group, {_r9sql(['collapse_score', 'combo_score', 'reconstruction_score'])},
        n_generations FROM scores"""
@@ -112,40 +119,75 @@ def q_membership_auc(spark, sf_dir):
     return r9(metrics.membership_auc(sc))
 
 
-OVERVIEW_SQL = base_sql() + COMPLETION_CTES + """,
-lab AS (SELECT model, CAST(split = 'train' AS INTEGER) AS y, round(reconstruction_score, 12) AS s FROM scores),
-rk AS (SELECT model, y, rank() OVER (PARTITION BY model ORDER BY s) + (count(*) OVER (PARTITION BY model, s) - 1) / 2.0 AS r FROM lab),
-auc AS (SELECT model, CASE WHEN count_if(y = 1) > 0 AND count_if(y = 0) > 0 THEN
+COMBO_PIVOT_SQL = base_sql() + COMPLETION_CTES + """
+SELECT rarity_group, """ + ", ".join(
+    f"round(avg({v}_score) FILTER (WHERE model = '{m}'), 9) AS {v}_{m}" for v in ("collapse", "combo") for m in MODEL_NAMES) + """
+FROM scores WHERE split = 'train' GROUP BY rarity_group"""
+
+
+@register("memorization_pivot_both", COMBO_PIVOT_SQL)
+def q_memorization_pivot_both(spark, sf_dir):
+    """Collapse and combo rates side by side (rows stratum, columns measure and model)."""
+    sc = completion(spark, sf_dir).filter(F.col("split") == "train")
+    return r9(metrics.pivot_means(sc, ["rarity_group"], "model", MODEL_NAMES, {"collapse": "collapse_score", "combo": "combo_score"}))
+
+
+# ------------------------------------------------------------------ epoch regimes
+def regime_scores(spark, sf_dir):
+    """Per-record scores of both regimes, written once: the archived three-epoch metrics under their new labels (J7),
+    and the twelve-epoch predictions by the other scorer (11 phrases, an empty truth is never reproduced).
+
+    The stand-in for twelve epochs states each neighbour's card twice."""
+    c, sp = stage(spark, sf_dir)
+    sp = sp.select("patient_id", "split", "rarity_group")
+    truth = completion_truth(c)
+    old = scoring.completion_scores(generations(c), truth, CONCEPTS, empty_is_hit=True)
+    new = scoring.completion_scores(generations(c, 2), truth, vocab.SURGERY_CONCEPTS_11, empty_is_hit=False)
+    both = (metrics.relabel(old, vocab.MODEL_LABELS_3).withColumn("epoch_regime", F.lit(vocab.REGIME_3))
+            .unionByName(metrics.relabel(new, vocab.MODEL_LABELS_12).withColumn("epoch_regime", F.lit(vocab.REGIME_12))))  # U1
+    return materialize(both.join(sp, "patient_id").withColumn("reconstruction_score", F.round("reconstruction_score", 12)), "regime-scores")
+
+
+def _labels_sql(column: str, labels: dict) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {sqlx.q(k)} THEN {sqlx.q(v)}" for k, v in labels.items()) + f" ELSE {column} END"
+
+
+REGIME_CTES = base_sql() + COMPLETION_CTES + gens_sql_ctes("gens12", 2) + completion_ctes("gens12", "12", vocab.SURGERY_CONCEPTS_11, False) + f""",
+regimes AS (
+  SELECT * REPLACE ({_labels_sql('model', vocab.MODEL_LABELS_3)} AS model, round(reconstruction_score, 12) AS reconstruction_score), {sqlx.q(vocab.REGIME_3)} AS epoch_regime FROM scores
+  UNION ALL
+  SELECT * REPLACE ({_labels_sql('model', vocab.MODEL_LABELS_12)} AS model, round(reconstruction_score, 12) AS reconstruction_score), {sqlx.q(vocab.REGIME_12)} FROM scores12
+)"""
+
+OVERVIEW_SQL = REGIME_CTES + """,
+rk AS (SELECT epoch_regime, model, CAST(split = 'train' AS INTEGER) AS y, rank() OVER (PARTITION BY epoch_regime, model ORDER BY reconstruction_score)
+              + (count(*) OVER (PARTITION BY epoch_regime, model, reconstruction_score) - 1) / 2.0 AS r FROM regimes),
+auc AS (SELECT epoch_regime, model, CASE WHEN count_if(y = 1) > 0 AND count_if(y = 0) > 0 THEN
           (sum(r) FILTER (WHERE y = 1) - count_if(y = 1) * (count_if(y = 1) + 1) / 2.0) / (count_if(y = 1) * count_if(y = 0)) END AS auc
-        FROM rk GROUP BY model),
-m AS (SELECT model, avg(collapse_score) AS collapse_score, avg(combo_score) AS combo_score,
-             avg(reconstruction_score) AS reconstruction_score FROM scores WHERE split = 'train' GROUP BY model)
-SELECT m.model, round(m.collapse_score, 9) AS collapse_score, round(m.combo_score, 9) AS combo_score,
+        FROM rk GROUP BY ALL),
+m AS (SELECT epoch_regime, model, avg(collapse_score) AS collapse_score, avg(combo_score) AS combo_score,
+             avg(reconstruction_score) AS reconstruction_score FROM regimes WHERE split = 'train' GROUP BY ALL)
+SELECT m.epoch_regime, m.model, round(m.collapse_score, 9) AS collapse_score, round(m.combo_score, 9) AS combo_score,
        round(m.reconstruction_score, 9) AS reconstruction_score, round(a.auc, 9) AS auc
-FROM m JOIN auc a ON a.model = m.model"""
+FROM m JOIN auc a ON a.model = m.model AND a.epoch_regime = m.epoch_regime"""
 
 
 @register("regime_overview", OVERVIEW_SQL)
 def q_regime_overview(spark, sf_dir):
-    """Per model mean collapse / combo / reconstruction (train) joined with AUC (all)."""
-    sc = completion(spark, sf_dir).withColumn("reconstruction_score", F.round("reconstruction_score", 12))
-    means = metrics.mean_by(sc, ["model"], ["collapse_score", "combo_score", "reconstruction_score"])
-    return r9(means.join(metrics.membership_auc(sc), "model"))
+    """A27 + U1 + J7: per epoch regime and model, mean collapse / combo / reconstruction (train) joined with AUC (all)."""
+    return r9(metrics.regime_overview(regime_scores(spark, sf_dir)))
 
 
-STRATUM_N_SQL = base_sql() + COMPLETION_CTES + """
-SELECT model, rarity_group, count(*) AS n, round(avg(collapse_score), 9) AS collapse_score,
-       round(avg(reconstruction_score), 9) AS reconstruction_score
-FROM scores WHERE split = 'train' GROUP BY model, rarity_group"""
+STRATUM_N_SQL = REGIME_CTES + """
+SELECT epoch_regime, model, rarity_group, count(*) AS n, round(avg(collapse_score), 9) AS collapse_score,
+       round(avg(combo_score), 9) AS combo_score, round(avg(reconstruction_score), 9) AS reconstruction_score
+FROM regimes WHERE split = 'train' GROUP BY ALL"""
 
 
 @register("regime_by_stratum", STRATUM_N_SQL)
 def q_regime_by_stratum(spark, sf_dir):
-    """Per model x stratum with N (train)."""
-    sc = completion(spark, sf_dir).filter(F.col("split") == "train")
-    return r9(sc.groupBy("model", "rarity_group").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("collapse_score").alias("collapse_score"),
-        F.avg("reconstruction_score").alias("reconstruction_score")))
+    """Per epoch regime, model and stratum the number of train records and the three means."""
+    return r9(metrics.regime_by_stratum(regime_scores(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ phase II: attack scores
@@ -227,3 +269,15 @@ def q_attack_means(spark, sf_dir):
     t = F.lower(F.col("target_text"))
     valid = (F.col("attack") != "gene") | ~t.contains("none identified") | t.contains("present")
     return r9(metrics.mean_by(a.filter(valid), ["model", "attack", "rarity_group"], ["exact_match_score"]))
+
+
+ATTACK_PIVOT_SQL = f"""WITH means AS ({ATTACK_MEANS_SQL})
+SELECT attack, rarity_group, """ + ", ".join(f"max(exact_match_score) FILTER (WHERE model = '{m}') AS {m}" for m in MODEL_NAMES) + """
+FROM means GROUP BY attack, rarity_group"""
+
+
+@register("attack_pivot", ATTACK_PIVOT_SQL)
+def q_attack_pivot(spark, sf_dir):
+    """A13 (attacks): train-split means, rows attack and stratum, columns model."""
+    m = q_attack_means(spark, sf_dir)
+    return metrics.pivot_mean(m, ["attack", "rarity_group"], "model", MODEL_NAMES, "exact_match_score", digits=9)

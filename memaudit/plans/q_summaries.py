@@ -17,14 +17,19 @@ from memaudit.plans.registry import register
 # ------------------------------------------------------------------ gene (escaped guard)
 def gene_success(spark, sf_dir):
     c, g, t, sp = _attack_inputs(spark, sf_dir)
-    s = scoring.attack_success(g, per_model(t, "gene_block"), "gene", escape=True)
+    s = scoring.attack_success(g, per_model(t, "gene_block"), "gene", escape=True, typed=True)
     return s.join(sp, "patient_id")
 
 
+_GENERIC = "('none identified', 'present', 'none', '')"
 GENE_CTES = SUCCESS_CTES + f""",
+gene_ty AS (SELECT *, CASE WHEN t IS NULL THEN NULL WHEN p NOT IN {_GENERIC} THEN 'pathogenic' ELSE 'vus' END AS type FROM (
+  SELECT patient_id, p, CASE WHEN p NOT IN {_GENERIC} THEN p WHEN v NOT IN {_GENERIC} THEN v END AS t FROM (
+    SELECT patient_id, lower({sqlx.field_value('gene_block', 'Pathogenic variant', 'None identified')}) AS p,
+           lower({sqlx.field_value('gene_block', 'VUS', 'None identified')}) AS v FROM tgt))),
 gsucc AS (
-  SELECT gl.model, gl.patient_id, t.t AS target, max(CAST({_guarded_sql('gl.g', 't.t', True)} AS INTEGER)) AS success
-  FROM gl JOIN gene_tg t ON t.patient_id = gl.patient_id WHERE t.t IS NOT NULL GROUP BY ALL
+  SELECT gl.model, gl.patient_id, t.t AS target, y.type AS gene_type, max(CAST({_guarded_sql('gl.g', 't.t', True)} AS INTEGER)) AS success
+  FROM gl JOIN gene_ty t ON t.patient_id = gl.patient_id JOIN gene_ty y ON y.patient_id = gl.patient_id WHERE t.t IS NOT NULL GROUP BY ALL
 )"""
 
 GENE_MODEL_SQL = base_sql() + GENE_CTES + """
@@ -41,18 +46,20 @@ def q_gene_success_by_model(spark, sf_dir):
 
 
 GENE_GENE_SQL = base_sql() + GENE_CTES + """
-SELECT target AS gene, count(*) FILTER (WHERE model = 'M1') AS n_gt, """ + ", ".join(
+SELECT target AS gene, coalesce(max_by(gene_type, CAST(substr(patient_id, 5) AS BIGINT)) FILTER (WHERE model = 'M1'), '') AS gene_type,
+       count(*) FILTER (WHERE model = 'M1') AS n_gt, """ + ", ".join(
     f"CAST(sum(success) FILTER (WHERE model = '{m}') AS BIGINT) AS {m}" for m in MODEL_NAMES) + """
 FROM gsucc GROUP BY target"""
 
 
 @register("gene_success_by_gene", GENE_GENE_SQL)
 def q_gene_success_by_gene(spark, sf_dir):
-    """Per gene — ground-truth count (from M1's file) and hits per model (explicit pivot)."""
+    """A21 + M7: per gene its type (of M1's last record, in row order), ground-truth count (from M1's file) and hits per model."""
     s = gene_success(spark, sf_dir)
-    p = s.groupBy(F.col("target").alias("gene")).pivot("model", MODEL_NAMES).agg(F.sum("success").cast("bigint"))
-    n = s.filter(F.col("model") == "M1").groupBy(F.col("target").alias("gene")).agg(F.count(F.lit(1)).alias("n_gt"))
-    return p.join(n, "gene", "left").select("gene", F.coalesce("n_gt", F.lit(0)).alias("n_gt"), *MODEL_NAMES)
+    m1, row = F.col("model") == "M1", F.substring("patient_id", 5, 1 << 20).cast("bigint")
+    return s.groupBy(F.col("target").alias("gene")).agg(
+        F.coalesce(F.max_by("gene_type", F.when(m1, row)), F.lit("")).alias("gene_type"), F.count_if(m1).alias("n_gt"),
+        *[F.sum(F.when(F.col("model") == m, F.col("success"))).cast("bigint").alias(m) for m in MODEL_NAMES])
 
 
 # ------------------------------------------------------------------ size (strict)

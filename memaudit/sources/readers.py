@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memaudit.operators import metrics
+
 # ---------------------------------------------------------------- schemas
 META = T.StructType([T.StructField(n, t) for n, t in [
     ("patient_id", T.StringType()), ("mode", T.StringType()), ("sex", T.StringType()),
@@ -111,8 +113,7 @@ def read_metrics_csv(spark: SparkSession, path: str, relabel: dict[str, str] | N
     """S6 + J7: archived metric CSV; model labels remapped with fallback to the original."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
     if relabel:
-        m = F.create_map(*[x for k, v in relabel.items() for x in (F.lit(k), F.lit(v))])
-        df = df.withColumn("model", F.coalesce(F.try_element_at(m, F.col("model")), F.col("model")))
+        df = metrics.relabel(df, relabel)
     return df
 
 

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from memaudit.functions import vocab
-from memaudit.operators import datasets
+from memaudit.operators import datasets, scoring
 
 
 def test_canary_injection_counts(spark):
@@ -36,3 +36,20 @@ def test_attack_prompt_withholds_target(spark):
     assert gene["prompt_text"].endswith(vocab.ATTACK_QUESTIONS["gene"])
     size = datasets.attack_prompts(cards, sp, "size")
     assert datasets.leak_check(size).count() == 0 and "ACTA2" in size.first()["prompt_text"]
+
+
+def test_canary_sets_and_target(spark):
+    base = spark.createDataFrame([("p1", "u1", "a1"), ("p2", "u2", "a2")], "patient_id string, user_content string, assistant_content string")
+    sets = datasets.canary_injection(base, datasets.canary_record(spark), (0, 1, 3))
+    ordered = datasets.seeded_order(sets, "injection_count", "patient_id", "copy").collect()
+    count = {n: sum(r["injection_count"] == n for r in ordered) for n in (0, 1, 3)}
+    assert count == {0: 2, 1: 3, 3: 5}
+    again = datasets.seeded_order(sets.repartition(3), "injection_count", "patient_id", "copy").collect()
+    assert ordered == again and [r["patient_id"] for r in ordered] != sorted(r["patient_id"] for r in ordered)
+    target = datasets.canary_target(spark)
+    said = target.select(F.lit(3).alias("injection_count"), "patient_id", F.col("full_completion").alias("gen"))
+    hit = scoring.canary_rates(said, target).first()
+    assert (hit["size_both_rate"], hit["gene_recall_rate"], hit["joint_rate"]) == (1.0, 1.0, 1.0)
+    prompt = datasets.canary_eval_prompt(spark).first()
+    assert (prompt["prompt_id"], prompt["split"]) == ("canary_patient_001_eval", "canary")
+    assert "46.3" not in prompt["prompt_text"] and "51.8" not in prompt["prompt_text"]

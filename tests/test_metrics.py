@@ -44,6 +44,39 @@ def test_mcnemar_exact(spark):
         assert math.isclose(r["p"], exact_mcnemar(b, c), rel_tol=1e-9, abs_tol=1e-300), (b, c)
 
 
+def test_mcnemar_exact_with_many_discordant_pairs(spark):
+    cases = [(1001, 1200), (5000, 5100), (5100, 5000), (2000, 4000), (1500, 1500), (10**9, 10**9 + 150_000), (10**9, 2 * 10**9)]
+    df = spark.createDataFrame(cases, "b long, c long")
+    got = [r["p"] for r in df.select(metrics.mcnemar_exact(F.col("b"), F.col("c")).alias("p")).collect()]
+    for (b, c), p in zip(cases[:5], got):
+        n, total, term = b + c, 0, 1
+        for k in range(min(b, c) + 1):
+            total += term
+            term = term * (n - k) // (k + 1)
+        assert math.isclose(p, min(1.0, float(2 * total / 2 ** n) if n < 1000 else float(2 * total * 10**40 // 2 ** n) / 1e40), rel_tol=1e-8, abs_tol=1e-30), (b, c)
+    b, c = cases[5]  # so many that the normal law with continuity correction is exact to five digits
+    assert math.isclose(got[5], math.erfc((c - b - 1) / math.sqrt(b + c) / math.sqrt(2)), rel_tol=1e-4)
+    assert got[6] == 0.0
+
+
+def test_regimes(spark):
+    rows = [("e1", "A", "p1", "train", "rare", 1.0, 0.0, 0.9), ("e1", "A", "p2", "train", "common", 0.0, 0.5, 0.4), ("e1", "A", "p3", "test", "rare", 1.0, 1.0, 0.4),
+            ("e2", "A", "p1", "train", "rare", 0.2, 0.2, 0.1), ("e2", "A", "p3", "test", "rare", 0.0, 0.0, 0.3)]
+    df = spark.createDataFrame(rows, "epoch_regime string, model string, patient_id string, split string, rarity_group string, collapse_score double, "
+                                     "combo_score double, reconstruction_score double")
+    over = {r["epoch_regime"]: r for r in metrics.regime_overview(df).collect()}
+    assert (over["e1"]["collapse_score"], over["e1"]["combo_score"], over["e1"]["auc"]) == (0.5, 0.25, 0.75)
+    assert (over["e2"]["collapse_score"], over["e2"]["auc"]) == (0.2, 0.0)
+    strata = {(r["epoch_regime"], r["rarity_group"]): (r["n"], r["combo_score"]) for r in metrics.regime_by_stratum(df).collect()}
+    assert strata == {("e1", "rare"): (1, 0.0), ("e1", "common"): (1, 0.5), ("e2", "rare"): (1, 0.2)}
+    assert {r["model"] for r in metrics.relabel(df, {"A": "B"}).collect()} == {"B"} and {r["model"] for r in metrics.relabel(df, {"x": "B"}).collect()} == {"A"}
+
+
+def test_clinical_codes(spark):
+    df = spark.createDataFrame([("M1", "I71", 4, 2), ("M1", "A00", 3, 1), ("M1", "Q25", 0, 0)], "model string, code3 string, gt_n long, match_n long")
+    assert [(r["code3"], r["label"]) for r in metrics.clinical_codes(df).collect()] == [("I71", "Aortic aneurysm / dissection")]
+
+
 def test_paired_tables_common_patients_only(spark):
     rows = [("M0", "a", 1), ("M1", "a", 0), ("M2", "a", 1),
             ("M0", "b", 0), ("M1", "b", 1), ("M2", "b", 1),

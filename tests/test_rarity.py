@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from memaudit.operators import rarity
@@ -46,3 +49,29 @@ def test_describe_and_bands(spark):
     counts = spark.createDataFrame([(1,), (1,), (2,), (4,), (9,)], "n long")
     b = rarity.frequency_bands(counts).first()
     assert (b["n_distinct"], b["n_once"], b["n_twice"], b["n_3_5"], b["n_gt5"]) == (5, 2, 1, 1, 1)
+
+
+def test_exact_quantiles_match_linear_interpolation(spark):
+    rnd = random.Random(5)
+    values = [(round(rnd.expovariate(1), 3), rnd.randint(1, 4)) for _ in range(2000)] + [(0.5, 900), (None, 3)]
+    df = spark.createDataFrame(values, "v double, w long")
+    probs = (0.0, 0.25, 0.5, 0.75, 0.95, 1.0)
+    got = rarity.exact_quantiles(df, "v", F.col("w"), probs, ranges=16).first()["q"]
+    flat = np.repeat([v for v, _ in values[:-1]], [w for _, w in values[:-1]])
+    assert np.allclose(got, np.quantile(flat, probs), rtol=0, atol=1e-12)
+    assert rarity.exact_quantiles(df.limit(0), "v", F.col("w"), (0.5,)).first()["q"] == [None]
+
+
+def test_k_anonymity_shares(spark):
+    df = spark.createDataFrame([(1,), (2,), (2,), (5,), (9,)], "k_full long")
+    r = rarity.k_anonymity_shares(df).first()
+    assert (r["n"], r["n_k1"], r["n_k2"], r["n_k5"], r["share_k2"]) == (5, 1, 3, 4, 0.6)
+
+
+def test_rare_flags_without_genes(spark):
+    rows = [(None, None, 0), ("", None, 0), ("A", None, 1), ("A", "", 1), ("A", "B", 2), ("C", None, 0)]
+    df = spark.createDataFrame(rows, "pathogenic_gene string, vus_gene string, mortality int")
+    df = df.withColumn("surgeries", F.expr("cast(array() as array<struct<present:boolean,cats:array<string>>>)")).withColumn("n_surg", F.lit(0))
+    df = df.withColumn("complicating", F.expr("cast(array() as array<string>)")).withColumn("aas", F.expr("cast(array() as array<string>)"))
+    r = rarity.rare_flags(df).first()
+    assert (r["n"], r["n_rare_gene"], r["n_rare_traj"], r["n_both"], r["n_either"]) == (6, 2, 3, 1, 4)
