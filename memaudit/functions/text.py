@@ -232,10 +232,14 @@ def prefix_match(gt_codes, gen_codes) -> Column:
     return F.struct(recall.alias("recall"), precision.alias("precision"), f1.alias("f1"), matched.alias("matched"))
 
 
+def display_text(gen, limit: int = 800) -> Column:
+    """A generation cut to ``limit`` chars with a marker; newlines -> <br>; NULL -> ''."""
+    g = F.coalesce(col(gen), F.lit(""))
+    cut = F.when(F.length(g) > limit, F.concat(F.substring(g, 1, limit), F.lit("... [TRUNCATED DUE TO LENGTH]"))).otherwise(g)
+    return F.replace(cut, F.lit("\n"), F.lit("<br>"))
+
+
 def display_generation(gens, pred, limit: int = 800) -> Column:
-    """First generation satisfying ``pred`` else the first; cut to ``limit`` chars
-    with a marker; newlines -> <br>."""
+    """M20 on an array: its first generation satisfying ``pred``, else its first."""
     g = col(gens)
-    pick = F.coalesce(F.get(F.filter(g, pred), 0), F.get(g, 0), F.lit(""))
-    cut = F.when(F.length(pick) > limit, F.concat(F.substring(pick, 1, limit), F.lit("... [TRUNCATED DUE TO LENGTH]"))).otherwise(pick)
-    return F.replace(cut, F.lit("\n"), F.lit("<br>"))
+    return display_text(F.coalesce(F.get(F.filter(g, pred), 0), F.get(g, 0)), limit)

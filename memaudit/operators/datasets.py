@@ -132,3 +132,14 @@ def seeded_order(df: DataFrame, *keys: str, seed: int = 42) -> DataFrame:
 def pending(prompts: DataFrame, done: DataFrame, key: str = "prompt_id") -> DataFrame:
     """Prompts not yet present in the output (resume = anti-join on the key)."""
     return prompts.join(done.select(key).distinct(), key, "left_anti")
+
+
+def turn_pairs(turns: DataFrame) -> DataFrame:
+    """B5 on logged conversations: each user turn with the assistant turn right after it.
+
+    ``turns``: (conv_id, turn, role, text). An equi-join on conversation and turn, so a conversation of any length is
+    spread by its turns; a null text is empty; a turn without its counterpart gives no record."""
+    asked = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("user_content"))
+    said = turns.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.coalesce("text", F.lit("")).alias("assistant_content"))
+    return asked.join(said, ["conv_id", "turn"])

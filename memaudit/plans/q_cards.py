@@ -202,7 +202,8 @@ def q_cards(spark, sf_dir):
                     "meta.vus_gene", "meta.underwent_reoperation", "meta.mortality", "meta.icd10_codes")
 
 
-SECTIONS = ["Genetics", "Aortic size", "Billing/Diagnoses", "Clinical presentation"]
+SECTIONS = ["Demographics", "Genetics", "Clinical presentation", "Surgical course", "Reoperation", "Aortic size", "Histopathology",
+            "Valve anatomy", "Billing/Diagnoses", "Outcome"]
 
 
 def _section_sql(text: str, name: str) -> str:
@@ -212,14 +213,14 @@ def _section_sql(text: str, name: str) -> str:
             f"ELSE '' END")
 
 
-SECTIONS_SQL = cards_sql_cte(("full", "coarsened")) + "\nSELECT patient_id, mode, " + ", ".join(
+SECTIONS_SQL = cards_sql_cte() + "\nSELECT patient_id, mode, " + ", ".join(
     f"{_section_sql('text', s)} AS {s.split('/')[0].replace(' ', '_').lower()}" for s in SECTIONS) + " FROM cards"
 
 
 @register("card_sections", SECTIONS_SQL)
 def q_card_sections(spark, sf_dir):
-    """Section extraction from rendered cards."""
-    c = all_cards(spark, sf_dir, ("full", "coarsened"))
+    """Every section of the rendered cards of all four modes."""
+    c = all_cards(spark, sf_dir)
     return c.select(F.col("meta.patient_id").alias("patient_id"), "mode",
                     *[cards.section("text", s).alias(s.split("/")[0].replace(" ", "_").lower()) for s in SECTIONS])
 
@@ -269,6 +270,12 @@ UNION ALL
 SELECT patient_id, 'Sex', coalesce(sex, 'Unknown'), 'drifted' FROM k WHERE k % 11 <> 0 AND k % 7 = 0"""
 
 
+@register("mismatch_preview", f"SELECT * FROM ({DRIFT_SQL}) ORDER BY patient_id, field LIMIT 20")
+def q_mismatch_preview(spark, sf_dir):
+    """The first twenty mismatches by id and field — a top-k, not a sample."""
+    return q_card_mismatches(spark, sf_dir).orderBy("patient_id", "field").limit(20)
+
+
 @register("card_mismatches", DRIFT_SQL)
 def q_card_mismatches(spark, sf_dir):
     """A32 + J10: the check against cards that have drifted from their records. Of the full cards, those whose number is

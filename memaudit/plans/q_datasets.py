@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memaudit.functions import vocab
-from memaudit.operators import datasets
+from memaudit.operators import datasets, scoring
 from memaudit.plans import sqlx
 from memaudit.plans.predictions import N_GEN, generations, splits, stage
 from memaudit.plans.q_scoring import base_sql
@@ -188,3 +188,31 @@ def q_pending_prompts(spark, sf_dir):
     done = (g.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == N_GEN)
             .select(F.concat(F.lit("p_"), F.col("patient_id")).alias("prompt_id")))
     return datasets.pending(prompts, done).select("prompt_id", "patient_id")
+
+
+MISSING_SQL = base_sql() + """
+SELECT patient_id FROM splits WHERE split = 'train' AND CAST(substr(patient_id, 5) AS BIGINT) % 13 = 0"""
+
+
+@register("missing_cards", MISSING_SQL)
+def q_missing_cards(spark, sf_dir):
+    """F2's warning: train records that lack a card in some mode. The exact cards of records divisible by 13 are
+    withheld; exactly those of the train split are named."""
+    c, sp = stage(spark, sf_dir)
+    withheld = (F.col("mode") == "exact") & (F.substring("patient_id", 5, 1 << 20).cast("bigint") % 13 == 0)
+    return datasets.missing_cards(c.filter(~withheld), sp).select("patient_id")
+
+
+UNKNOWN_SQL = base_sql() + """
+SELECT model, count(*) FILTER (WHERE k % 17 <> 0) AS n_scored, count(*) FILTER (WHERE k % 17 = 0) AS n_skipped,
+       count(DISTINCT k) FILTER (WHERE k % 17 = 0) AS n_unknown_patients
+FROM (SELECT model, CAST(substr(patient_id, 5) AS BIGINT) AS k FROM gens) GROUP BY model"""
+
+
+@register("unknown_patients", UNKNOWN_SQL)
+def q_unknown_patients(spark, sf_dir):
+    """F10's count: generations per model that are scored, and those whose record the truth lacks (here the records
+    divisible by 17 are taken out of it)."""
+    c, sp = stage(spark, sf_dir)
+    known = sp.filter(F.substring("patient_id", 5, 1 << 20).cast("bigint") % 17 != 0)
+    return scoring.unknown_patients(generations(c), known)

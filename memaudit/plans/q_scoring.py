@@ -217,6 +217,7 @@ tgt AS (
   SELECT patient_id,
          CASE WHEN instr(text, 'Genetics:') > 0 THEN {sqlx.strip("split_part(substr(text, instr(text, 'Genetics:')), chr(10) || chr(10), 1)")} ELSE '' END AS gene_block,
          CASE WHEN instr(text, 'Aortic size:') > 0 THEN {sqlx.strip("split_part(substr(text, instr(text, 'Aortic size:')), chr(10) || chr(10), 1)")} ELSE '' END AS size_block,
+         CASE WHEN instr(text, 'Billing/Diagnoses:') > 0 THEN {sqlx.strip("split_part(substr(text, instr(text, 'Billing/Diagnoses:')), chr(10) || chr(10), 1)")} ELSE '' END AS billing_block,
          icd10_codes AS target_icd10
   FROM cards WHERE mode = 'exact'
 ),

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 
 EMPTY = "''"
+WS = "\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 
 
 def q(s: str) -> str:
@@ -17,8 +18,7 @@ def ident(name: str) -> str:
 
 def strip(x: str) -> str:
     # Python str.strip(): RE2 \s is ASCII, so the Unicode white space is listed explicitly
-    ws = "\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
-    return f"regexp_replace({x}, '^[{ws}]+|[{ws}]+$', '', 'g')"
+    return f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
 
 
 def num(x: str) -> str:
@@ -146,3 +146,16 @@ def code3(c: str) -> str:
 
 def n_commas(x: str) -> str:
     return f"(length({x}) - length(replace({x}, ',', '')))"
+
+
+# ------------------------------------------------------------------ any language (RE2's \\b, \\d and \\s are ASCII)
+def scrub(x: str) -> str:
+    """P5 on text in any language: a tag's borders are the text's ends or characters that are not of words.
+
+    A match takes the border characters along, so each tag is put twice: neighbours may share one."""
+    out = strip(f"coalesce({x}, '')")
+    for body, tag in (("\\p{Nd}{4}-\\p{Nd}{2}-\\p{Nd}{2}", "[DATE]"), ("\\p{Nd}{1,2}/\\p{Nd}{1,2}/\\p{Nd}{2,4}", "[DATE]"), ("\\p{Nd}{7,}", "[ID]")):
+        for _ in range(2):
+            out = f"regexp_replace({out}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){body}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', '\\1{tag}\\2', 'g')"
+    out = f"regexp_replace({out}, '[{WS}]+', ' ', 'g')"
+    return f"(CASE WHEN lower({strip(f'coalesce({x}, {EMPTY})')}) IN ('', '0', '0.0', 'none', 'n/a', 'na', 'nan') THEN '' ELSE {out} END)"
