@@ -223,13 +223,18 @@ def prefix_match(gt_codes, gen_codes) -> Column:
     """struct(recall, precision, f1, matched) at 3-char level; matched counts GT codes,
     so precision can exceed 1 when several GT codes share a category."""
     gt, gen = col(gt_codes), col(gen_codes)
-    gen3 = F.array_distinct(F.transform(gen, code3))
-    matched = F.filter(gt, lambda c: F.array_contains(gen3, code3(c)))
-    m = F.size(matched).cast("double")
-    recall = F.when(F.size(gt) > 0, m / F.size(gt)).otherwise(F.lit(0.0))
-    precision = F.when(F.size(gen) > 0, m / F.size(gen)).otherwise(F.lit(0.0))
-    f1 = F.when(recall + precision > 0, 2 * recall * precision / (recall + precision)).otherwise(F.lit(0.0))
-    return F.struct(recall.alias("recall"), precision.alias("precision"), f1.alias("f1"), matched.alias("matched"))
+
+    def scores(matched: Column) -> Column:
+        m = F.size(matched).cast("double")
+        recall = F.when(F.size(gt) > 0, m / F.size(gt)).otherwise(F.lit(0.0))
+        precision = F.when(F.size(gen) > 0, m / F.size(gen)).otherwise(F.lit(0.0))
+        f1 = F.when(recall + precision > 0, 2 * recall * precision / (recall + precision)).otherwise(F.lit(0.0))
+        return F.struct(recall.alias("recall"), precision.alias("precision"), f1.alias("f1"), matched.alias("matched"))
+
+    # one-element arrays bind the categories and the matches to names: each is made once a row, not once a code
+    categories = F.array(F.array_distinct(F.transform(gen, code3)))
+    matched = F.transform(categories, lambda gen3: F.filter(gt, lambda c: F.array_contains(gen3, code3(c))))
+    return F.transform(matched, scores)[0]
 
 
 def display_text(gen, limit: int = 800) -> Column:

@@ -150,18 +150,20 @@ def best_code_recall(gens: DataFrame, targets: DataFrame) -> DataFrame:
     j = g.join(gt, KEY)
     scored = j.select(*KEY, "gen_idx", "gt", "codes", T.prefix_match("gt", "codes").alias("m"))
     order = F.when((F.size("codes") > 0) & (F.col("m.recall") > 0), F.struct(F.col("m.recall"), -F.col("gen_idx")))
-    best = scored.groupBy(*KEY).agg(F.max_by(F.struct("m", "codes"), order).alias("b"), F.first("gt").alias("gt"))
-    best = best.select(*KEY, "gt",
+    # a generation's row without a code bears its scores; one row more for each ground-truth code it names, so that
+    # the union over generations is a count of distinct codes in the same pass (no per-record collect)
+    rows = scored.select(*KEY, "gt", F.explode(F.concat(F.array(F.lit(None).cast("string")), "m.matched")).alias("_code"),
+                         order.alias("_order"), F.struct("m", "codes").alias("_b"))
+    rows = rows.select(*KEY, "_code", *[F.when(F.col("_code").isNull(), F.col(c)).alias(c) for c in ("gt", "_order", "_b")])
+    per = rows.groupBy(*KEY, "_code").agg(F.max_by("_b", "_order").alias("_b"), F.first("gt").alias("gt"))
+    best = per.groupBy(*KEY).agg(F.first("_b", ignorenulls=True).alias("b"), F.first("gt", ignorenulls=True).alias("gt"),
+                                 F.count("_code").alias("_u"))
+    return best.select(*KEY, "gt",
                        F.coalesce("b.m.recall", F.lit(0.0)).alias("recall"),
                        F.coalesce("b.m.precision", F.lit(0.0)).alias("precision"),
                        F.coalesce("b.m.f1", F.lit(0.0)).alias("f1"),
-                       F.coalesce("b.m.matched", F.array().cast("array<string>")).alias("matched"))
-    # union recall: distinct generated categories per record, joined to GT codes (no per-record collect)
-    gen3 = g.select(*KEY, F.explode("codes").alias("c")).select(*KEY, T.code3("c").alias("c3")).distinct()
-    gtx = gt.select(*KEY, F.explode("gt").alias("code")).withColumn("c3", T.code3("code"))
-    u = (gtx.join(gen3, [*KEY, "c3"], "left_semi").groupBy(*KEY).agg(F.count(F.lit(1)).alias("_u")))
-    return (best.join(u, KEY, "left")
-            .withColumn("union_recall", F.coalesce(F.col("_u"), F.lit(0)) / F.size("gt")).drop("_u"))
+                       F.coalesce("b.m.matched", F.array().cast("array<string>")).alias("matched"),
+                       (F.col("_u") / F.size("gt")).alias("union_recall"))
 
 
 def canary_rates(gens: DataFrame, canary: DataFrame) -> DataFrame:
