@@ -20,7 +20,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents without a passage of the benchmark."""
+    """Keeps the documents without a passage of the benchmark, word for word or as a proximity match."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

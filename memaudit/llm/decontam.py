@@ -8,7 +8,13 @@ no posting is shuffled, and a hot document, source or term spreads over the segm
 window's terms are looked up, the posting list of the rarest is taken first, and the lists of the next rarest terms,
 less their offsets in the window, are intersected with it until it is empty or all terms are used: what is left are the
 exact phrase matches. With ``slop`` it also gives proximity matches: occurrences of the rarest term around which every
-other term of the window occurs within the window's length plus ``slop`` words, in any order.
+other term of the window occurs within the window's length plus ``slop`` words, in any order; with ``repeats`` as often
+as the window holds it.
+
+``contamination`` and ``decontaminate`` run both with ``slop`` = ``SLOP``. ``n_hit``, ``items`` and ``contaminated`` count exact
+matches only; items with proximity matches alone are in ``near_items``. ``decontaminate`` drops a document for either;
+``slop=None`` leaves proximity out. A proximity match needs every word of its window, so it finds words inserted or moved; a
+passage that lacks or replaces a word in each of its windows is neither kind of match.
 
 The test items pass through the driver in blocks of ``BLOCK_WINDOWS`` distinct windows at most; each block is one
 pass over the index, whatever the size of the test set.
@@ -22,6 +28,7 @@ columns are left alone.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +41,8 @@ from memaudit.llm.common import fresh, quoted, utf8
 from memaudit.session import materialize
 
 WINDOW = 10
+#: Words beyond the window's length within which a proximity match may lie.
+SLOP = 2
 #: Words of a segment; a longer document is a segment of its own.
 SEGMENT_WORDS = 400_000
 #: Distinct windows of the test items that are looked up in one pass.
@@ -141,14 +150,18 @@ def _phrase(segment: _Segment, terms: np.ndarray, order: np.ndarray) -> np.ndarr
     return starts
 
 
-def _near(segment: _Segment, terms: np.ndarray, order: np.ndarray, reach: int, doc_of: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Occurrences of the rarest term with every other term at most ``reach`` words away in the same document."""
-    at = segment.positions(terms[order[0]])
-    for k in order[1:]:
-        of = segment.positions(terms[k])
+def _near(segment: _Segment, terms: np.ndarray, order: np.ndarray, reach: int, doc_of: np.ndarray, first: np.ndarray, last: np.ndarray,
+          repeats: bool) -> np.ndarray:
+    """Occurrences of the rarest term with every other term at most ``reach`` words away in the same document; with
+    ``repeats`` each term, the rarest too, must be there as often as among the terms."""
+    at, need = segment.positions(terms[order[0]]), Counter(terms[order].tolist())
+    for term in list(need) if repeats else terms[order[1:]]:
+        if not len(at):
+            break
+        of = segment.positions(term)
         doc = doc_of[at]
         low, high = np.maximum(at - reach, first[doc]), np.minimum(at + reach, last[doc])
-        at = at[np.searchsorted(of, high, "right") > np.searchsorted(of, low)]
+        at = at[np.searchsorted(of, high, "right") - np.searchsorted(of, low) >= (need[term] if repeats else 1)]
     return at
 
 
@@ -156,7 +169,7 @@ _HIT = "segment long, doc int, item string, first int, past int, exact boolean"
 
 
 def match(index: DataFrame, items: DataFrame, id_col: str = "item_id", text: str = "text", window: int = WINDOW,
-          slop: int | None = None, block: int = BLOCK_WINDOWS) -> DataFrame:
+          slop: int | None = None, block: int = BLOCK_WINDOWS, repeats: bool = False) -> DataFrame:
     """(segment, doc, item, first, past, exact): maximal runs of words in exact windows of an item; with ``slop`` also
     single anchor words of proximity matches, which are not exact."""
     found = index.sparkSession.createDataFrame([], _HIT)
@@ -169,11 +182,12 @@ def match(index: DataFrame, items: DataFrame, id_col: str = "item_id", text: str
         names = sorted(set().union(*held.values()))
         number = {n: i for i, n in enumerate(names)}
         owners = [np.array([number[i] for i in own], np.int64) for own in held.values()]
-        found = found.union(_one_block(index, list(numbers), table, size, owners, names, slop))
+        found = found.union(_one_block(index, list(numbers), table, size, owners, names, slop, repeats))
     return materialize(found, "matches")
 
 
-def _one_block(index: DataFrame, vocabulary: list[bytes], table: np.ndarray, size: np.ndarray, owners: list[np.ndarray], names: list[str], slop: int | None) -> DataFrame:
+def _one_block(index: DataFrame, vocabulary: list[bytes], table: np.ndarray, size: np.ndarray, owners: list[np.ndarray], names: list[str], slop: int | None,
+               repeats: bool) -> DataFrame:
     used = np.arange(table.shape[1]) < size[:, None]
 
     def of_segment(number: int, sizes: np.ndarray, segment: _Segment) -> Iterator[pa.RecordBatch]:
@@ -195,7 +209,7 @@ def _one_block(index: DataFrame, vocabulary: list[bytes], table: np.ndarray, siz
             if len(at):
                 add(at, size[w], w, True)
             if slop is not None:
-                near = _near(segment, table[w], order, int(size[w]) - 1 + slop, doc_of, first, first + sizes - 1)
+                near = _near(segment, table[w], order, int(size[w]) - 1 + slop, doc_of, first, first + sizes - 1, repeats)
                 if len(near):
                     add(near, 1, w, False)
         if not docs:
@@ -228,28 +242,32 @@ def _one_block(index: DataFrame, vocabulary: list[bytes], table: np.ndarray, siz
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                  window: int = WINDOW) -> DataFrame:
-    """(id, digest, n_words, n_hit, items array, contaminated) of every document."""
+                  window: int = WINDOW, slop: int | None = SLOP) -> DataFrame:
+    """(id, digest, n_words, n_hit, items array, contaminated, near_items array) of every document."""
     index = build_index(docs, id_col, text)
-    return _per_document(index, match(index, items, item_id, item_text, window).where("exact"), id_col)
+    return _per_document(index, match(index, items, item_id, item_text, window, slop, repeats=True), id_col)
 
 
 def _per_document(index: DataFrame, runs: DataFrame, id_col: str) -> DataFrame:
     before = Window.partitionBy("segment", "doc").orderBy("first", "past", "item").rowsBetween(Window.unboundedPreceding, -1)
     fresh_words = F.greatest(F.lit(0), F.col("past") - F.greatest("first", F.coalesce(F.max("past").over(before), F.lit(0))))
-    hits = (runs.select("segment", "doc", "item", fresh_words.alias("words")).groupBy("segment", "doc")
+    hits = (runs.where("exact").select("segment", "doc", "item", fresh_words.alias("words")).groupBy("segment", "doc")
             .agg(F.sum("words").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items")))
+    near = runs.where("NOT exact").groupBy("segment", "doc").agg(F.array_sort(F.collect_set("item")).alias("near"))
     docs = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "digests", "n_words")).alias("doc", "d"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return (docs.join(hits, ["segment", "doc"], "left")
+    none = F.array().cast("array<string>")
+    found = F.coalesce("items", none)
+    return (docs.join(hits, ["segment", "doc"], "left").join(near, ["segment", "doc"], "left")
             .select(F.col("d.doc_ids").alias(id_col), F.col("d.digests").alias("digest"), F.col("d.n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
-                    F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated")))
+                    found.alias("items"), (n_hit > 0).alias("contaminated"), F.array_except(F.coalesce("near", none), found).alias("near_items")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                  window: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents in which a window of an item occurs; a decision holds for all copies of a text."""
+                  window: int = WINDOW, slop: int | None = SLOP) -> DataFrame:
+    """``docs`` without the documents in which a window of an item occurs, exactly or (unless ``slop`` is None) as a proximity
+    match; a decision holds for all copies of a text."""
     digest, other = fresh(docs, "digest", "hit_digest")
-    hit = contamination(docs, items, id_col, text, item_id, item_text, window).where("contaminated").select(F.col("digest").alias(other)).distinct()
+    hit = contamination(docs, items, id_col, text, item_id, item_text, window, slop).where(F.col("contaminated") | (F.size("near_items") > 0)).select(F.col("digest").alias(other)).distinct()
     marked = docs.withColumn(digest, F.unhex(F.md5(F.coalesce(quoted(text).cast("string"), F.lit("")).cast("binary"))))
     return marked.join(hit, marked[digest] == hit[other], "left_anti").select(*[quoted(c) for c in docs.columns])

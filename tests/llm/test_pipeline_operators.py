@@ -146,6 +146,40 @@ def test_decontaminate_keeps_clean_rows_and_columns(spark):
     assert decontam.decontaminate(df, items.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("repeats", [False, True])
+def test_proximity_matches_of_one_segment_equal_plain_version(spark, repeats):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(40))) for i in range(12)]
+    items = [(1, "a b c"), (2, "f f a"), (3, "e"), (4, "b b b")]
+    index = decontam.build_index(H.docs(spark, rows).repartition(1))
+    (segment,) = index.collect()
+    found = decontam.match(index, spark.createDataFrame(items, "item_id long, text string"), slop=1, repeats=repeats).where("not exact").collect()
+    got = {(segment["doc_ids"][r["doc"]], r["item"], p) for r in found for p in range(r["first"], r["past"])}
+    counts = {bytes(t).decode(): n for t, n in zip(segment["terms"], segment["counts"])}
+    want = set()
+    for d, text in rows:
+        w = text.split()
+        for item, body in items:
+            terms = body.split()
+            rare = min(terms, key=lambda t: counts[t])
+            for p, x in enumerate(w):
+                around = w[max(0, p - len(terms)):p + len(terms) + 1]  # length - 1 + slop
+                if x == rare and all(around.count(t) >= (terms.count(t) if repeats else 1) for t in terms):
+                    want.add((d, str(item), p))
+    assert want and got == want
+
+
+def test_proximity_matches_are_reported_and_dropped(spark):
+    passage = "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima"
+    rows = [(1, "x " + passage + " y"), (2, "x " + passage.replace("foxtrot", "foxtrot really") + " y"), (3, passage.replace("foxtrot golf", "golf foxtrot")),
+            (4, "alpha bravo charlie delta echo and other words"), (5, "one single a here"), (6, None)]
+    items = spark.createDataFrame([(7, passage), (8, "a " * 12)], "item_id long, text string")
+    got = {r["doc_id"]: (r["contaminated"], r["items"], r["near_items"]) for r in decontam.contamination(H.docs(spark, rows), items).collect()}
+    assert got == {1: (True, ["7"], []), 2: (False, [], ["7"]), 3: (False, [], ["7"]), 4: (False, [], []), 5: (False, [], []), 6: (False, [], [])}
+    assert sorted(r["doc_id"] for r in decontam.decontaminate(H.docs(spark, rows), items).collect()) == [4, 5, 6]
+    assert sorted(r["doc_id"] for r in decontam.decontaminate(H.docs(spark, rows), items, slop=None).collect()) == [2, 3, 4, 5, 6]
+
+
 # --- mixing -------------------------------------------------------------------------------------------------
 
 def test_mixing_targets_and_copies(spark):
