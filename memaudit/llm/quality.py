@@ -4,8 +4,11 @@ Each whole text is tokenised word by word with a public SentencePiece vocabulary
 byte-fallback tokens, and the entropy of its tokens in bits. A text's reference group is its language (its script where
 that is null) and its length (floor of log2 of its tokens). For each group the median and the median absolute deviation of
 the three measures are taken over *all* texts that pass the base rules; a text is kept if each measure is within ``WIDTH`` scaled
-deviations below and above the median. A group of fewer than ``LEAST_GROUP`` texts is judged by the bands of its
-language at all lengths, and kept if there are too few of these as well.
+deviations below and above the median. A group of fewer than ``LEAST_GROUP`` texts is judged by the first of these bands that
+has as many: its language at the nearest length (at most ``NEAR_LENGTHS`` away), its language at all lengths, its script at
+its own or the nearest length, its script at all lengths, all texts at its own or the nearest length. The band of all texts at
+all lengths is there for any number of texts, so every text that passes the base rules is judged; under ``LEAST_GROUP`` of
+them its deviations are no less than ``FEW``, shrinking with their number, so that only gross outliers are rejected.
 
 Base counts: white-space words, code points in them, symbols, lines equal to an earlier line, and words in 3-word windows
 found twice or more. Base rules: fewer than 50 words, or more than half of the words repeated, fail.
@@ -29,10 +32,14 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Scaled deviations that a measure may lie below and above its group's median; repetition lowers entropy, mixture only raises it.
 WIDTH = {"fertility": (5.0, 5.0), "bytes": (1000.0, 5.0), "entropy": (5.0, 10.0)}
 LEAST_GROUP = 50
+#: Doublings of length over which a band of the same key may stand in.
+NEAR_LENGTHS = 2
 #: Keys under which the rows of a group meet its bands.
 SALTS = 64
 #: Least deviations, so that a group of near-equal texts does not reject on noise.
 FLOOR = {"fertility": 0.02, "bytes": 0.003, "entropy": 0.1}
+#: Least deviations of the band of all texts where there are next to none; they shrink to nothing at ``LEAST_GROUP`` texts.
+FEW = {"fertility": 0.5, "bytes": 0.02, "entropy": 0.5}
 SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
 CACHED_WORDS = 400_000
 #: Scripts by the lead byte of their letters in UTF-8 (fixed values); ASCII letters are Latin.
@@ -131,26 +138,40 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: s
     # one language may hold most rows: they meet its few bands under SALTS keys
     out = out.withColumn(salt, F.pmod(F.xxhash64(*[F.col(n[c]) for c in ("n_words", "word_chars", "n_tokens", "fertility", "entropy")]), F.lit(SALTS)).cast("int"))
     parts = {m: out[n[m]] for m in FLOOR}
-    sound = out.where(~F.col(failed)).select(F.col(group).alias("g"), F.col(size).alias("s"), F.col(salt).alias("salt"), *[F.col(n[m]).alias(m) for m in FLOOR])
+    sound = out.where(~F.col(failed)).select(F.col(group).alias("g"), F.col(n["script"]).alias("script"), F.lit("all").alias("every"), F.col(size).alias("s"),
+                                             F.col(salt).alias("salt"), *[F.col(n[m]).alias(m) for m in FLOOR])
 
     def salted(table: DataFrame, name: str = "salt") -> DataFrame:
         return table.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
-    def bands(rows: DataFrame, *by: str) -> DataFrame:
-        middle = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile_approx(m, 0.5, 10_000).alias("mid_" + m) for m in FLOOR])
-        wide = rows.join(salted(middle), [*by, "salt"]).groupBy(*by).agg(F.first("n").alias("n"), *[F.first("mid_" + m).alias("mid_" + m) for m in FLOOR],
-                                                           *[F.percentile_approx(F.abs(F.col(m) - F.col("mid_" + m)), 0.5, 10_000).alias("dev_" + m) for m in FLOOR])
-        wide = wide.where(F.col("n") >= LEAST_GROUP)
-        return wide.select(*by, F.struct(*[F.struct(F.col("mid_" + m).alias("mid"), F.greatest(1.4826 * F.col("dev_" + m), F.lit(FLOOR[m])).alias("dev")).alias(m) for m in FLOOR]).alias("band"))
-
-    own = salted(bands(sound, "g", "s").withColumnRenamed("band", "own_band").withColumnRenamed("s", "own_s"), "own_salt")
-    common = salted(bands(sound, "g").withColumnRenamed("band", "common_band").withColumnRenamed("g", "common_g"), "common_salt")
-    marked = (out.join(own, (out[group] == own["g"]) & (out[size] == own["own_s"]) & (out[salt] == own["own_salt"]), "left")
-              .join(common, (out[group] == common["common_g"]) & (out[salt] == common["common_salt"]), "left"))
-    band = F.coalesce(own["own_band"], common["common_band"])
+    def bands(*by: str, least: int = LEAST_GROUP) -> DataFrame:
+        middle = sound.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile_approx(m, 0.5, 10_000).alias("mid_" + m) for m in FLOOR])
+        # scripts are a fixed list and lengths are logarithms, so without the language the middles are a few hundred rows
+        rows = sound.join(salted(middle), [*by, "salt"]) if "g" in by else sound.join(F.broadcast(middle), [*by])
+        wide = rows.groupBy(*by).agg(F.first("n").alias("n"), *[F.first("mid_" + m).alias("mid_" + m) for m in FLOOR],
+                                     *[F.percentile_approx(F.abs(F.col(m) - F.col("mid_" + m)), 0.5, 10_000).alias("dev_" + m) for m in FLOOR])
+        few = F.greatest(F.lit(0.0), 1 - F.col("n") / LEAST_GROUP)
+        return wide.where(F.col("n") >= least).select(*by, F.struct(*[F.struct(
+            F.col("mid_" + m).alias("mid"), F.greatest(1.4826 * F.col("dev_" + m), F.lit(FLOOR[m]), few * FEW[m]).alias("dev")).alias(m) for m in FLOOR]).alias("band"))
+
+    def ladder(key: str, least: int = LEAST_GROUP) -> DataFrame:
+        """The band of each key at all lengths (``whole``) and those at single lengths (``sizes``, one per doubling)."""
+        sizes = bands(key, "s").groupBy(key).agg(F.collect_list(F.struct("s", "band")).alias(key + "_sizes"))
+        return bands(key, least=least).withColumnRenamed("band", key + "_whole").join(sizes, key, "left")
+
+    own, script, every = salted(ladder("g"), "own_salt"), ladder("script").withColumnRenamed("script", "own_script"), salted(ladder("every", 0), "every_salt")
+    marked = (out.join(own, (out[group] == own["g"]) & (out[salt] == own["own_salt"]), "left")
+              .join(F.broadcast(script), out[n["script"]] == script["own_script"], "left").join(F.broadcast(every), out[salt] == every["every_salt"], "left"))
+
+    def steps(table: DataFrame, key: str) -> list:
+        away = lambda x: F.abs(x["s"] - out[size])
+        near = F.array_min(F.transform(F.filter(table[key + "_sizes"], lambda x: away(x) <= NEAR_LENGTHS), lambda x: F.struct(away(x).alias("away"), x["s"].alias("s"), x["band"].alias("band"))))
+        return [near["band"], table[key + "_whole"]]
+
+    band = F.coalesce(*steps(own, "g"), *steps(script, "script"), *steps(every, "every"))
     inside = F.lit(True)
     for m, value in parts.items():
         off = (value - band[m]["mid"]) / band[m]["dev"]
         inside &= off.between(-WIDTH[m][0], WIDTH[m][1])
     own_columns = [out[c].alias(c) for c in out.columns if c not in (group, size, salt)]
-    return marked.select(*own_columns, (~out[failed] & F.coalesce(inside, F.lit(True))).alias(kept)), n | {"base_failed": failed, "kept": kept}
+    return marked.select(*own_columns, (~out[failed] & F.coalesce(inside, F.lit(False))).alias(kept)), n | {"base_failed": failed, "kept": kept}

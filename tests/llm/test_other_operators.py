@@ -132,6 +132,30 @@ def test_quality_keeps_clean_documents_and_rejects_some_junk(spark):
     assert sum(good) / len(good) > 0.97
 
 
+def sentence_rows(seed, n, first, lang, words=120):
+    rng = random.Random(seed)
+    vocabulary = "the people of this town went home after work because they wanted food water house garden morning evening little great story".split()
+    return [(first + i, " ".join(rng.choice(vocabulary) for _ in range(words)), lang) for i in range(n)]
+
+
+def junk(seed, n=120):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("qxzjkvwß☃ЖЯ字0987") for _ in range(9)) for _ in range(n))
+
+
+def test_quality_judges_texts_of_rare_languages_and_small_tables(spark):
+    common = sentence_rows(1, 70, 0, "en")
+    rare = [(1000 + i, junk(i), f"lang{i}") for i in range(8)] + sentence_rows(2, 8, 2000, "rare") + [(3000, junk(99, 1500), "en")]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(H.docs(spark, common + rare))[0].collect()}
+    assert sum(kept[d] for d, *_ in common) >= 68
+    assert not any(kept[1000 + i] for i in range(8)) and not kept[3000]
+    assert all(kept[2000 + i] for i in range(8))
+    few = {r["doc_id"]: r["kept"] for r in quality.judge(H.docs(spark, common[:12] + rare[:1]))[0].collect()}
+    assert not few[1000] and all(few[d] for d, *_ in common[:12])
+    pair = {r["doc_id"]: r["kept"] for r in quality.judge(H.docs(spark, common[:1] + sentence_rows(3, 1, 50, None, 200)))[0].collect()}
+    assert pair == {0: True, 50: True}
+
+
 # --- personal data ------------------------------------------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
