@@ -16,7 +16,7 @@ The patterns are written so that every text is scanned in time linear in its len
 run begins); each gives the leftmost matches of the plain form beside it. Offsets are code points, end exclusive.
 
 Defined results: a null text is empty and has no span; repeated rows get equal results and vote once each; texts are
-read whole; without candidates nothing is fitted; an empty table gives an empty result; other columns are left alone.
+read whole and spans have no greatest length; without candidates nothing is fitted; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ PATTERNS = {
     "card": _run("0-9") + r"[0-9]++(?:[\x20-][0-9]++)*+",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,255}(?![A-Za-z0-9])|(?i:password|passwd|pwd|secret|token|api_?key) ?[=:] ?\"?[^\s\"]{6,200}\"?)",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}+(?![A-Za-z0-9])|(?i:password|passwd|pwd|secret|token|api_?key) ?[=:] ?\"?[^\s\"]{6,}+\"?)",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9+)(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",

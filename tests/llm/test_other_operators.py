@@ -199,6 +199,15 @@ def test_added_spans_and_redaction(spark):
     assert rows[103] == "his [secret] and [secret] here" and rows[999] is None
 
 
+def test_long_credentials_are_whole_spans(spark):
+    filler = [(i, f"his password=a1b2c3d4e5f{i} and AKIAABCDEFGHIJ2345{i:02d} here") for i in range(60)]
+    value, longer = "aB3" * 334, "b1" + "xY-_." * 30000
+    texts = {900: f"token={value} end", 901: f'secret: "{value}" end', 902: f"gh ghp_{value} end", 903: f"api_key={longer} end", 904: f"token={value[:200]} end"}
+    df = H.docs(spark, filler + list(texts.items()))
+    rows = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert [rows[d] for d in texts] == ["[secret] end", "[secret] end", "gh [secret] end", "[secret] end", "[secret] end"]
+
+
 def test_op8_base_on_the_small_table(spark):
     got = {r["doc_id"]: r["base_sha256"] for r in QUERIES["op8_personal_data"](spark, SMALL).collect()}
     rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
