@@ -141,12 +141,14 @@ def evidence(raw: bytes | None, strong, around) -> list[float]:
     for hit in _found(strong, text):  # of matches that begin at one place the weightiest counts
         if hit[0] not in hits or hit[3] > hits[hit[0]][3]:
             hits[hit[0]] = hit
-    done = 0
+    done, begin = -1, 0
+    breaks = BREAK.finditer(text)
+    close = next(breaks, None)
     for start in sorted(hits):
         if start < done:
             continue
-        begin = max((m.end() for m in BREAK.finditer(text, max(0, start - 400), start)), default=max(0, start - 400))
-        close = BREAK.search(text, start)
+        while close and close.start() < start:  # each break is passed once, so a text is read in linear time
+            begin, close = close.end(), next(breaks, None)
         done = close.start() if close else len(text)
         events = sorted(_found(around, text[begin:done], begin) + [h for h in hits.values() if begin <= h[0] < done])
         state, past = GRAMMAR.start, begin

@@ -227,6 +227,17 @@ def test_grammar_marks():
     assert ev("kill") == [3.0, 0, 0, 0]
 
 
+def test_clauses_are_read_from_their_true_start():
+    machines = toxicity.Model({"idiot": 8.0}).machines()
+    ev = lambda t: toxicity.evidence(t.encode(), *machines)
+    filler = "word " * 300
+    assert ev("she said " + filler + "idiot") == [0, 0, 0, 8.0]
+    assert ev("she said. " + filler + "idiot") == [8.0, 0, 0, 0]
+    assert ev("he " + "x" * 395 + "you idiot") == ev("he " + "x" * 300 + "you idiot") == [0, 8.0, 0, 0]
+    assert ev("a" * 50 + "x" + "you " + "w" * 395 + " idiot") == [8.0, 0, 0, 0]
+    assert ev("idiot. said idiot; idiot") == [12.0, 0, 0, 8.0]
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows = {r["doc_id"]: r for r in QUERIES["op10_toxicity"](spark, MORE).collect()}
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{MORE}/labels.parquet").collect()}
