@@ -8,8 +8,10 @@ clause does to it: plain, targeted, negated, reported. A text's features are the
 logistic regression, fitted on the same labelled rows and drawn to a prior (a negated or reported insult counts less), turns
 them into a score.
 
-Lexicon: beginnings of 4 to 7 letters and whole words of distinct toxic texts, kept where they occur in so many toxic
-texts, and hardly in others, that chance would give none (Bonferroni over all patterns tried). Labelled rows are a
+Lexicon: beginnings of 4 to 7 letters and whole words of distinct texts, counted where the grammar reads them as neither
+negated nor reported, in toxic and other texts alike, so that quoting or denying an insult does not speak for or against it. A
+pattern is kept where its share of toxic texts is so far above the classes' share that chance would give none (Chernoff's bound
+on the binomial tail, Bonferroni over all patterns tried) and it is ``RATIO`` times as frequent in toxic texts. Labelled rows are a
 hash sample of about ``SAMPLE`` rows of the training labels, as large for any corpus; whole texts are read in training and scoring.
 
 Training rows have crc32(id as text) mod 5 other than 0; a row without an id, text or label is no training row; a
@@ -50,6 +52,8 @@ CLASSES = {
 MARKS = ["plain", "targeted", "negated", "reported"]
 #: Where the regression starts from, per unit of evidence of each mark, and how strongly it is drawn there.
 PRIOR, BIAS, DRAW = {"plain": 1.0, "targeted": 1.1, "negated": 0.5, "reported": 0.6}, -4.0, 0.02
+#: How many times as frequent in toxic texts as in others a pattern of the lexicon is at least; less is topic, not insult.
+RATIO = 8.0
 #: The evidence of one match and of one text's mark, at most.
 MOST, THREAT = 12.0, 3.0
 
@@ -183,17 +187,45 @@ def patterns_of(raw: bytes | None) -> set[str]:
     return {w + " " for w in words} | {w[:k] for w in words for k in range(4, 8) if len(w) > k}
 
 
+def _around() -> ahocorasick.Automaton:
+    return Model({}).machines()[1]
+
+
+def plain_patterns_of(raw: bytes | None, around) -> set[str]:
+    """The patterns that occur somewhere in a text outside negation and reported speech."""
+    text, words = (raw or b"").decode().lower(), set()
+    for clause in BREAK.split(text):
+        events = _found(around, clause)
+        if not any(e[2] in "NR" for e in events):
+            words.update(LETTERS.findall(clause))
+            continue
+        events.sort()
+        state, gap, at = GRAMMAR.start, 0, 0
+        for m in LETTERS.finditer(clause):
+            while at < len(events) and events[at][1] <= m.start():  # a symbol acts on what follows it
+                if gap > 4:
+                    state = GRAMMAR.step(state, "-")[0]
+                state, gap = GRAMMAR.step(state, events[at][2])[0], 0
+                at += 1
+            now = GRAMMAR.step(state, "-")[0] if gap > 4 else state
+            if not GRAMMAR.step(now, "I")[1] & {"negated", "reported"}:
+                words.add(m[0])
+            gap += 1
+    return patterns_of(" ".join(words).encode())
+
+
 def _counts(texts: DataFrame, wanted: dict | None = None, flush: int = 300_000) -> DataFrame:
-    """(pattern, n): in how many of the texts (the only column) each pattern, or each wanted one, occurs."""
+    """(pattern, n): in how many of the texts (the only column) each pattern, or each wanted one, occurs outside negation and reported speech."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        around = _around()
 
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
 
         for batch in batches:
             for raw in utf8(batch.column(0)):
-                found = patterns_of(raw)
+                found = plain_patterns_of(raw, around)
                 counts.update(found if wanted is None else found & wanted.keys())
                 if len(counts) > flush:
                     yield rows()
@@ -204,6 +236,15 @@ def _counts(texts: DataFrame, wanted: dict | None = None, flush: int = 300_000)
     return texts.mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
+def significance(a: int, b: int, base: float) -> float:
+    """Minus the logarithm of Chernoff's bound on the chance that ``a`` or more of ``a + b`` texts are toxic, of which a share
+    ``base`` of all texts is."""
+    share = a / (a + b)
+    if share <= base:
+        return 0.0
+    return a * math.log(share / base) + (b * math.log((1 - share) / (1 - base)) if b else 0.0)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     known = labels.where(trains(id_col) & quoted(label).isNotNull()).groupBy(quoted(id_col).alias("own_id")).agg((F.avg(quoted(label).cast("double")) >= 0.5).cast("int").alias("y"))
     share = min(1.0, sample / max(1, known.count()))
@@ -218,16 +259,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     seen = materialize(_counts(rows.where("y = 1").select("text")), "patterns")
     tried = seen.count()
     base = n[1] / (n[0] + n[1])
-    least = max(3, math.ceil((math.log(tried + 1) + 5) / -math.log(base)))
+    bar = math.log(tried + 1) + 5
+    least = max(3, math.ceil(bar / -math.log(base)))
     toxic = {r["pattern"]: r["n"] for r in seen.where(F.col("n") >= least).collect()}  # of the sample's texts
     clean = {r["pattern"]: r["n"] for r in _counts(rows.where("y = 0").select("text"), dict.fromkeys(toxic)).collect()}
     lexicon = {}
     for pattern, a in sorted(toxic.items()):
         b = clean.get(pattern, 0)
-        if b <= 0.02 * a:
+        if significance(a, b, base) >= bar and a * n[0] >= RATIO * b * n[1]:
             lexicon[pattern] = min(MOST, math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1)))
-    # a longer pattern within a kept beginning says nothing more
-    lexicon = {p: w for p, w in lexicon.items() if not any(p[:k] in lexicon for k in range(4, len(p.rstrip()))) }
+    # a longer pattern within a kept beginning of no less weight says nothing more
+    lexicon = {p: w for p, w in lexicon.items() if not any(lexicon.get(p[:k], 0.0) >= w for k in range(4, len(p.rstrip())))}
     return Model(lexicon, _fit(rows, Model(lexicon)))
 
 

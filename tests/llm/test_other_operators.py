@@ -246,6 +246,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows.values())
 
 
+def test_lexicon_keeps_insults_that_clean_texts_quote(spark):
+    rng = random.Random(6)
+    said = ["she said rotzkopf loudly", "that is not a rotzkopf", "der mann sagte rotzkopf", "nobody told us rotzkopf today"]
+    fine = [f"fine words for you number {rng.choice('abcdef')} here" for _ in range(760)]
+    clean = [f"{t} {'abcdefgh'[i % 8]}{'klmnop'[i // 8 % 6]}" for i, t in enumerate(fine)] + [f"{said[i % 4]} x{'abcdefghijklmnopqrst'[i % 20]}{i // 20}" for i in range(40)] + ["a rotzkopf plain", "one rotzkopf more", "my rotzkopf too"]
+    toxic = [f"{('oh', 'you')[i % 2]} rotzkopf {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} for you number here" for i in range(100)]
+    rows = list(enumerate(clean)) + [(5000 + i, t) for i, t in enumerate(toxic)]
+    labels = spark.createDataFrame([(d, int(d >= 5000)) for d, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(H.docs(spark, rows), labels)
+    assert "rotz" in model.lexicon and not {"number ", "numb", "here "} & set(model.lexicon)
+    got = {r["doc_id"]: r["p"] for r in toxicity.score(H.docs(spark, [(1, "you rotzkopf"), (2, "fine words for you")]), model, out="p").collect()}
+    assert got[1] > 0.5 > got[2]
+
+
+def test_patterns_are_counted_outside_negation_and_reported_speech():
+    found = lambda t: toxicity.plain_patterns_of(t.encode(), toxicity._around())
+    assert "scum " in found("he is scum") and "scum " not in found("not scum. he said that they are scum")
+    assert "scum " in found("not one two three four five scum") and "scum " in found("said nothing\nscum") and "scum " in found("scum, she said")
+    assert found("") == set() == toxicity.plain_patterns_of(None, toxicity._around())
+
+
 def test_toxicity_of_odd_tables(spark):
     rows = [(i, f"fine words for you number{i} here") for i in range(80)] + [(1000 + i, f"oh rotzkopf{i % 7} you") for i in range(80)] + [(5000, None), (5001, ""), (5001, ""), (None, "rotzkopfs"), (5002, LONG)]
     docs = H.docs(spark, rows).withColumn("score", F.lit(1))
