@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memaudit.llm import chat, decontam, langid, mixing, packing, pii, quality, simhash, toxicity, urlfilter
+from memaudit.llm import chat, decontam, langid, mixing, packing, pii, quality, simhash, spelling, tokencount, toxicity, turnrepair, urlfilter
 from memaudit.plans.tables import table
 
 QUERIES: dict = {}
@@ -138,3 +138,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     out = toxicity.score(docs.withColumn("held_out", langid.held_out("doc_id")), model, keep=["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query()
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turnrepair.damaged(table(spark, sf_dir, "conversations"))
+    return turnrepair.repair(turnrepair.judged(rows)).drop("n_blocks")
+
+
+@query()
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), keep=["doc_id"])[0]
