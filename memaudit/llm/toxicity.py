@@ -8,7 +8,7 @@ clause does to it: plain, targeted, negated, reported. A text's features are the
 logistic regression, fitted on the same labelled rows and drawn to a prior (a negated or reported insult counts less), turns
 them into a score.
 
-Lexicon: beginnings of 4 to 7 letters and whole words of distinct texts, counted where the grammar reads them as neither
+Lexicon: beginnings of 4 to 7 letters and whole words of distinct texts (stretches of 2 to 4 letters in scripts without spaces), counted where the grammar reads them as neither
 negated nor reported, in toxic and other texts alike, so that quoting or denying an insult does not speak for or against it. A
 pattern is kept where its share of toxic texts is so far above the classes' share that chance would give none (Chernoff's bound
 on the binomial tail, Bonferroni over all patterns tried) and it is ``RATIO`` times as frequent in toxic texts. Labelled rows are a
@@ -27,7 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import product
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -41,6 +41,11 @@ from memaudit.session import materialize
 #: Labelled rows that lexicon and weights are fitted on, about.
 SAMPLE = 20_000
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters of scripts that put no spaces between words (fixed ranges: Thai and Lao, Myanmar, Khmer, Kana, Han); their runs are
+#: clauses, so the lexicon takes stretches of ``INSIDE`` letters anywhere in them.
+UNSPACED, INSIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]"), (2, 3, 4)
+#: Letters of a word that may stand in the lexicon as a whole; a longer run of letters is known by its beginnings.
+LONGEST = 64
 BREAK = re.compile(r"[.!?;\n]")
 #: Fixed word lists: English, German, French, Spanish.
 CLASSES = {
@@ -54,7 +59,8 @@ MARKS = ["plain", "targeted", "negated", "reported"]
 PRIOR, BIAS, DRAW = {"plain": 1.0, "targeted": 1.1, "negated": 0.5, "reported": 0.6}, -4.0, 0.02
 #: How many times as frequent in toxic texts as in others a pattern of the lexicon is at least; less is topic, not insult.
 RATIO = 8.0
-#: The evidence of one match and of one text's mark, at most.
+#: The evidence of one match and of one text's mark, at most: features saturate, so a long text is not toxic by length alone. All
+#: matches are read; the bound is on the feature, as large for any text.
 MOST, THREAT = 12.0, 3.0
 
 
@@ -110,26 +116,33 @@ class Model:
     def machines(self) -> tuple:
         """Automata of the insults and threats, and of the words around them."""
         strong, around = ahocorasick.Automaton(), ahocorasick.Automaton()
+        same: dict[str, list] = {}  # a word may stand in the lexicon as a whole and as a beginning
         for pattern, weight in self.lexicon.items():
-            strong.add_word(pattern.strip(), ("I", pattern, weight))
+            same.setdefault(_letters_of(pattern), []).append(("I", pattern, weight))
         for symbol, words in CLASSES.items():
             for word in words.split():
                 if symbol != "X":
-                    around.add_word(word, (symbol, word + " ", 0.0))
-                elif not strong.exists(word):
-                    strong.add_word(word, ("X", word + " ", THREAT))
+                    around.add_word(word, [(symbol, word + " ", 0.0)])
+                else:
+                    same.setdefault(word, [("X", word + " ", THREAT)])
+        for word, entries in same.items():
+            strong.add_word(word, entries)
         strong.make_automaton()
         around.make_automaton()
         return strong, around
 
 
+def _letters_of(pattern: str) -> str:
+    return pattern.removeprefix("*").rstrip()
+
+
 def _found(machine, text: str, offset: int = 0) -> list[tuple[int, int, str, float]]:
     """(start, end, symbol, weight) of the machine's words in the text; a match begins a word, and ends it if it must."""
     out = []
-    for last, (symbol, pattern, weight) in machine.iter(text):
-        size = len(pattern.rstrip())
+    for last, symbol, pattern, weight in ((last, *entry) for last, entries in machine.iter(text) for entry in entries):
+        size = len(_letters_of(pattern))
         start = last + 1 - size
-        if start and text[start - 1].isalpha():
+        if pattern[0] != "*" and start and text[start - 1].isalpha():
             continue
         if pattern.endswith(" ") and last + 1 < len(text) and text[last + 1].isalpha():
             continue
@@ -145,27 +158,39 @@ def evidence(raw: bytes | None, strong, around) -> list[float]:
     for hit in _found(strong, text):  # of matches that begin at one place the weightiest counts
         if hit[0] not in hits or hit[3] > hits[hit[0]][3]:
             hits[hit[0]] = hit
-    done, begin = -1, 0
+    order, begin = [hits[start] for start in sorted(hits)], 0
     breaks = BREAK.finditer(text)
     close = next(breaks, None)
-    for start in sorted(hits):
-        if start < done:
-            continue
-        while close and close.start() < start:  # each break is passed once, so a text is read in linear time
+    at = 0
+    while at < len(order):  # hits and breaks are passed once, and a clause's text is read once
+        while close and close.start() < order[at][0]:
             begin, close = close.end(), next(breaks, None)
-        done = close.start() if close else len(text)
-        events = sorted(_found(around, text[begin:done], begin) + [h for h in hits.values() if begin <= h[0] < done])
-        state, past = GRAMMAR.start, begin
-        for at, end, symbol, weight in events:
-            if len(LETTERS.findall(text, past, at)) > 4:
-                state = GRAMMAR.step(state, "-")[0]
-            state, marks = GRAMMAR.step(state, symbol)
-            past = max(past, end)
-            if marks & {"insult", "threat"}:
-                total[mark_of(marks)] += weight
+        done, first = close.start() if close else len(text), at
+        while at < len(order) and order[at][0] < done:
+            at += 1
+        for mark, weight in _clause(text, begin, sorted(_found(around, text[begin:done], begin) + order[first:at])):
+            total[mark] += weight
     return [min(total[m], MOST) for m in MARKS]
 
 
+def _clause(text: str, begin: int, events: list[tuple]) -> Iterator[tuple[str, float]]:
+    """(mark, weight) of each insult or threat among a clause's events in order."""
+    state, past = GRAMMAR.start, begin
+    for at, end, symbol, weight in events:
+        if _stretch(text, past, at):
+            state = GRAMMAR.step(state, "-")[0]
+        state, marks = GRAMMAR.step(state, symbol)
+        past = max(past, end)
+        if marks & {"insult", "threat"}:
+            yield mark_of(marks), weight
+
+
+def _stretch(text: str, start: int, end: int) -> bool:
+    """Whether more than four words stand between two places."""
+    words = LETTERS.finditer(text, start, max(start, end))
+    return sum(1 for _ in islice(words, 5)) > 4
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -182,9 +207,16 @@ def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> list[float]:
 
 
 def patterns_of(raw: bytes | None) -> set[str]:
-    """Whole words (with a space behind) and beginnings of 4 to 7 letters of a text."""
-    words = {w for w in LETTERS.findall((raw or b"").decode().lower()) if 3 <= len(w) <= 40}
-    return {w + " " for w in words} | {w[:k] for w in words for k in range(4, 8) if len(w) > k}
+    """Whole words (with a space behind), beginnings of 4 to 7 letters, and in scripts without spaces stretches (with a star before) of a text."""
+    out = set()
+    for word in set(LETTERS.findall((raw or b"").decode().lower())):
+        if UNSPACED.search(word):
+            out.update("*" + word[i:i + k] for k in INSIDE for i in range(len(word) - k + 1))
+            continue
+        out.update(word[:k] for k in range(4, 8) if len(word) > k)
+        if len(word) <= LONGEST:
+            out.add(word + " ")
+    return out
 
 
 def _around() -> ahocorasick.Automaton:
@@ -269,7 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         if significance(a, b, base) >= bar and a * n[0] >= RATIO * b * n[1]:
             lexicon[pattern] = min(MOST, math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1)))
     # a longer pattern within a kept beginning of no less weight says nothing more
-    lexicon = {p: w for p, w in lexicon.items() if not any(lexicon.get(p[:k], 0.0) >= w for k in range(4, len(p.rstrip())))}
+    lexicon = {p: w for p, w in lexicon.items() if not any(lexicon.get(p[:k], 0.0) >= w for k in range(4, len(p.rstrip())) if p[0] != "*")}
     return Model(lexicon, _fit(rows, Model(lexicon)))
 
 

@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -238,6 +239,58 @@ def test_clauses_are_read_from_their_true_start():
     assert ev("idiot. said idiot; idiot") == [12.0, 0, 0, 8.0]
 
 
+def test_toxicity_grammar_equals_a_plain_reading():
+    """Clauses of symbols and fillers in any order, read word by word with three flags."""
+    kinds = {"not": "N", "said": "R", "you": "T", "idiot": "I", "kill": "X"}
+    machines, rng = toxicity.Model({"idiot ": 2.0}).machines(), random.Random(6)
+
+    def plain(clause):
+        out, flags, gap = dict.fromkeys(toxicity.MARKS, 0.0), {"N": False, "R": False, "T": False}, 0
+        for word in clause:
+            kind = kinds.get(word)
+            if kind is None:
+                gap += 1
+                continue
+            if gap > 4:
+                flags["N"] = flags["T"] = False
+            gap = 0
+            if kind in flags:
+                flags[kind] = True
+            else:
+                mark = "reported" if flags["R"] else "negated" if flags["N"] else "targeted" if flags["T"] else "plain"
+                out[mark] += 2.0 if kind == "I" else toxicity.THREAT
+        return out
+
+    for _ in range(400):
+        clauses = [[rng.choice([*kinds, "tree", "tree", "tree", "tree"]) for _ in range(rng.randint(0, 14))] for _ in range(rng.randint(1, 3))]
+        want = dict.fromkeys(toxicity.MARKS, 0.0)
+        for clause in clauses:
+            want = {m: v + plain(clause)[m] for m, v in want.items()}
+        text = rng.choice([". ", "! ", "\n", "; "]).join(" ".join(c) for c in clauses)
+        assert toxicity.evidence(text.encode(), *machines) == [min(want[m], toxicity.MOST) for m in toxicity.MARKS], text
+
+
+def test_toxicity_reads_many_hits_in_linear_time():
+    machines = toxicity.Model({"idiot ": 2.0}).machines()
+
+    def seconds(text):
+        begin = time.process_time()
+        toxicity.evidence(text.encode(), *machines)
+        return time.process_time() - begin
+
+    for text in ("idiot. ", "idiot "):
+        assert seconds(text * 160000) < 40 * max(seconds(text * 10000), 0.02)
+
+
+def test_toxicity_lexicon_of_words_and_scripts():
+    machines = toxicity.Model({"scum": 1.0, "scum ": 3.0, "*蠢货": 2.0}).machines()
+    ev = lambda t: toxicity.evidence(t.encode(), *machines)[0]
+    assert ev("scum") == 3.0 and ev("scumbags") == 1.0 and ev("他是蠢货吗") == 2.0 and ev("xscum") == 0.0
+    assert {"*蠢货", "*是蠢货", "go ", "idio", "idiot", "idiots "} <= toxicity.patterns_of("他是蠢货 go idiots".encode())
+    long = "y" * 1000
+    assert toxicity.patterns_of(long.encode()) == {"y" * k for k in range(4, 8)}
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows = {r["doc_id"]: r for r in QUERIES["op10_toxicity"](spark, MORE).collect()}
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{MORE}/labels.parquet").collect()}
