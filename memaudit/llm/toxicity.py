@@ -44,8 +44,9 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Letters of scripts that put no spaces between words (fixed ranges: Thai and Lao, Myanmar, Khmer, Kana, Han); their runs are
 #: clauses, so the lexicon takes stretches of ``INSIDE`` letters anywhere in them.
 UNSPACED, INSIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]"), (2, 3, 4)
-#: Letters of a word that may stand in the lexicon as a whole; a longer run of letters is known by its beginnings.
-LONGEST = 64
+#: Letters of a word that may stand in the lexicon as a whole. Shorter words are function words and no insults by themselves;
+#: a longer run of letters is known by its beginnings.
+SHORTEST, LONGEST = 3, 64
 BREAK = re.compile(r"[.!?;\n]")
 #: Fixed word lists: English, German, French, Spanish.
 CLASSES = {
@@ -214,7 +215,7 @@ def patterns_of(raw: bytes | None) -> set[str]:
             out.update("*" + word[i:i + k] for k in INSIDE for i in range(len(word) - k + 1))
             continue
         out.update(word[:k] for k in range(4, 8) if len(word) > k)
-        if len(word) <= LONGEST:
+        if SHORTEST <= len(word) <= LONGEST:
             out.add(word + " ")
     return out
 
