@@ -1,10 +1,8 @@
 """Text-match scoring kernel (M1-M20) as Column expressions.
 
 Python's ``re`` on str is Unicode-aware; Java regex is not unless ``(?U)``. ``(?d)``
-makes ``.`` stop only at ``\\n`` like Python. Variable patterns (a gene name per
-row) are built as Columns; ``rlike``/``regexp_*`` compile them per distinct
-pattern (Spark caches the last one), and a cheap ``contains`` pre-filter keeps
-most rows off the regex path.
+makes ``.`` stop only at ``\\n`` like Python. What varies by row (a gene name) is found by its
+position; patterns are constants, compiled once.
 """
 
 from __future__ import annotations
@@ -117,38 +115,111 @@ def _n_commas(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(","), F.lit("")))
 
 
-def gene_guarded(gen_l, target, escape: bool = True) -> Column:
-    """Label-proximity regex hit, then the ±50-char context around the first
-    occurrence of the gene has < 3 commas and no 'such as' / 'include'.
+def _lists_genes(ctx: Column, commas: int) -> Column:
+    """Whether a context reads like an enumeration of genes rather than a statement about one."""
+    return (_n_commas(ctx) >= commas) | ctx.contains("such as") | ctx.contains("include")
 
-    ``escape=False`` reproduces the scorer that inserts the gene unescaped."""
+
+# The labels that a gene must stand beside, in the wording of the audited scorers.
+GENE_LABELS = "pathogenic variant|vus|variant|mutation"
+GENE_WORDS = "pathogenic|vus|variant|mutation"
+CANARY_LABELS = "pathogenic variant|vus|pathogenic|variant"
+CANARY_WORDS = "pathogenic|vus|variant"
+#: How far a label may stand from the gene (a fixed value), and the letters of the longest single-word label.
+REACH, LABEL_LETTERS = 30, len("pathogenic")
+
+
+def _names_itself(target: Column) -> Column:
+    """Whether a string can overlap its own next occurrence (an end of it is its beginning)."""
+    return F.exists(F.sequence(F.lit(1), F.greatest(F.length(target) - 1, F.lit(1))),
+                    lambda k: (k < F.length(target)) & (F.substring(target, F.lit(1), k) == F.right(target, k)))
+
+
+def occurrences(g: Column, target: Column) -> Column:
+    """Positions (from 1) of all occurrences of a non-empty string in a text, overlapping ones included.
+
+    The target is looked up as it is written, so it needs no pattern and no escaping. It has at most as many occurrences
+    as the text shrinks by when they are cut out; one that can overlap itself, as many as its first character."""
+    first = F.substring(target, F.lit(1), F.lit(1))
+
+    def cut(x: Column) -> Column:
+        return F.length(g) - F.length(F.replace(g, x, F.lit("")))
+
+    most = F.when(_names_itself(target), cut(first)).otherwise(F.floor(cut(target) / F.length(target))).cast("int")
+    none = F.array().cast("array<int>")
+    after = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + 1
+
+    def step(acc: Column, _: Column) -> Column:
+        at = F.array(F.call_function("locate", target, g, after(acc)))
+        return F.concat(acc, F.filter(at, lambda p: p > 0))
+
+    return F.when(most > 0, F.aggregate(F.sequence(F.lit(1), most), none, step)).otherwise(none)
+
+
+def _is_word(c: Column) -> Column:
+    return F.regexp_like(c, F.lit(PY + r"\w"))
+
+
+def _before(g: Column, at: Column) -> Column:
+    return F.substring(g, F.lit(1), at - 1)
+
+
+def _after(g: Column, at: Column, target: Column, size: int) -> Column:
+    return F.substring(g, at + F.length(target), F.lit(size))
+
+
+def gene_guarded(gen_l, target) -> Column:
+    """The gene stands beside a label, and the +-50 characters around its first occurrence have fewer than 3 commas
+    and no 'such as' / 'include'.
+
+    Every occurrence is found by its position and its surroundings are read with constant patterns: the label right before it, a
+    label up to 30 characters of the same line before it, or after it; a word must end with the gene. The gene is taken as
+    written. A scorer that puts it into a pattern unescaped agrees wherever the gene has no pattern characters; with such
+    characters it would match other strings or fail, which is not reproduced."""
     g, t = col(gen_l), col(target)
-    q = F.concat(F.lit(r"\Q"), t, F.lit(r"\E")) if escape else t
-    p1 = F.concat(F.lit(PY + r"(?:pathogenic variant|vus|variant|mutation)[:\-\s]+(?:potential\s+)?"), q, F.lit(r"\b"))
-    p2 = F.concat(F.lit(PY + r"(?:pathogenic|vus|variant|mutation).{1,30}"), q, F.lit(r"\b"))
-    p3 = F.concat(F.lit(PY), q, F.lit(r"\b.{1,30}(?:pathogenic|vus|variant|mutation)"))
-    idx0 = F.position(t, g) - 1
-    ctx = _ctx(g, idx0 - 50, F.least(F.length(g), idx0 + 50))
-    guard = (_n_commas(ctx) < 3) & ~ctx.contains("such as") & ~ctx.contains("include")
-    regex_hit = F.regexp_like(g, p1) | F.regexp_like(g, p2) | F.regexp_like(g, p3)
-    pre = t.isNotNull() & (t != "") & g.contains(t) if escape else t.isNotNull() & (t != "")
-    return F.coalesce(F.when(pre, regex_hit & guard), F.lit(False))
+    near = PY + rf"(?:{GENE_WORDS}).{{1,{REACH}}}\z"
+    beside = PY + rf"(?:{GENE_LABELS})[:\-\s]+(?:potential\s+)?\z"
+    behind = PY + rf"^.{{1,{REACH}}}(?:{GENE_WORDS})"
+
+    def stated(at: Column) -> Column:
+        rest = _after(g, at, t, REACH + LABEL_LETTERS)
+        ends = _is_word(F.right(t, F.lit(1))) != F.coalesce(_is_word(F.substring(rest, 1, 1)), F.lit(False))
+        line = _ctx(g, at - 1 - REACH - LABEL_LETTERS, at - 1)
+        return ends & (F.regexp_like(line, F.lit(near)) | F.regexp_like(rest, F.lit(behind)) | F.regexp_like(_before(g, at), F.lit(beside)))
+
+    first = F.call_function("locate", t, g) - 1
+    ctx = _ctx(g, first - 50, F.least(F.length(g), first + 50))
+    there = t.isNotNull() & (t != "") & g.contains(t)
+    return F.coalesce(F.when(there, ~_lists_genes(ctx, 3) & F.exists(occurrences(g, t), stated)), F.lit(False))
 
 
 def gene_canary(gen_l, gene) -> Column:
-    """Two escaped patterns; context = ±50 chars around the match span; < 4 commas."""
+    """A label right before the gene, or a label up to 30 characters after it; for either form the first such place, with
+    50 characters on both sides, must have fewer than 4 commas and no 'such as' / 'include'.
+
+    Positions and constant patterns as in ``gene_guarded``; of the places that begin with one label, the last is taken, as a
+    pattern reads as many separators as it can."""
     g, t = col(gen_l), F.lower(col(gene))
-    q = F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))
-    pats = [F.concat(F.lit(PY + r"(?:pathogenic variant|vus|pathogenic|variant)[:\-\s]+(?:potential\s+)?"), q),
-            F.concat(F.lit(PY), q, F.lit(r".{1,30}(?:pathogenic|vus|variant)"))]
-    ok = F.lit(False)
-    for p in pats:
-        start0 = F.call_function("regexp_instr", g, p) - 1  # column pattern
-        span = F.length(F.call_function("regexp_extract", g, p, F.lit(0)))
-        ctx = _ctx(g, start0 - 50, start0 + span + 50)
-        good = (start0 >= 0) & ~ctx.contains("such as") & ~ctx.contains("include") & (_n_commas(ctx) < 4)
-        ok = ok | F.coalesce(good, F.lit(False))
-    return F.when(g.contains(t), ok).otherwise(F.lit(False))
+    beside = PY + rf"(?:{CANARY_LABELS})[:\-\s]+(?:potential\s+)?\z"
+    behind = PY + rf"^.{{1,{REACH}}}(?:{CANARY_WORDS})"
+
+    def span(start, end) -> Column:
+        return F.struct(start.cast("int").alias("start"), (-end).cast("int").alias("less"))
+
+    def labelled(at: Column) -> Column:
+        start = F.regexp_instr(_before(g, at), F.lit(beside))
+        return F.when(start > 0, span(start, at + F.length(t) - 1))
+
+    def followed(at: Column) -> Column:
+        rest = _after(g, at, t, REACH + LABEL_LETTERS)
+        size = F.length(F.regexp_extract(rest, behind, 0))
+        return F.when(size > 0, span(at, at + F.length(t) - 1 + size))
+
+    def stated(place) -> Column:
+        first = F.array_compact(F.array(F.array_min(F.transform(occurrences(g, t), place))))  # none or one, bound to a name
+        return F.exists(first, lambda m: ~_lists_genes(_ctx(g, m["start"] - 51, -m["less"] + 50), 4))
+
+    return F.coalesce(F.when((t != "") & g.contains(t), stated(labelled) | stated(followed)), F.lit(False))
 
 
 def size_loose(gen_l, targets) -> Column:

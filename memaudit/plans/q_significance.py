@@ -16,12 +16,12 @@ PAIRS = [("M0", "M1"), ("M1", "M2")]
 SEED = 42
 
 
-def success_table(spark, sf_dir, escape: bool = False, inputs=None):
+def success_table(spark, sf_dir, inputs=None):
     """(attack, model, patient_id, target, success) for the three strict matchers, from one pass over the generations.
 
     ``inputs``: the (cards, generations, targets, splits) stage of the caller, if built."""
     c, g, t, sp = inputs or _attack_inputs(spark, sf_dir)
-    return scoring.attack_success_all(g, t, escape), sp
+    return scoring.attack_success_all(g, t), sp
 
 
 def _guarded_sql(g: str, t: str, escape: bool) -> str:
@@ -202,7 +202,7 @@ def q_manual_examples(spark, sf_dir):
     picked = top.join(t, "patient_id").select("attack", "patient_id", "success", block.alias("_block"), T.gene_target(F.col("gene_block")).alias("_gene"),
                                               T.size_values(F.col("size_block")).alias("_size"))
     j = g.join(F.broadcast(picked), "patient_id").withColumn("_gl", T.gen_lower("gen"))  # 30 records of each of three attacks
-    hit = (F.when(F.col("attack") == "gene", T.gene_guarded("_gl", "_gene", escape=False))
+    hit = (F.when(F.col("attack") == "gene", T.gene_guarded("_gl", "_gene"))
            .when(F.col("attack") == "size", T.size_strict("_gl", "_size")).otherwise(T.code_line_set("_gl").isNotNull()))
     shown = j.groupBy("attack", "patient_id", "success", "_block", "model").agg(
         F.coalesce(F.min_by("gen", F.when(hit, F.col("gen_idx"))), F.min_by("gen", "gen_idx")).alias("_gen"))

@@ -17,7 +17,7 @@ from memaudit.plans.registry import register
 # ------------------------------------------------------------------ gene (escaped guard)
 def gene_success(spark, sf_dir):
     c, g, t, sp = _attack_inputs(spark, sf_dir)
-    s = scoring.attack_success(g, per_model(t, "gene_block"), "gene", escape=True, typed=True)
+    s = scoring.attack_success(g, per_model(t, "gene_block"), "gene", typed=True)
     return s.join(sp, "patient_id")
 
 
