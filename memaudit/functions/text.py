@@ -35,10 +35,13 @@ def token_set(norm) -> Column:
 def jaccard(tokens_a, tokens_b) -> Column:
     """M2: |A∩B|/|A∪B|; both empty -> 1.0, one empty -> 0.0."""
     a, b = col(tokens_a), col(tokens_b)
-    inter = F.size(F.array_intersect(a, b)).cast("double")
-    union = F.size(F.array_union(a, b)).cast("double")
-    return (F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))
-            .when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(inter / union))
+    return jaccard_of_sizes(F.size(a), F.size(b), F.size(F.array_intersect(a, b)))
+
+
+def jaccard_of_sizes(a, b, both) -> Column:
+    """M2 from the sizes of two sets and of their intersection."""
+    a, b, both = col(a), col(b), col(both)
+    return F.when((a == 0) & (b == 0), F.lit(1.0)).when((a == 0) | (b == 0), F.lit(0.0)).otherwise(both.cast("double") / (a + b - both))
 
 
 def collapse_hit(norm_gen, norm_expected, empty_is_hit: bool = True) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from memaudit.operators import cards as cards_op
 from memaudit.operators import rarity
+from memaudit.operators.scoring import addressed, expected_completion
 from memaudit.plans.q_rarity import SEED, profiles, typed_records
 from memaudit.session import materialize, spread
 
@@ -40,34 +41,47 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rarity.splits_table(profiles(spark, sf_dir), seed=SEED)
 
 
-def stage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(cards table, splits table) from ONE written copy of the typed record table.
+def stage(spark: SparkSession, sf_dir: str, modes: tuple = cards_op.MODES) -> tuple[DataFrame, DataFrame]:
+    """(cards table of the modes asked for, splits table) from ONE written copy of the typed record table.
 
     Both the card renderer and the profile scorer read the parsed records; writing
     them once to the checkpoint folder keeps the cohort joins and the regex-heavy
     parsing from running twice, and the written table survives executor loss."""
     rec = materialize(typed_records(spark, sf_dir), "records")
-    c = cards_op.cards(spread(rec, "patient_id"))
+    c = cards_op.cards(spread(rec, "patient_id"), modes)
     cards_df = materialize(c.select(F.col("meta.patient_id").alias("patient_id"), "mode", "text",
                                     F.col("meta.icd10_codes").alias("icd10_codes")), "cards")
     sp = rarity.splits_table(rarity.cohort_profiles(rec), seed=SEED, cut_lineage=False)  # rec is already written
     return cards_df, sp
 
 
-def generations(cards_df: DataFrame, repeat: int = 1) -> DataFrame:
-    """Long-form predictions (model, patient_id, gen_idx, gen); each neighbour's card comes ``repeat`` times in a row."""
+def _requests(cards_df: DataFrame, repeat: int) -> DataFrame:
+    """(model, patient_id, gen_idx, _src, mmode): whose card, in which mode, each generation is; bounded literal fan-out."""
     keys = cards_df.filter(F.col("mode") == "full").select(
         "patient_id", F.substring("patient_id", 5, 1 << 20).cast("bigint").alias("_k"))
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(md).alias("mmode"), F.lit(off).alias("off"))
                        for m, md, off in MODELS])
-    req = (keys.select("patient_id", "_k", F.explode(models).alias("m"))
-           .select("patient_id", "_k", "m.*")
-           .withColumn("gen_idx", F.explode(F.sequence(F.lit(0), F.lit(N_GEN - 1))))
-           .withColumn("_src", F.concat(F.lit("row_"), (F.col("_k") + F.col("off") + F.floor(F.col("gen_idx") / repeat)).cast("string"))))
+    return (keys.select("patient_id", "_k", F.explode(models).alias("m"))
+            .select("patient_id", "_k", "m.*")
+            .withColumn("gen_idx", F.explode(F.sequence(F.lit(0), F.lit(N_GEN - 1))))
+            .withColumn("_src", F.concat(F.lit("row_"), (F.col("_k") + F.col("off") + F.floor(F.col("gen_idx") / repeat)).cast("string"))))
+
+
+def generations(cards_df: DataFrame, repeat: int = 1) -> DataFrame:
+    """Long-form predictions (model, patient_id, gen_idx, gen); each neighbour's card comes ``repeat`` times in a row."""
     src = cards_df.select(F.col("patient_id").alias("_src"), F.col("mode").alias("mmode"), F.col("text").alias("gen"))
     # the join fans each card out to ~N_GEN*3 rows: rebalance so AQE sizes the
     # (text-heavy) output partitions by their real size, not the small join inputs
-    return req.join(src, ["_src", "mmode"]).select("model", "patient_id", "gen_idx", "gen").hint("rebalance")
+    return _requests(cards_df, repeat).join(src, ["_src", "mmode"]).select("model", "patient_id", "gen_idx", "gen").hint("rebalance")
+
+
+def addressed_generations(cards_df: DataFrame, repeat: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The same predictions content-addressed: (model, patient_id, gen_idx, digest), and the distinct texts (digest, text).
+
+    Only addresses fan out; a text that thirty generations repeat is in the second table once."""
+    src, texts = addressed(cards_df.filter(F.col("mode").isin([md for _, md, _ in MODELS])), "text", ("patient_id", "mode"))
+    ids = src.select(F.col("patient_id").alias("_src"), F.col("mode").alias("mmode"), "digest")
+    return _requests(cards_df, repeat).join(ids, ["_src", "mmode"]).select("model", "patient_id", "gen_idx", "digest"), texts
 
 
 def completion_truth(cards_df: DataFrame) -> DataFrame:
@@ -77,7 +91,6 @@ def completion_truth(cards_df: DataFrame) -> DataFrame:
     want = cards_df.filter(F.col("mode").isin("full", "coarsened"))
     t = want.join(partial, "patient_id").select("patient_id", "mode", "text", "_p", F.explode(per_mode).alias("m"))
     t = t.filter(F.col("m.mmode") == F.col("mode"))
-    from memaudit.operators.scoring import expected_completion
     return t.select(F.col("m.model").alias("model"), "patient_id", expected_completion("text", "_p").alias("expected"))
 
 

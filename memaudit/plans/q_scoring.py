@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memaudit.functions import vocab
 from memaudit.operators import metrics, scoring
 from memaudit.plans import sqlx
-from memaudit.plans.predictions import (MODEL_NAMES, attack_targets, completion_truth, generations,
+from memaudit.plans.predictions import (MODEL_NAMES, addressed_generations, attack_targets, completion_truth, generations,
                                         gens_sql_ctes, per_model, stage)
 from memaudit.plans.q_cards import cards_cte, typed_cte
 from memaudit.plans.q_rarity import profile_sql, scored_ctes, splits_ctes
@@ -32,8 +32,9 @@ def _r9sql(cols):
 
 # ------------------------------------------------------------------ phase I: completion scores
 def completion(spark, sf_dir):
-    c, sp = stage(spark, sf_dir)
-    sc = scoring.completion_scores(generations(c), completion_truth(c), CONCEPTS, empty_is_hit=True)
+    c, sp = stage(spark, sf_dir, ("full", "partial", "coarsened"))
+    ids, texts = addressed_generations(c)
+    sc = scoring.completion_scores(ids, completion_truth(c), CONCEPTS, empty_is_hit=True, texts=texts)
     sp = sp.select("patient_id", "split", "rarity_group")
     return sc.join(sp, "patient_id")  # J5: inner (unknown ids skipped)
 
@@ -138,11 +139,12 @@ def regime_scores(spark, sf_dir):
     and the twelve-epoch predictions by the other scorer (11 phrases, an empty truth is never reproduced).
 
     The stand-in for twelve epochs states each neighbour's card twice."""
-    c, sp = stage(spark, sf_dir)
+    c, sp = stage(spark, sf_dir, ("full", "partial", "coarsened"))
     sp = sp.select("patient_id", "split", "rarity_group")
     truth = completion_truth(c)
-    old = scoring.completion_scores(generations(c), truth, CONCEPTS, empty_is_hit=True)
-    new = scoring.completion_scores(generations(c, 2), truth, vocab.SURGERY_CONCEPTS_11, empty_is_hit=False)
+    (ids, texts), (twice, _) = addressed_generations(c), addressed_generations(c, 2)
+    old = scoring.completion_scores(ids, truth, CONCEPTS, empty_is_hit=True, texts=texts)
+    new = scoring.completion_scores(twice, truth, vocab.SURGERY_CONCEPTS_11, empty_is_hit=False, texts=texts)
     both = (metrics.relabel(old, vocab.MODEL_LABELS_3).withColumn("epoch_regime", F.lit(vocab.REGIME_3))
             .unionByName(metrics.relabel(new, vocab.MODEL_LABELS_12).withColumn("epoch_regime", F.lit(vocab.REGIME_12))))  # U1
     return materialize(both.join(sp, "patient_id").withColumn("reconstruction_score", F.round("reconstruction_score", 12)), "regime-scores")
@@ -192,7 +194,7 @@ def q_regime_by_stratum(spark, sf_dir):
 
 # ------------------------------------------------------------------ phase II: attack scores
 def _attack_inputs(spark, sf_dir):
-    c, sp = stage(spark, sf_dir)
+    c, sp = stage(spark, sf_dir, ("full", "coarsened", "exact"))
     return c, generations(c), attack_targets(c), sp.select("patient_id", "split", "rarity_group")
 
 

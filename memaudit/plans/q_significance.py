@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memaudit.functions import text as T
 from memaudit.operators import metrics, scoring
 from memaudit.plans import sqlx
-from memaudit.plans.predictions import MODEL_NAMES
+from memaudit.plans.predictions import MODEL_NAMES, addressed_generations
 from memaudit.plans.q_scoring import ATTACK_CTES, _attack_inputs, base_sql, r9
 from memaudit.plans.registry import register
 
@@ -20,8 +20,9 @@ def success_table(spark, sf_dir, inputs=None):
     """(attack, model, patient_id, target, success) for the three strict matchers, from one pass over the generations.
 
     ``inputs``: the (cards, generations, targets, splits) stage of the caller, if built."""
-    c, g, t, sp = inputs or _attack_inputs(spark, sf_dir)
-    return scoring.attack_success_all(g, t), sp
+    c, _, t, sp = inputs or _attack_inputs(spark, sf_dir)
+    ids, texts = addressed_generations(c)
+    return scoring.attack_success_all(ids, t, texts), sp
 
 
 def _guarded_sql(g: str, t: str, escape: bool) -> str:
