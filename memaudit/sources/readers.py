@@ -54,25 +54,29 @@ def cp1252_fix(c: Column) -> Column:
     return F.translate(c, _C1_SRC, _C1_DST)
 
 
-def read_cohort_csv(spark: SparkSession, path: str, encoding: str = "cp1252") -> DataFrame:
-    """Header CSV, quoted multi-line cells, every column a string (typed later by conform)."""
-    enc = "ISO-8859-1" if encoding.lower() in ("cp1252", "windows-1252") else encoding
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("encoding", enc).option("inferSchema", False).csv(path))
-    if enc != encoding:
-        df = df.select(*[cp1252_fix(F.col(f"`{c}`")).alias(c) for c in df.columns])
-    return df
+def read_cohort_csv(spark: SparkSession, path: str, encoding: str = "cp1252", row_ids: str | None = None, prefix: str = "row_") -> DataFrame:
+    """Header CSV, quoted multi-line cells, every column a string (typed later by conform). A large file is read by
+    many tasks (``csv_records``). ``row_ids`` names a column of ids by position in the files."""
+    from memaudit.sources.csv_records import read_csv
+    df = read_csv(spark, path, encoding, "_row" if row_ids else None)
+    return df.withColumn(row_ids, F.concat(F.lit(prefix), F.col("_row").cast("string"))).drop("_row") if row_ids else df
+
+
+def scan_position() -> Column:
+    """Where a row of a file scan stands: struct(file, block, at). It orders the rows of all files by path and place, however
+    the files are split and whichever task reads them (``at`` only tells apart rows of one block, which one task reads)."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
 
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
     """Card JSONL (meta struct + text); mode from the file name when meta lacks it."""
-    df = spark.read.schema(CARD).json(path).withColumn("_file", F.col("_metadata.file_path"))
-    mode = F.coalesce(F.col("meta.mode"), F.regexp_extract("_file", r"cards_([a-z]+)\.jsonl", 1))
-    return df.select("meta", "text", mode.alias("mode"), "_file", F.monotonically_increasing_id().alias("_order"))
+    df = spark.read.schema(CARD).json(path).withColumn("_order", scan_position())
+    mode = F.coalesce(F.col("meta.mode"), F.nullif(F.regexp_extract("_order.file", r"(?:cards_|mode=)([a-z]+)(?:\.jsonl)?", 1), F.lit("")))
+    return df.select("meta", "text", mode.alias("mode"), F.col("_order.file").alias("_file"), "_order")
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str = "_order") -> DataFrame:
-    """S2 duplicate ids: keep the last line per key (max_by on read order, one aggregate)."""
+    """S2 duplicate ids: keep the last line per key, in the order of the files and of their lines (one aggregate)."""
     cols = [c for c in df.columns if c not in keys]
     packed = F.max_by(F.struct(*cols), F.col(order))
     return df.groupBy(*keys).agg(packed.alias("_r")).select(*keys, "_r.*")
@@ -109,9 +113,15 @@ def read_splits(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return df
 
 
+#: Types of the archived metric columns; others stay strings.
+METRICS = {"collapse_score": "double", "combo_score": "double", "reconstruction_score": "double", "exact_match_score": "double", "auc": "double", "n_generations": "bigint"}
+
+
 def read_metrics_csv(spark: SparkSession, path: str, relabel: dict[str, str] | None = None) -> DataFrame:
-    """S6 + J7: archived metric CSV; model labels remapped with fallback to the original."""
+    """S6 + J7: archived metric CSV, scores as numbers; model labels remapped with fallback to the original."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    known = [c for c in METRICS if c in df.columns]
+    df = df.select(*[F.expr(f"try_cast(`{c}` AS {METRICS[c]}) AS `{c}`") if c in known else F.col(f"`{c}`") for c in df.columns])
     if relabel:
         df = metrics.relabel(df, relabel)
     return df
@@ -128,14 +138,32 @@ def read_single_object(spark: SparkSession, path: str, schema: T.StructType | No
     return (r.schema(schema) if schema else r).json(path)
 
 
+def with_file_row_ids(scan: DataFrame, prefix: str = "row_", name: str = "patient_id") -> DataFrame:
+    """Positional ids for a file scan: the rows of all files, in the order of path and place, are numbered from 0.
+
+    The ids depend on the files alone: a prefix sum over the table of blocks (file, block, rows), one file's blocks at a time
+    and then the files. ``scan`` is a reader's DataFrame before any filter."""
+    tagged = scan.withColumn("_at", scan_position())
+    block = ["_file", "_block"]
+    tagged = tagged.select(*scan.columns, F.col("_at.file").alias("_file"), F.col("_at.block").alias("_block"), F.col("_at.at").alias("_at"))
+    counts = tagged.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_skip", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    files = counts.groupBy("_file").agg(F.sum("_n").alias("_all"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    files = files.select("_file", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
+    placed = tagged.join(counts.join(files, "_file").select(*block, "_first", (F.col("_before") + F.col("_skip")).alias("_skip")), block)
+    return placed.select(*scan.columns, F.concat(F.lit(prefix), (F.col("_skip") + F.col("_at") - F.col("_first")).cast("string")).alias(name))
+
+
 def with_row_ids(df: DataFrame, prefix: str = "row_") -> DataFrame:
-    """Positional ids in read order without a single-partition window: per-partition
-    offsets from a (small) count per partition, broadcast back."""
+    """Positional ids of any table in the order of its partitions (of a file scan: ``with_file_row_ids``), without a
+    single-partition window over rows: per-partition offsets from a (small) count per partition."""
     pid = F.spark_partition_id()
     tagged = df.withColumn("_pid", pid).withColumn("_mono", F.monotonically_increasing_id())
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_m0"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offs = counts.select("_pid", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    j = tagged.join(F.broadcast(offs), "_pid")
+    j = tagged.join(offs, "_pid")
     idx = F.col("_off") + F.col("_mono") - F.col("_m0")
     return j.withColumn("patient_id", F.concat(F.lit(prefix), idx.cast("string"))).drop("_pid", "_mono", "_m0", "_off")

@@ -1,10 +1,14 @@
-"""Writers for the audit's outputs (K1-K7)."""
+"""Writers for the audit's outputs (K1-K6, and K7 from ``resume``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from memaudit.sources.resume import append_pending, read_appended  # noqa: F401  (K7)
+
+
+CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": '""'}
 
 
 def write_cards(cards: DataFrame, path: str) -> None:
@@ -23,8 +27,8 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K3: header CSV (splits, metric tables)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """K3: header CSV (splits, metric tables); cells are quoted where needed, quotes inside doubled, empty text kept apart from NULL."""
+    df.write.mode(mode).options(**CSV).csv(path)
 
 
 def percent_view(df: DataFrame, cols: list[str], digits: int = 1) -> DataFrame:
@@ -32,36 +36,23 @@ def percent_view(df: DataFrame, cols: list[str], digits: int = 1) -> DataFrame:
     return df.select(*[F.bround(F.col(c) * 100, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def markdown_lines(df: DataFrame, cols: list[str], order: list | None = None) -> DataFrame:
-    """K5: a markdown table as lines (header, rule, rows) for an already limited frame."""
+def markdown_lines(df: DataFrame, cols: list[str], order: list[Column]) -> DataFrame:
+    """K5: (line_no, line): a markdown table, its header, rule and rows, for a frame of report size.
+
+    Rows come in the order ``order``, which has to tell them apart; the window below is over those rows alone. A bar or line break
+    inside a cell is written so that the cell stays one cell."""
+    def cell(c: str) -> Column:
+        text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+        return F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), r"\r\n|\r|\n", "<br>")
+
     header = "| " + " | ".join(cols) + " |"
     rule = "|" + "|".join("---" for _ in cols) + "|"
-    rows = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit(""))
-                                                              for c in cols]), F.lit(" |")).alias("line"),
-                     *(order or []))
-    head = df.sparkSession.createDataFrame([(header, 0), (rule, 1)], "line string, _h int")
-    body = rows.select("line", F.lit(2).alias("_h"), *[F.col(c) for c in rows.columns if c != "line"])
-    return head.unionByName(body, allowMissingColumns=True)
+    head = df.sparkSession.createDataFrame([(1, header), (2, rule)], "line_no long, line string")
+    place = F.row_number().over(Window.orderBy(*order)) + 2
+    rows = df.select(place.cast("long").alias("line_no"), F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, cols)), F.lit(" |")).alias("line"))
+    return head.unionByName(rows)
 
 
 def write_scrubbed(df: DataFrame, path: str) -> None:
     """K6: the scrubbed table goes to a NEW path (Spark cannot overwrite the table it reads)."""
-    df.write.mode("errorifexists").option("header", True).csv(path)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether the path is there, asked of the file system that Spark itself would use."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def append_pending(todo: DataFrame, path: str, key: str = "prompt_id") -> None:
-    """K7 + J4: write only keys not yet in the output, append.
-
-    Resume semantics: rows already present (by key) are skipped, so a rerun after a
-    failure continues where the last successful append stopped."""
-    spark = todo.sparkSession
-    if path_exists(spark, path):  # any other trouble with the output is an error, not an empty output
-        done = spark.read.schema(T.StructType([todo.schema[key]])).option("mode", "FAILFAST").json(path)
-        todo = todo.join(done.distinct(), key, "left_anti")
-    todo.write.mode("append").json(path)
+    df.write.mode("errorifexists").options(**CSV).csv(path)
