@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from memaudit.functions import vocab
@@ -12,7 +15,8 @@ from memaudit.plans.predictions import (MODEL_NAMES, addressed_generations, atta
 from memaudit.plans.q_cards import cards_cte, typed_cte
 from memaudit.plans.q_rarity import profile_sql, scored_ctes, splits_ctes
 from memaudit.plans.registry import register
-from memaudit.session import materialize
+from memaudit.session import checkpoint_dir, materialize
+from memaudit.sources import readers, writers
 
 CONCEPTS = vocab.SURGERY_CONCEPTS_12
 
@@ -145,7 +149,9 @@ def regime_scores(spark, sf_dir):
     (ids, texts), (twice, _) = addressed_generations(c), addressed_generations(c, 2)
     old = scoring.completion_scores(ids, truth, CONCEPTS, empty_is_hit=True, texts=texts)
     new = scoring.completion_scores(twice, truth, vocab.SURGERY_CONCEPTS_11, empty_is_hit=False, texts=texts)
-    both = (metrics.relabel(old, vocab.MODEL_LABELS_3).withColumn("epoch_regime", F.lit(vocab.REGIME_3))
+    archive = os.path.join(checkpoint_dir(spark), f"archived-metrics-{uuid.uuid4().hex}")
+    writers.write_csv(old, archive)  # the three-epoch metrics are an archived file (S6)
+    both = (readers.read_metrics_csv(spark, archive, vocab.MODEL_LABELS_3).withColumn("epoch_regime", F.lit(vocab.REGIME_3))
             .unionByName(metrics.relabel(new, vocab.MODEL_LABELS_12).withColumn("epoch_regime", F.lit(vocab.REGIME_12))))  # U1
     return materialize(both.join(sp, "patient_id").withColumn("reconstruction_score", F.round("reconstruction_score", 12)), "regime-scores")
 

@@ -19,5 +19,5 @@ def register(name: str, oracle: str | None = None):
 
 def load_all():
     # importing the plan modules fills the registry
-    from memaudit.plans import q_rarity, q_cards, q_scoring, q_significance, q_codes, q_summaries, q_datasets, q_dates, q_text  # noqa: F401,E501
+    from memaudit.plans import q_rarity, q_cards, q_scoring, q_significance, q_codes, q_summaries, q_datasets, q_dates, q_text, q_files  # noqa: F401,E501
     return QUERIES, ORACLES

@@ -20,7 +20,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["rarity_splits", "cards", "mcnemar", "code_best_recall"])
+@pytest.mark.parametrize("name", ["rarity_splits", "cards", "mcnemar", "code_best_recall", "document_csv", "card_files", "prediction_files", "resumed_output", "malformed_lines"])
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
