@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from memaudit.functions import vocab
 from memaudit.functions import text as T
+from memaudit.operators import ordered
 
 
 def mean_by(df: DataFrame, keys: list[str], values: list[str], train_only: bool = True) -> DataFrame:
@@ -58,36 +59,21 @@ def regime_by_stratum(scores: DataFrame) -> DataFrame:
 
 
 def membership_auc(df: DataFrame, group: str = "model", label: Column | None = None,
-                   score: str = "reconstruction_score", buckets: int = 256) -> DataFrame:
+                   score: str = "reconstruction_score", bound: int = ordered.BOUND) -> DataFrame:
     """ROC AUC of ``score`` for label (train=1, test=0) per group, with
     mid-ranks for ties (Mann-Whitney). NULL when a group has a single class.
 
     Exact and skew-safe: scores are first reduced to the distinct (group, score)
-    table with positive/negative counts. The running count of negatives below each
-    score is a two-level prefix sum: approximate equi-depth boundaries per group
-    (``percentile_approx`` on the distinct scores) route each score to one of
-    ``buckets`` ranges; per-bucket totals (groups x buckets rows) give each bucket's
-    offset; the ordered window runs only inside a (group, bucket) range. Boundaries
-    only route rows, so the result does not depend on their accuracy."""
+    table with positive/negative counts, written once. The running count of negatives below each
+    score is a prefix sum over ranges of at most ``bound`` distinct scores (``ordered``)."""
     lab = label if label is not None else (F.col("split") == "train")
-    d = df.select(group, F.col(score).alias("_s"), lab.cast("int").alias("_y")).filter(F.col("_s").isNotNull())
-    per = d.groupBy(group, "_s").agg(F.sum("_y").cast("double").alias("_pos"),
-                                     F.sum(1 - F.col("_y")).cast("double").alias("_neg"))
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = per.groupBy(group).agg(F.percentile_approx("_s", probs, 10000).alias("_bounds"))
-    per = per.join(F.broadcast(bounds), group)  # one row per group
-    per = per.withColumn("_b", F.size(F.filter("_bounds", lambda x: x < F.col("_s")))).drop("_bounds")
-    tot_b = per.groupBy(group, "_b").agg(F.sum("_neg").alias("_bn"))
-    wb = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot_b.select(group, "_b", F.coalesce(F.sum("_bn").over(wb), F.lit(0.0)).alias("_off"))
-    w = Window.partitionBy(group, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    per = (per.withColumn("_in", F.coalesce(F.sum("_neg").over(w), F.lit(0.0)))
-           .join(F.broadcast(offs), [group, "_b"])          # groups x buckets rows: bounded
-           .withColumn("_below", F.col("_off") + F.col("_in")))
-    tot = per.groupBy(group).agg(F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / F.lit(2.0))).alias("_u"),
-                                 F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
-    return tot.select(group, F.when((F.col("_p") > 0) & (F.col("_n") > 0),
-                                    F.col("_u") / (F.col("_p") * F.col("_n"))).alias("auc"))
+    d = df.select(F.col(group).alias("_g"), F.col(score).alias("_s"), lab.cast("int").alias("_y")).where(F.col("_g").isNotNull())
+    per = ordered.ranged(ordered.weighted(d, ["_g"], "_s", _pos=F.col("_y").cast("double"), _neg=(1 - F.col("_y")).cast("double")), ["_g"], "_s", bound)
+    per = ordered.prefix_sums(per, ordered.offsets(per, ["_g"], "_neg"), ["_g"], "_s", "_neg", "_below")
+    tot = per.groupBy("_g").agg(F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / F.lit(2.0))).alias("_u"),
+                                F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
+    return tot.select(F.col("_g").alias(group), F.when((F.col("_p") > 0) & (F.col("_n") > 0),
+                                                       F.col("_u") / (F.col("_p") * F.col("_n"))).alias("auc"))
 
 
 def paired_tables(success: DataFrame, pairs: list[tuple[str, str]], models: list[str],

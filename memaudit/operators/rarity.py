@@ -7,11 +7,11 @@ Scale notes
   combined row per task, not a hot reducer). The three axis counts, N and the
   quantiles are re-aggregations of that distinct-profile table.
 * Scores are a function of the profile, so they are computed once per distinct
-  profile and joined back to the records by an equi-join on the profile; AQE
-  broadcasts the profile table when its runtime size is small, otherwise runs a
-  sort-merge join and splits a skewed profile partition (skewJoin).
-* Quantiles are exact: the range of distinct ``I_total`` values that holds the
-  wanted rank is found from range totals, and only that range is ordered.
+  profile and joined back to the records by the profile's key, two longs per axis.
+  Fewer than ``HOT`` common profiles (a proven bound) are broadcast; the others
+  meet the records by a shuffle without a hot key.
+* Quantiles are exact: distinct ``I_total`` values lie in ranges of bounded size,
+  range totals tell which holds the wanted rank, and only that range is ordered.
 * The split ranks records inside (stratum, hash bucket) groups only; a prefix
   sum over the bucket-count table (at most strata x 16^hex rows, a proven
   bound) supplies each bucket's offset, so no stratum lands in one task.
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memaudit.functions import cells
+from memaudit.operators import ordered
 from memaudit.session import materialize
 
 
@@ -51,18 +52,43 @@ def cohort_profiles(records: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ frequencies and scores
+#: A profile is common if it holds more than one record in this many; so there are fewer than this many common ones.
+HOT = 1000
+
+
+def axis_keys(axis: str) -> list[str]:
+    """The two numbers that stand for a profile axis in counts, scores and joins."""
+    return [f"{axis}_a", f"{axis}_b"]
+
+
+def keyed_profiles(profiles: DataFrame, axes=("gen", "phen", "traj")) -> DataFrame:
+    """The profile dictionary's keys on every record: 128 bits of each axis, as two longs, next to the axis itself."""
+    return profiles.select("*", *[F.xxhash64(*seed, axis).alias(k) for axis in axes for k, seed in zip(axis_keys(axis), ([], [F.lit(axis)]))])
+
+
 def profile_counts(profiles: DataFrame, axes=("gen", "phen", "traj")) -> DataFrame:
     """One row per distinct full profile with its class size ``k_full``."""
     return profiles.groupBy(*axes).agg(F.count(F.lit(1)).alias("k_full"))
 
 
+def key_counts(keyed: DataFrame, axes=("gen", "phen", "traj")) -> DataFrame:
+    """A2 / A7 on keys: (two longs per axis, ``k_full``); a key that two profiles share ends the job."""
+    by = [k for axis in axes for k in axis_keys(axis)]
+    same = F.lit(True)
+    for axis in axes:
+        same &= F.min(axis).eqNullSafe(F.max(axis))
+    counted = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("k_full"), same.alias("_same"))
+    return counted.select(*by, F.when(F.col("_same"), F.col("k_full")).otherwise(F.raise_error(F.lit("two profiles have one key")).cast("bigint")).alias("k_full"))
+
+
 def score_profiles(counts: DataFrame, axes=("gen", "phen", "traj")) -> DataFrame:
-    """Surprisal per axis ``-log10(count/N)`` and ``I_total`` (axes added in order)."""
+    """Surprisal per axis ``-log10(count/N)`` and ``I_total`` (axes added in order), for counts by axis or by axis keys."""
     n = counts.agg(F.sum("k_full").cast("double")).scalar()  # uncorrelated scalar subquery
     out = counts.withColumn("N", n)
     for a in axes:
-        ac = counts.groupBy(a).agg(F.sum("k_full").alias(f"cnt_{a}"))
-        out = out.join(ac, a)
+        by = [a] if a in counts.columns else axis_keys(a)
+        ac = counts.groupBy(*by).agg(F.sum("k_full").alias(f"cnt_{a}"))
+        out = out.join(ac, by)
     total = None
     for a in axes:
         out = out.withColumn(f"I_{a}", -F.log10(F.col(f"cnt_{a}") / F.col("N")))
@@ -70,38 +96,31 @@ def score_profiles(counts: DataFrame, axes=("gen", "phen", "traj")) -> DataFrame
     return out.withColumn("I_total", total)
 
 
-def exact_quantiles(df: DataFrame, value: str, weight: Column, probs, ranges: int = 256) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, weight: Column, probs, ranges: int = ordered.FAN, bound: int = ordered.BOUND) -> DataFrame:
     """One row with the column ``q``: the exact linear-interpolation quantiles of ``value`` counted ``weight`` times.
 
-    Distinct values are routed to ``ranges`` ranges by approximate boundaries; the totals of the ranges (at most
-    ``ranges`` + 1 rows) tell which range holds a wanted rank, and only those ranges are ordered. No task
-    holds all distinct values, and the boundaries' accuracy has no influence on the result."""
-    per = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.sum(weight).alias("_w"))
-    bounds = per.agg(F.percentile_approx("_v", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000)).scalar()
-    per = per.withColumn("_bounds", bounds).withColumn("_b", F.size(F.filter("_bounds", lambda x: x < F.col("_v")))).drop("_bounds")
-    totals = per.groupBy("_b").agg(F.sum("_w").alias("_bw"))
-    n = totals.agg(F.sum("_bw")).scalar()
-    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``ranges`` + 1 rows
-    offsets = totals.select("_b", "_bw", F.coalesce(F.sum("_bw").over(ahead), F.lit(0)).alias("_off"), n.alias("_n"))
-
-    def rank(p: float) -> tuple[Column, Column]:
-        at = (F.col("_n") - 1) * F.lit(float(p))
-        return F.floor(at), at
+    Distinct values lie in ranges of at most ``bound`` values; the totals of the ranges tell which of them hold a
+    wanted rank, and only those are ordered."""
+    per = ordered.ranged(ordered.weighted(df.select(F.col(value).alias("_v"), weight.alias("_k")), [], "_v", _w=F.col("_k")), [], "_v", bound, ranges)
+    spans = ordered.offsets(per, [], "_w")
+    n = spans.agg(F.sum("_total")).scalar()
+
+    def rank(p: float) -> Column:
+        return (n - 1) * F.lit(float(p))
+
+    ends = [f(rank(p)) for p in probs for f in (F.floor, F.ceil)]
     wanted = F.lit(False)
-    for p in probs:
-        low, at = rank(p)
-        for r in (low, F.ceil(at)):
-            wanted |= (r >= F.col("_off")) & (r < F.col("_off") + F.col("_bw"))
-    held = per.join(F.broadcast(offsets.filter(wanted)), "_b")
-    inside = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.withColumn("_before", F.col("_off") + F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    for r in ends:
+        wanted |= (r >= F.col("_before")) & (r < F.col("_before") + F.col("_total"))
+    held = spans.where(wanted)  # at most two ranges for each of the few ranks
+    found = ordered.prefix_sums(per.join(held.select("_path"), "_path", "left_semi"), held, [], "_v", "_w", "_below")
 
     def at_rank(r: Column) -> Column:
-        return F.max(F.when((r >= F.col("_before")) & (r < F.col("_before") + F.col("_w")), F.col("_v")))
-    found = held.agg(F.max("_n").alias("_n"), *[at_rank(f(rank(p)[1])).alias(f"_{side}{i}") for i, p in enumerate(probs)
-                                              for side, f in (("lo", F.floor), ("hi", F.ceil))])
-    return found.select(F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (rank(p)[1] - rank(p)[0])
-                                  for i, p in enumerate(probs)]).alias("q"))
+        return F.max(F.when((r >= F.col("_below")) & (r < F.col("_below") + F.col("_w")), F.col("_v")))
+
+    row = found.select("_v", "_w", "_below").agg(F.max(n).alias("_n"), *[at_rank(r).alias(f"_e{i}") for i, r in enumerate(ends)])
+    parts = [((F.col("_n") - 1) * F.lit(float(p))) - F.floor((F.col("_n") - 1) * F.lit(float(p))) for p in probs]
+    return row.select(F.array(*[F.col(f"_e{2 * i}") + (F.col(f"_e{2 * i + 1}") - F.col(f"_e{2 * i}")) * x for i, x in enumerate(parts)]).alias("q"))
 
 
 def total_quantiles(scored: DataFrame, probs=(0.75, 0.95)) -> DataFrame:
@@ -120,22 +139,26 @@ def rarity_scores(profiles: DataFrame, axes=("gen", "phen", "traj"),
                   axis_names=("I_gen", "I_phen", "I_traj"), cut_lineage: bool = True) -> DataFrame:
     """Records with profiles -> (patient_id, rarity_group, I_*, I_total, k_full).
 
-    The profile table feeds five branches (full counts, three axis counts, the
-    join back); with ``cut_lineage`` it is written once to the checkpoint folder
-    so the upstream record derivation runs once, not per branch.
+    A record's profile travels as two longs per axis (``keyed_profiles``). The key table feeds the counts and the join
+    back; with ``cut_lineage`` it is written once to the checkpoint folder so the upstream record derivation runs once.
+
+    The join back: a profile of more than one record in ``HOT`` is one of fewer than ``HOT`` profiles, so those scores are sent to the
+    records and a common profile is not shuffled at all; the rest meet by a shuffle in which no key has more than that share.
     """
+    keyed = keyed_profiles(profiles.select("patient_id", *axes), axes)
     if cut_lineage:
-        profiles = materialize(profiles.select("patient_id", *axes), "profiles")
-    counts = profile_counts(profiles, axes)
+        keyed = materialize(keyed, "profiles")
+    by = [k for axis in axes for k in axis_keys(axis)]
     # N, quantiles, strata and the join back all read this table of distinct profiles: written once
-    scored = materialize(score_profiles(counts, axes), "profile-scores")
+    scored = materialize(score_profiles(key_counts(keyed, axes), axes), "profile-scores")
     q = total_quantiles(scored).select(F.array("p75", "p95")).scalar()  # one subquery, reused
-    p75, p95 = q[0], q[1]
-    strata = scored.withColumn("rarity_group", assign_stratum(F.col("k_full"), F.col("I_total"), p75, p95))
-    keep = [*axes, "rarity_group", *[F.col(f"I_{a}").alias(nm) for a, nm in zip(axes, axis_names)],
-            "I_total", "k_full"]
-    per_profile = strata.select(*keep)
-    return profiles.select("patient_id", *axes).join(per_profile, list(axes)).drop(*axes)
+    strata = scored.withColumn("rarity_group", assign_stratum(F.col("k_full"), F.col("I_total"), q[0], q[1]))
+    strata = strata.select(*by, "N", "rarity_group", *[F.col(f"I_{a}").alias(nm) for a, nm in zip(axes, axis_names)], "I_total", "k_full")
+    common = F.col("k_full") * HOT > F.col("N")
+    ids = keyed.select("patient_id", *by)
+    hot = F.broadcast(strata.where(common))
+    few, many = ids.join(hot, by), ids.join(F.broadcast(strata.where(common).select(*by)), by, "left_anti").join(strata.where(~common), by)
+    return few.unionByName(many).drop(*by, "N")
 
 
 # ------------------------------------------------------------------ stratified split
@@ -228,13 +251,15 @@ def rare_flags(records: DataFrame, gene_threshold: int = 2, traj_threshold: int
     base = records.select(F.nullif("pathogenic_gene", F.lit("")).alias("pg"),
                           F.nullif("vus_gene", F.lit("")).alias("vg"),
                           trajectory_signature(records).alias("sig"))
-    classes = base.groupBy("pg", "vg", "sig").agg(F.count(F.lit(1)).alias("size"))
-    own = F.concat(F.lit("\u0000"), F.xxhash64("sig").cast("string"))  # partner of no gene
+    base = base.withColumn("sa", F.xxhash64("sig")).withColumn("sb", F.xxhash64(F.lit("sig"), "sig"))
+    one = F.when(F.min("sig").eqNullSafe(F.max("sig")), F.count(F.lit(1))).otherwise(F.raise_error(F.lit("two signatures have one key")).cast("bigint"))
+    classes = base.groupBy("pg", "vg", "sa", "sb").agg(one.alias("size"))
+    own = F.concat(F.lit("\u0000"), F.col("sa").cast("string"))  # partner of no gene
     classes = classes.withColumn("pk", F.coalesce("pg", own)).withColumn("vk", F.coalesce("vg", own))
     pc = classes.filter(F.col("pg").isNotNull()).groupBy("pk").agg(F.sum("size").alias("pfreq"))
     vc = classes.filter(F.col("vg").isNotNull()).groupBy("vk").agg(F.sum("size").alias("vfreq"))
-    sc = classes.groupBy("sig").agg(F.sum("size").alias("tfreq"))
-    j = classes.join(pc, "pk", "left").join(vc, "vk", "left").join(sc, "sig")
+    sc = classes.groupBy("sa", "sb").agg(F.sum("size").alias("tfreq"))
+    j = classes.join(pc, "pk", "left").join(vc, "vk", "left").join(sc, ["sa", "sb"])
     rg = F.coalesce(F.col("pfreq") <= gene_threshold, F.lit(False)) | \
         F.coalesce(F.col("vfreq") <= gene_threshold, F.lit(False))
     rt = F.col("tfreq") <= traj_threshold

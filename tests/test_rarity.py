@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -75,3 +76,30 @@ def test_rare_flags_without_genes(spark):
     df = df.withColumn("complicating", F.expr("cast(array() as array<string>)")).withColumn("aas", F.expr("cast(array() as array<string>)"))
     r = rarity.rare_flags(df).first()
     assert (r["n"], r["n_rare_gene"], r["n_rare_traj"], r["n_both"], r["n_either"]) == (6, 2, 3, 1, 4)
+
+
+def test_common_profiles_are_scored_without_a_hot_key(spark):
+    """One profile holds a third of the records, 40 hold most others; scores equal a count per record."""
+    import math
+    from collections import Counter
+
+    rows = [("hot", 0, 1)] * 2000 + [(f"g{i % 40}", i % 3, i % 2) for i in range(3000)] + [(f"rare{i}", i, 7) for i in range(1000)]
+    df = spark.createDataFrame([(f"row_{i}", *r) for i, r in enumerate(rows)], "patient_id string, g string, p int, t int")
+    df = df.select("patient_id", F.struct("g").alias("gen"), F.struct(F.array("p").alias("p")).alias("phen"), F.struct("t").alias("traj"))
+    scored = rarity.rarity_scores(df)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(re.search(r"\b(gen|phen|traj)#", line) for line in plan.splitlines() if "Join" in line)  # no struct is joined
+    got = {r["patient_id"]: r for r in scored.collect()}
+    n, full = len(rows), Counter(rows)
+    axes = [Counter(r[k] for r in rows) for k in range(3)]
+    assert len(got) == n
+    for i, r in enumerate(rows):
+        s = got[f"row_{i}"]
+        assert s["k_full"] == full[r] and math.isclose(s["I_total"], sum(-math.log10(axes[k][r[k]] / n) for k in range(3)), abs_tol=1e-12)
+
+
+def test_two_profiles_under_one_key_end_the_job(spark):
+    keyed = spark.createDataFrame([("a", 1, 2), ("b", 1, 2)], "gen string, gen_a long, gen_b long")
+    import pytest
+    with pytest.raises(Exception, match="two profiles have one key"):
+        rarity.key_counts(keyed, ("gen",)).collect()
