@@ -179,8 +179,9 @@ DATE_FORMATS = ["yyyy-MM-dd", "M/d/yyyy", "M/d/yy", "yyyy-MM-dd HH:mm:ss"]
 def parse_date_multi(c) -> Column:
     """First format that parses; two-digit years pivot at 69 like Python."""
     s = py_strip(col(c).cast("string"))
-    iso = F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd")),
-                     F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")))
+    # a cell is tried in the one format that its shape allows: a failed try costs far more than a pattern
+    iso = F.coalesce(F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))),
+                     F.when(s.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss"))))
     full = F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(s, F.lit("M/d/yyyy")))
     short = F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_timestamp(s, F.lit("M/d/yy")))
     # Spark maps yy into 2000-2099 (and 1970-2069 is Python's window): shift >= 2069 back a century
@@ -188,6 +189,94 @@ def parse_date_multi(c) -> Column:
     return F.coalesce(iso, full, short)
 
 
+# The month names that a date cell may hold, by their first three letters.
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_TIME = r"(?:^|[t\s]\s*)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?\s*([ap]\.?m\.?)?\s*(z|utc|gmt|[+-]\d{2}:?\d{2})?$"
+PIVOT = 69
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _clock(text: Column) -> Column:
+    """struct(h, m, s, off) of a clock as ``_TIME`` finds it (minutes of the zone in off); NULL where there is none."""
+    def part(i: int) -> Column:
+        return F.nullif(F.regexp_extract(text, _TIME, i), F.lit(""))
+
+    hour, half, zone = part(1).cast("int"), F.substring(part(4), 1, 1), part(5)
+    hour = F.when(half.isNotNull() & (hour.between(1, 12)), hour % 12 + F.when(half == "p", 12).otherwise(0)).when(half.isNull(), hour)
+    sign = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
+    digits = F.regexp_replace(zone, r"\D", "")
+    off = F.when(digits != "", sign * (F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int"))).otherwise(F.lit(0))
+    return F.when(text != "", F.struct(hour.alias("h"), part(2).cast("int").alias("m"), F.coalesce(part(3), F.lit("0")).cast("int").alias("s"), F.coalesce(off, F.lit(0)).alias("off")))
+
+
+def _day_tokens(text: Column) -> Column:
+    """The tokens of a cell without its clock; NULL if it holds anything but numbers, month names, weekdays and separators."""
+    day = F.regexp_replace(text, r"\b(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\b\.?,?", " ")
+    day = F.regexp_replace(day, r"\b(\d{1,2})(?:st|nd|rd|th)\b", "$1")
+    kept = F.lit(rf"^(?:\d+|{_MONTH})(?: (?:\d+|{_MONTH})){{0,2}}$")
+    return _let(F.trim(F.regexp_replace(day, r"[\s,./-]+", " ")), lambda d: F.when(F.regexp_like(d, kept), F.split(d, " ")))
+
+
+def _padded(tokens: Column) -> Column:
+    return _let(tokens, lambda t: F.array(*[F.get(t, i) for i in range(3)]))
+
+
+def _layout(t: Column) -> Column:
+    """struct(y, m, d) as strings from one to three tokens (a four-digit year, or a number over 31, is the year); NULL if no
+    layout fits. Without a year there is no date; without a day or month it is the first."""
+    month = [F.regexp_like(t[i], F.lit("^[a-z]")) for i in range(3)]
+    named = [F.when(month[i], F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(t[i], 1, 3)).cast("string")) for i in range(3)]
+    number = [F.when(~month[i] & (F.length(t[i]) <= 8), t[i].cast("bigint")) for i in range(3)]
+    year = [F.coalesce((F.length(t[i]) >= 3) | (number[i] > 31), F.lit(False)) & ~month[i] for i in range(3)]
+
+    def ymd(y, m, d="1") -> Column:
+        return F.struct((F.lit(y) if isinstance(y, str) else y).alias("y"), (F.lit(m) if isinstance(m, str) else m).alias("m"), (F.lit(d) if isinstance(d, str) else d).alias("d"))
+
+    a, b, c = t[0], t[1], t[2]
+    one = F.when(F.regexp_like(a, F.lit(r"^\d{8}$")), ymd(F.substring(a, 1, 4), F.substring(a, 5, 2), F.substring(a, 7, 2))).when(F.regexp_like(a, F.lit(r"^\d{4}$")), ymd(a, "1"))
+    two = (F.when(month[0] & year[1], ymd(b, named[0])).when(month[1] & year[0], ymd(a, named[1]))
+           .when(~month[0] & ~month[1] & year[0], ymd(a, b)).when(~month[0] & ~month[1] & year[1], ymd(b, a)))
+    three = (F.when(month[0], F.when(year[1], ymd(b, named[0], c)).otherwise(ymd(c, named[0], b)))
+             .when(month[1], F.when(year[0], ymd(a, named[1], c)).otherwise(ymd(c, named[1], a)))
+             .when(month[2], F.when(year[1], ymd(b, named[2], a)).otherwise(ymd(a, named[2], b)))
+             .when(year[0], ymd(a, b, c)).when(number[0] > 12, ymd(c, b, a)).otherwise(ymd(c, a, b)))
+    n = F.size(F.array_compact(t))
+    return F.when(n == 1, one).when(n == 2, two).when(n == 3, three)
+
+
+def parse_date_generic(c) -> Column:
+    """P17's fallback: a cell as tokens (numbers, month names, separators, clock, zone) whose kinds decide the layout.
+
+    Month before day where both could be (05.03.2010 is May 3rd), day first where the first number is over 12, year first where
+    it has four digits; two-digit years pivot at 69 like the named formats; a clock with a zone is taken to UTC. Cells
+    without a year, with a day that does not exist, or with other words are NULL."""
+    s = F.lower(py_strip(col(c).cast("string")))
+    cut = lambda x: F.struct(_clock(x["clock"]).alias("t"), _padded(_day_tokens(F.substring(x["s"], F.lit(1), F.length(x["s"]) - F.length(x["clock"])))).alias("tokens"))
+
+    def moment(x: Column) -> Column:
+        y, t = x["l"]["y"], x["t"]
+        two = F.length(y) <= 2
+        year = y.cast("bigint") + F.when(two, F.when(y.cast("bigint") >= PIVOT, 1900).otherwise(2000)).otherwise(0)
+        day = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), x["l"]["m"], x["l"]["d"])
+        clock = F.concat_ws(":", *[F.coalesce(t[k], F.lit(0)).cast("string") for k in ("h", "m", "s")])
+        at = F.try_to_timestamp(F.concat_ws(" ", day, clock), F.lit("yyyy-M-d H:m:s"))
+        at = F.when(t.isNull() | t["h"].isNotNull(), at)
+        return F.when(x["l"]["m"].isNotNull() & x["l"]["d"].isNotNull() & (F.length(y) <= 4), F.timestamp_seconds(F.unix_timestamp(at) - F.coalesce(t["off"], F.lit(0)) * 60))
+
+    whole = _let(F.struct(s.alias("s"), F.regexp_extract(s, _TIME, 0).alias("clock")), cut)
+    return _let(_let(whole, lambda x: F.struct(x["t"].alias("t"), _layout(x["tokens"]).alias("l"))), moment)
+
+
+def parse_date(c) -> Column:
+    """P17 whole: the four named formats, then the generic parser."""
+    return F.coalesce(parse_date_multi(c), parse_date_generic(c))
+
+
 def age_at_event(birth, event) -> Column:
     """``int(days // 365.25)`` over whole elapsed days; NULL if a side is NULL or negative."""
     secs = F.unix_timestamp(col(event)) - F.unix_timestamp(col(birth))

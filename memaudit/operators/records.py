@@ -88,20 +88,33 @@ def drop_identifiers(df: DataFrame, columns=vocab.IDENTIFIER_COLUMNS) -> DataFra
     return df.drop(*[c for c in columns if c in df.columns])
 
 
+EVENTS = ("surg_1_date", "surg_2_date", "surg_3_date")
+
+
 def with_event_ages(df: DataFrame, dob: str = "DOB", events=None) -> DataFrame:
     """P17 + P18: parse DOB and event dates, derive integer ages at each event.
 
     Adds ``{event}_age`` columns (NULL when unparsable or negative) and
-    ``_rejected_dates`` (count of present-but-unparsable date cells per row).
+    ``_rejected_dates`` (count of present-but-unparsable date cells per row; ``rejected_dates`` lists them).
     """
-    events = events or [c for c in ("surg_1_date", "surg_2_date", "surg_3_date") if c in df.columns]
-    birth = cells.parse_date_multi(F.col(dob))
-    out = df.withColumn("_dob_ts", birth)
-    rejected = F.when(F.col(dob).isNotNull() & F.col("_dob_ts").isNull(), 1).otherwise(0)
+    events = events or [c for c in EVENTS if c in df.columns]
+    out = df.withColumn("_dob_ts", cells.parse_date(F.col(dob)))
+    rejected = F.when(_present(dob) & F.col("_dob_ts").isNull(), 1).otherwise(0)
     for e in events:
-        ts = cells.parse_date_multi(F.col(e))
         age_name = e.replace("_date", "_age")
-        out = out.withColumn(f"_{e}_ts", ts).withColumn(age_name, cells.age_at_event("_dob_ts", f"_{e}_ts")
-                                                          .cast("double"))
-        rejected = rejected + F.when(F.col(e).isNotNull() & F.col(f"_{e}_ts").isNull(), 1).otherwise(0)
+        out = out.withColumn(f"_{e}_ts", cells.parse_date(F.col(e)))
+        out = out.withColumn(age_name, cells.age_at_event("_dob_ts", f"_{e}_ts").cast("double"))
+        rejected = rejected + F.when(_present(e) & F.col(f"_{e}_ts").isNull(), 1).otherwise(0)
     return out.withColumn("_rejected_dates", rejected).drop("_dob_ts", *[f"_{e}_ts" for e in events])
+
+
+def _present(c: str):
+    return F.col(c).isNotNull()
+
+
+def rejected_dates(df: DataFrame, columns=None) -> DataFrame:
+    """(column, value, n): the present date cells that no format and no layout reads, counted."""
+    columns = columns or [c for c in ("DOB", *EVENTS) if c in df.columns]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), cells.parse_date(F.col(c)).alias("ts")) for c in columns]))
+    return (df.select(each.alias("x")).where(F.col("x.value").isNotNull() & F.col("x.ts").isNull())
+            .groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("n")))

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -74,12 +75,10 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a small-in-bytes but CPU-heavy input over at least one partition per core.
+    """Deal out a small-in-bytes but CPU-heavy input again, by hash of ``keys`` or evenly.
 
     Row count, not bytes, drives the cost of text rendering and regex scoring; a
     tiny table scanned from one file (and kept in one partition by broadcast
-    joins) would otherwise run in a single task. The plan alone decides: nothing is
-    executed to learn a size, and the row table is dealt out once, whatever it holds."""
-    spark = df.sparkSession
-    target = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+    joins) would otherwise run in a single task. No number of partitions is given: adaptive execution sizes them by
+    what they hold, from one per core for a small table (``coalescePartitions.minPartitionSize``) to as many as a large one needs."""
+    return df.repartition(*[F.col(k) for k in keys]) if keys else df.hint("rebalance")
