@@ -133,6 +133,20 @@ def q_size_by_value(spark, sf_dir):
         "value", "n_first", "n_interv", *[f"{m}_{f}" for m, f in cells], *recall)
 
 
+_CELLS = [(m, f) for m in MODEL_NAMES for f in ("first", "interv")]
+FIELD_RECALL_SQL = "SELECT value || ' mm' AS value, n_first, n_interv, n_first + n_interv AS n_total, " + ", ".join(
+    f"{m}_{f}, round({m}_{f} / nullif(n_{f}, 0)::DOUBLE, 9) AS {m}_{f}_recall" for m, f in _CELLS) + f" FROM ({VALUE_SQL})"
+
+
+@register("size_recall_by_field", FIELD_RECALL_SQL)
+def q_size_recall_by_field(spark, sf_dir):
+    """Per diameter value, hits and recall of the first and of the intervention diameter apart; no recall where no record
+    reports the value in that field."""
+    v = q_size_by_value(spark, sf_dir)
+    cells = [c for m, f in _CELLS for c in (F.col(f"{m}_{f}"), F.round(F.try_divide(f"{m}_{f}", f"n_{f}"), 9).alias(f"{m}_{f}_recall"))]
+    return v.select(F.concat("value", F.lit(" mm")).alias("value"), "n_first", "n_interv", (F.col("n_first") + F.col("n_interv")).alias("n_total"), *cells)
+
+
 # ------------------------------------------------------------------ canary curve
 def canary_curve(spark, sf_dir):
     """Every record with a specific gene and both diameters acts as a canary; its
