@@ -11,7 +11,9 @@ them into a score.
 Lexicon: beginnings of 4 to 7 letters and whole words of distinct texts (stretches of 2 to 4 letters in scripts without spaces), counted where the grammar reads them as neither
 negated nor reported, in toxic and other texts alike, so that quoting or denying an insult does not speak for or against it. A
 pattern is kept where its share of toxic texts is so far above the classes' share that chance would give none (Chernoff's bound
-on the binomial tail, Bonferroni over all patterns tried) and it is ``RATIO`` times as frequent in toxic texts. Labelled rows are a
+on the binomial tail, Bonferroni over all patterns tried) and it is ``RATIO`` times as frequent in toxic texts. Texts that are near copies of one
+another are no independent witnesses: a pattern counts in at most as many toxic texts as it has different surroundings (its own
+white-space word and the two beside it). Labelled rows are a
 hash sample of about ``SAMPLE`` rows of the training labels, as large for any corpus; whole texts are read in training and scoring.
 
 Training rows have crc32(id as text) mod 5 other than 0; a row without an id, text or label is no training row; a
@@ -28,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import islice
+from zlib import crc32
 
 import ahocorasick
 import numpy as np
@@ -56,8 +59,9 @@ CLASSES = {
     "X": "kill hurt beat stab shoot burn töten umbringen schlagen tuer frapper matar golpear",
 }
 MARKS = ["plain", "targeted", "negated", "reported"]
-#: Where the regression starts from, per unit of evidence of each mark, and how strongly it is drawn there.
-PRIOR, BIAS, DRAW = {"plain": 1.0, "targeted": 1.1, "negated": 0.5, "reported": 0.6}, -4.0, 0.02
+#: Where the regression starts from, per unit of evidence of each mark, and how strongly it is drawn there: as if the prior of the bias
+#: had a variance of one. Weaker, classes that are far apart would push the boundary up to the weakest labelled toxic text.
+PRIOR, BIAS, DRAW = {"plain": 1.0, "targeted": 1.1, "negated": 0.5, "reported": 0.6}, -4.0, 1.0
 #: How many times as frequent in toxic texts as in others a pattern of the lexicon is at least; less is topic, not insult.
 RATIO = 8.0
 #: The evidence of one match and of one text's mark, at most: features saturate, so a long text is not toxic by length alone. All
@@ -196,15 +200,34 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> list[float]:
-    """Newton's method for the logistic regression that is drawn to the prior."""
+def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> list[float]:
+    """The logistic regression that is drawn to the prior, by Newton's method with halved steps where a whole one would not
+    lower the loss; a mark whose weight would be negative gets none."""
     x, prior = np.c_[np.ones(len(x)), x], np.array([BIAS, *PRIOR.values()])
-    w, draw = prior.copy(), DRAW * np.array([1.0, 20, 20, 20, 20])
-    for _ in range(rounds):
-        p = _sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(draw), x.T @ (p - y) + draw * (w - prior))
-        w -= np.clip(step, -1, 1)
-    return np.r_[w[0], np.maximum(w[1:], 0)].tolist()
+    draw, free = DRAW * np.array([1.0, 20, 20, 20, 20]), np.ones(5, bool)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + draw @ (w - prior) ** 2 / 2)
+
+    while True:
+        w = np.where(free, prior, 0.0)
+        for _ in range(rounds):
+            p = _sigmoid(x @ w)
+            slope = x.T @ (p - y) + draw * (w - prior)
+            step = np.zeros(5)
+            step[free] = np.linalg.solve(((x * (p * (1 - p))[:, None]).T @ x + np.diag(draw))[np.ix_(free, free)], slope[free])
+            part = 1.0
+            while part > 1e-9 and loss(w - part * step) > loss(w) - 1e-4 * part * float(slope @ step):
+                part /= 2
+            w = w - part * step
+            if float(np.abs(part * step).max()) < 1e-8:
+                break
+        below = free & (w < 0)
+        below[0] = False
+        if not below.any():
+            return w.tolist()
+        free &= ~below
 
 
 def patterns_of(raw: bytes | None) -> set[str]:
@@ -269,6 +292,27 @@ def _counts(texts: DataFrame, wanted: dict | None = None, flush: int = 300_000)
     return texts.mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
+def witnesses_of(raw: bytes | None, wanted: dict) -> set[tuple[str, int]]:
+    """(pattern, surroundings) of the wanted patterns in a text: the white-space word that holds the pattern, and its neighbours."""
+    tokens, out = (raw or b"").decode().lower().split(), set()
+    for i, token in enumerate(tokens):
+        found = patterns_of(token.encode()) & wanted.keys()
+        if found:
+            around = crc32(" ".join(tokens[max(0, i - 1):i + 2]).encode())
+            out.update((pattern, around) for pattern in found)
+    return out
+
+
+def _witnesses(texts: DataFrame, wanted: dict) -> DataFrame:
+    """(pattern, n): in how many different surroundings each wanted pattern stands in the texts (the only column)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sorted({w for raw in utf8(batch.column(0)) for w in witnesses_of(raw, wanted)})
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([c for _, c in found], pa.int64())], names=["pattern", "around"])
+
+    return texts.mapInArrow(run, "pattern string, around long").distinct().groupBy("pattern").agg(F.count("*").alias("n"))
+
+
 def significance(a: int, b: int, base: float) -> float:
     """Minus the logarithm of Chernoff's bound on the chance that ``a`` or more of ``a + b`` texts are toxic, of which a share
     ``base`` of all texts is."""
@@ -296,10 +340,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     least = max(3, math.ceil(bar / -math.log(base)))
     toxic = {r["pattern"]: r["n"] for r in seen.where(F.col("n") >= least).collect()}  # of the sample's texts
     clean = {r["pattern"]: r["n"] for r in _counts(rows.where("y = 0").select("text"), dict.fromkeys(toxic)).collect()}
+    likely = {p: a for p, a in toxic.items() if significance(a, clean.get(p, 0), base) >= bar and a * n[0] >= RATIO * clean.get(p, 0) * n[1]}
+    apart = {r["pattern"]: r["n"] for r in _witnesses(rows.where("y = 1").select("text"), dict.fromkeys(likely)).collect()}  # of the few likely ones
     lexicon = {}
-    for pattern, a in sorted(toxic.items()):
-        b = clean.get(pattern, 0)
-        if significance(a, b, base) >= bar and a * n[0] >= RATIO * b * n[1]:
+    for pattern in sorted(likely):
+        a, b = min(likely[pattern], apart.get(pattern, 0)), clean.get(pattern, 0)  # copies of one text bear witness once
+        if a and significance(a, b, base) >= bar and a * n[0] >= RATIO * b * n[1]:
             lexicon[pattern] = min(MOST, math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1)))
     # a longer pattern within a kept beginning of no less weight says nothing more
     lexicon = {p: w for p, w in lexicon.items() if not any(lexicon.get(p[:k], 0.0) >= w for k in range(4, len(p.rstrip())) if p[0] != "*")}

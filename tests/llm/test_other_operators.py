@@ -321,6 +321,30 @@ def test_patterns_are_counted_outside_negation_and_reported_speech():
     assert found("") == set() == toxicity.plain_patterns_of(None, toxicity._around())
 
 
+def test_toxicity_weights_lower_the_loss_of_separated_classes():
+    import numpy as np
+    y = np.r_[np.ones(150), np.zeros(1400)]
+    x = np.zeros((1550, 4))
+    x[:150, 0], x[:50, 1], x[150:160, 0], x[160:170, 2] = 12, 6, 7, 3
+    w = toxicity.fit_weights(x, y)
+    p = 1 / (1 + np.exp(-(np.c_[np.ones(len(x)), x] @ w)))
+    assert ((p >= 0.5) == (y == 1)).all() and min(w[1:]) >= 0
+
+
+def test_toxicity_lexicon_counts_copies_of_one_text_once(spark):
+    """A topic word of one toxic text with thirty near copies is no insult; an insult in thirty texts is."""
+    rng = random.Random(5)
+    words = ["tree", "river", "cloud", "stone", "field", "house", "grass", "water", "light", "night"]
+    text = lambda *more: " ".join(rng.choices(words, k=20) + list(more) + rng.choices(words, k=20))
+    base = text("the", "quaxolit", "machine").split()
+    copies = [" ".join(base[:-1] + [f"end{i}"]) for i in range(30)]
+    rows = [(i, t, 1) for i, t in enumerate(copies + [text("you", "grimpel") for _ in range(30)])] + [(100 + i, text(), 0) for i in range(300)]
+    docs = spark.createDataFrame([(10 * i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(10 * i, y) for i, _, y in rows], "doc_id long, toxic int")
+    lexicon = toxicity.train(docs, labels).lexicon
+    assert "grim" in lexicon and not any(p.startswith("quax") for p in lexicon)
+
+
 def test_toxicity_of_odd_tables(spark):
     rows = [(i, f"fine words for you number{i} here") for i in range(80)] + [(1000 + i, f"oh rotzkopf{i % 7} you") for i in range(80)] + [(5000, None), (5001, ""), (5001, ""), (None, "rotzkopfs"), (5002, LONG)]
     docs = H.docs(spark, rows).withColumn("score", F.lit(1))
