@@ -255,10 +255,43 @@ VERIFY_SQL = _verify_sql()
 
 @register("card_fidelity", VERIFY_SQL)
 def q_card_fidelity(spark, sf_dir):
-    """Re-derive 10 fields from the records and compare with the rendered full cards."""
-    rec = typed_records(spark, sf_dir)
-    full = cards.card(rec, "full")
-    return verify.fidelity_summary(rec, full)
+    """Derive 10 fields a second time from the raw rows and compare with the rendered full cards."""
+    return verify.fidelity_summary(raw_cohort(spark, sf_dir), cards.card(typed_records(spark, sf_dir), "full"))
+
+
+FAULTS_SQL = "WITH " + cohort_sql() + """,
+k AS (SELECT *, CAST(substr(patient_id, 5) AS BIGINT) AS k, "surg_1_age" IS NOT NULL AS s1, "surg_2_age" IS NOT NULL AS s2, "surg_3_age" IS NOT NULL AS s3 FROM raw_cohort),
+r AS (SELECT *, CAST(s1 AS INT) + CAST(s2 AS INT) + CAST(s3 AS INT) AS n_surg FROM k)
+SELECT patient_id, 'Age' AS field, CAST(CAST(trunc(CAST(age AS DOUBLE)) AS BIGINT) AS VARCHAR) AS expected,
+       CAST(CAST(trunc(CAST(age AS DOUBLE)) AS BIGINT) + 1 AS VARCHAR) AS actual FROM r WHERE k % 13 = 0
+UNION ALL
+SELECT patient_id, 'BAV', CASE WHEN "Bicuspid_aortic_valve" = 'TRUE' THEN 'Yes' ELSE 'No/Unknown' END,
+       CASE WHEN "Bicuspid_aortic_valve" = 'TRUE' THEN 'No/Unknown' ELSE 'Yes' END FROM r WHERE k % 17 = 0
+UNION ALL
+SELECT patient_id, 'Complicating factors', CASE "Complicating_factor" WHEN '7' THEN 'Unknown(7)'
+       ELSE 'Cardiac tamponade, Malperfusion (e.g., MI, stroke, paraplegia, abdominal pain, AKI, absent/unequal pulses)' END, 'None recorded'
+FROM r WHERE k % 19 = 0 AND "Complicating_factor" <> '0'
+UNION ALL
+SELECT patient_id, 'Reoperation Indication', regexp_replace("reoperation indication", '[0-9]{7,}', '[ID]'), "reoperation indication"
+FROM r WHERE k % 23 = 0 AND "reoperation indication" IS NOT NULL AND ("underwent_reoperation" = 'true' OR n_surg >= 2)
+UNION ALL
+SELECT patient_id, 'Number of surgeries', CAST(n_surg AS VARCHAR), CAST(n_surg + 1 AS VARCHAR) FROM r WHERE k % 29 = 0"""
+
+
+@register("parser_faults", FAULTS_SQL)
+def q_parser_faults(spark, sf_dir):
+    """The check against records that a faulty parser has typed: ages a year too high (numbers divisible by 13), valve flags
+    turned (17), codes lost (19), indications left unscrubbed (23), a surgery too many (29). The raw rows show exactly these."""
+    k = F.substring("patient_id", 5, 1 << 20).cast("bigint")
+    raw = raw_cohort(spark, sf_dir)
+    unscrubbed = raw.select("patient_id", F.col("reoperation indication").alias("as_written"))
+    wrong = (typed_records(spark, sf_dir).join(unscrubbed, "patient_id")
+             .withColumn("age", F.when(k % 13 == 0, F.col("age") + 1).otherwise(F.col("age")))
+             .withColumn("bav", F.when(k % 17 == 0, 1 - F.col("bav")).otherwise(F.col("bav")))
+             .withColumn("complicating", F.when(k % 19 == 0, F.array(F.lit("None"))).otherwise(F.col("complicating")))
+             .withColumn("reop_indication", F.when(k % 23 == 0, F.coalesce("as_written", F.lit(""))).otherwise(F.col("reop_indication")))
+             .withColumn("n_surg", F.when(k % 29 == 0, F.col("n_surg") + 1).otherwise(F.col("n_surg"))))
+    return verify.mismatches(raw, cards.card(wrong, "full"))
 
 
 DRIFT_SQL = "WITH " + cohort_sql() + """,
@@ -285,7 +318,7 @@ def q_card_mismatches(spark, sf_dir):
     drifted = cards.card(rec, "full").select(
         F.when(k % 11 == 0, F.concat(F.lit("card_"), k.cast("string"))).otherwise(F.col("patient_id")).alias("patient_id"),
         F.when(k % 7 == 0, F.regexp_replace("text", "- Sex: [^\\n]*", "- Sex: drifted")).otherwise(F.col("text")).alias("text"))
-    return verify.mismatches(rec, drifted)
+    return verify.mismatches(raw_cohort(spark, sf_dir), drifted)
 
 
 PREVIEW_SQL = cards_sql_cte(("full",)) + """

@@ -53,10 +53,13 @@ Outcome:
 - Vital status: Alive at last follow-up / not recorded as deceased"""
 
 
+def _raw(spark, *rows):
+    cols = list(rows[0])
+    return spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], ", ".join(f"`{c}` string" for c in cols))
+
+
 def _records(spark, raw=RAW):
-    cols = list(raw)
-    df = spark.createDataFrame([tuple(raw[c] for c in cols)], ", ".join(f"`{c}` string" for c in cols))
-    return records.conform(df)
+    return records.conform(_raw(spark, raw))
 
 
 def test_full_card_text(spark):
@@ -82,9 +85,40 @@ def test_sections(spark):
 
 
 def test_fidelity_zero_then_detects_corruption(spark):
-    rec = _records(spark)
+    rec, raw = _records(spark), _raw(spark, RAW)
     full = cards.card(rec, "full")
-    assert verify.mismatches(rec, full).count() == 0
+    assert verify.mismatches(raw, full).count() == 0
     bad = full.withColumn("text", F.regexp_replace("text", "- Sex: M", "- Sex: F"))
-    m = verify.mismatches(rec, bad).collect()
+    m = verify.mismatches(raw, bad).collect()
     assert [(r["field"], r["expected"], r["actual"]) for r in m] == [("Sex", "M", "F")]
+
+
+ODD = [
+    {"age": "\xa045 ", "Complicating_factor": "2.0", "surg_1_age": "NA", "surg_2_type": "nan", "mortality": " YES "},
+    {"age": "45d", "Complicating_factor": "3, 3; 0 and 07", "Bicuspid_aortic_valve": "1e0", "reoperation indication": "seen 2020-01-02,\u2003id 12345678 x9999999", "underwent_reoperation": "y"},
+    {"age": "-3.7", "Complicating_factor": "none", "reoperation indication": "N/A", "underwent_reoperation": "1.0", "Sex": " "},
+    {"age": "1e2", "Complicating_factor": "-1", "surg_2_age": "x", "surg_3_TEVAR": "true", "reoperation indication": " None ", "VUS Gene": "\u2028"},
+    {"age": ".5", "Complicating_factor": "0", "surg_1_type": "\xa0", "surg_1_aortic_valve_replacement": "0", "Pathogenic Gene": " TGFBR2\t"},
+    {"age": "Infinity", "Complicating_factor": None, "Bicuspid_aortic_valve": "2", "mortality": "0x1", "Sex": None, "surg_1_age": "1"},
+]
+
+
+def test_second_derivation_agrees_with_the_parsers_on_odd_cells(spark):
+    rows = [dict.fromkeys([*RAW, "surg_2_age", "surg_2_type", "surg_3_TEVAR"]) | odd | {"patient_id": f"p{i}"} for i, odd in enumerate(ODD)]
+    raw = _raw(spark, *rows)
+    assert verify.mismatches(raw, cards.card(records.conform(raw), "full")).collect() == []
+    got = {r["patient_id"]: r.asDict() for r in verify.expected_fields(raw).collect()}
+    assert [got[f"p{i}"]["Age"] for i in range(6)] == ["45", "Unknown", "-3", "100", "0", "Unknown"]
+    assert got["p1"]["Complicating factors"] == "Malperfusion (e.g., MI, stroke, paraplegia, abdominal pain, AKI, absent/unequal pulses), Unknown(7)"
+    assert got["p1"]["Reoperation Indication"] == "seen [DATE], id [ID] x9999999" and got["p2"]["Reoperation Indication"] == "Not recorded"
+    assert got["p3"]["Number of surgeries"] == "2" and got["p3"]["Underwent reoperation"] == "Yes" and got["p5"]["Vital status"].startswith("Alive")
+
+
+def test_fidelity_on_empty_tables_missing_cards_and_clashing_columns(spark):
+    raw, full = _raw(spark, RAW, RAW | {"patient_id": "row_1"}), cards.card(_records(spark), "full")
+    assert verify.mismatches(raw.limit(0), full.limit(0)).collect() == []
+    assert [tuple(r) for r in verify.mismatches(raw, full).collect()] == [("row_1", "Row", "record", "missing card")]
+    clash = raw.withColumn("text", F.lit("x")).withColumn("Age ", F.lit("9")).withColumn("expected", F.lit("x"))
+    assert verify.mismatches(clash, full).count() == 1
+    blank = full.withColumn("text", F.lit(None).cast("string"))
+    assert {r["actual"] for r in verify.mismatches(raw.limit(1), blank).collect()} == {"Not found"}
