@@ -3,8 +3,10 @@
 Features are hashed n-grams of one to three code points of the lower-cased letters (other characters count as one
 space); term frequency is an n-gram's share of its text, inverse document frequency is counted over *all* training
 rows. The weights are trained with follow-the-regularised-leader (proximal, per coordinate, L1 and L2 penalties) on a
-sample of at most ``SAMPLE`` labelled training rows, the smallest by a hash of the text; a fifth of the sample is kept back
-to calibrate one temperature by its log-loss. Whole texts are read in training and in prediction.
+sample of at most ``SAMPLE`` distinct labelled texts. Each language has a quota of it: an equal share, and what smaller languages
+leave; of a language with more texts those of the smallest hashes are taken. If there are more languages than ``SAMPLE``, the most
+frequent take part. A fifth of the sample is kept back to calibrate one temperature by its log-loss. Whole texts are read in training
+and in prediction.
 
 Training rows have crc32(id as text) mod 5 other than 0, a label and a letter; a row without an id is no training row.
 Only the text enters a prediction.
@@ -16,6 +18,7 @@ get equal results; an empty table gives an empty result; other columns are left
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,7 +31,7 @@ from memaudit.llm.common import add_columns, fresh, quoted, utf8
 
 ORDERS, BUCKET_BITS = (1, 2, 3), 15
 BUCKETS = 1 << BUCKET_BITS
-#: Labelled rows that the weights are fitted on, at most.
+#: Distinct labelled texts that the weights are fitted on, at most.
 SAMPLE = 4000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.01
 #: Shares of n-grams are small numbers; they enter the regression times this.
@@ -155,21 +158,39 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
     return math.exp((low + high) / 2)
 
 
+def quotas(sizes: dict[str, int], sample: int) -> dict[str, int]:
+    """How many texts of each language the sample takes: equal shares, smaller languages leave theirs to the others."""
+    out, left = {}, sample
+    for i, name in enumerate(sorted(sizes, key=lambda k: (sizes[k], k))):
+        out[name] = min(sizes[name], left // (len(sizes) - i))
+        left -= out[name]
+    return out
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     rows = docs.where(trains(id_col) & quoted(lang).isNotNull() & quoted(text).isNotNull()).select(
         quoted(text).cast("string").alias("text"), quoted(lang).cast("string").alias("lang"), F.xxhash64(quoted(text).cast("string"), F.lit("sample")).alias("h"))
     counts, total = document_frequencies(rows.select("text"))
     idf = np.log((1 + total) / (1 + counts)) + 1
-    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    # distinct texts of each language, to within some per cent: they only set the share of the hashes that is fetched
+    sizes = dict(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect())
+    quota = quotas(sizes, sample)
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, 1.1 * quota[k] / sizes[k])) for k in sorted(sizes)], "lang string, share double")  # SAMPLE rows at most
 
     def features(texts: list[bytes | None]) -> list[list]:
         found = [np.unique(ngrams(t), return_counts=True) for t in texts]
         return [[own.astype(np.int32) for own, _ in found], [n.astype(np.int32) for _, n in found]]
 
     fields = [T.StructField("own", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))]
-    picked = rows.where(F.col("h") <= F.lit(last)).dropDuplicates(["h", "lang"])  # equal texts teach once
-    got = sorted(((r["h"], r["lang"], np.array(r["own"]), np.array(r["n"])) for r in add_columns(picked, "text", fields, features, ["h", "lang"]).collect() if r["own"]),
-                 key=lambda r: r[:2])
+    place = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    picked = rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).dropDuplicates(["h", "lang"])  # equal texts teach once
+    found = sorted(((r["h"] % (1 << 64), r["lang"], np.array(r["own"]), np.array(r["n"])) for r in add_columns(picked, "text", fields, features, ["h", "lang"]).collect() if r["own"]),
+                   key=lambda r: r[:2])
+    got, taken = [], Counter()
+    for r in found:
+        taken[r[1]] += 1
+        if taken[r[1]] <= quota[r[1]]:
+            got.append(r)
     languages = sorted({r[1] for r in got})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
