@@ -21,7 +21,7 @@ pass over the index, whatever the size of the test set.
 
 Defined results: A-Z are lower-cased, words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``; a null or empty text has no word and
 no match; an item without a word has no window; items with the same id count once, a null id counts as an empty
-string; equal documents get equal results; texts are indexed whole; empty tables give empty or clean results; other
+string; ids are of any atomic type; equal documents get equal results; texts are indexed whole; empty tables give empty or clean results; other
 columns are left alone.
 """
 
@@ -36,6 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from memaudit.llm.common import fresh, quoted, utf8
 from memaudit.session import materialize
@@ -63,13 +64,17 @@ class _Numbers(dict):
         return n
 
 
-_INDEX = "segment long, doc_ids array<long>, digests array<binary>, n_words array<int>, terms array<binary>, counts array<int>, gaps array<int>"
+_INDEX = "segment long, doc_ids array<{}>, digests array<binary>, n_words array<int>, terms array<binary>, counts array<int>, gaps array<int>"
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """The written index; a document is known by its id and the MD5 of its text."""
+    source = docs.select(quoted(id_col), quoted(text).cast("string"))
+    id_type = source.schema[0].dataType
+    id_kind = to_arrow_type(id_type)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())),
+        schema = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(id_kind)), ("digests", pa.list_(pa.binary())),
                             ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("gaps", pa.list_(pa.int32()))])
         part, made = TaskContext.get().partitionId(), 0
         numbers, tokens, ids, digests, sizes = _Numbers(), [], [], [], []
@@ -82,7 +87,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", seg
             starts = np.cumsum(counts) - counts
             gaps[starts] = position[starts]  # each list begins with a position
             one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), one(ids, pa.int64()), one(digests, pa.binary()), one(sizes, pa.int32()),
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), one(ids, id_kind), one(digests, pa.binary()), one(sizes, pa.int32()),
                                                one(list(numbers), pa.binary()), one(counts, pa.int32()), one(gaps, pa.int32())], schema=schema)
 
         for batch in batches:
@@ -99,7 +104,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", seg
         if ids:
             yield segment()
 
-    return materialize(docs.select(quoted(id_col).cast("long"), quoted(text).cast("string")).mapInArrow(run, _INDEX), "postings")
+    return materialize(source.mapInArrow(run, _INDEX.format(id_type.simpleString())), "postings")
 
 
 def window_blocks(items: DataFrame, id_col: str, text: str, window: int, block: int) -> Iterator[dict[tuple[bytes, ...], set[str]]]:

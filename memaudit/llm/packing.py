@@ -12,7 +12,7 @@ as a piece of its own), ``cu_seqlens`` (cumulative piece lengths from 0 on), and
 piece's first token in the document.
 
 Defined results: a null or empty text is a document of the end token alone; every document, repeated or not, is
-packed once per row of the input; ids may be null; ties in length keep the input's order; an empty table gives an
+packed once per row of the input; ids may be null and of any atomic type; ties in length keep the input's order; an empty table gives an
 empty result. The vocabulary file is read by path on the executors.
 """
 
@@ -28,6 +28,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from memaudit.llm.common import quoted
 
@@ -37,8 +38,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 ROW_LENGTH = 4096
 #: Tokens that are packed together.
 SHARD_TOKENS = 4_000_000
-#: Words whose ids a worker keeps.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps, and the most characters of such a word (longer ones are coded each time).
+CACHED_WORDS, CACHED_LENGTH = 400_000, 64
 
 _TWO_SPACES = re.compile(r"\s\s")
 
@@ -58,6 +59,8 @@ class WordTokenizer(dict):
         return np.array(self.encoding.encode_ordinary(text), self.kind).tobytes()
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > CACHED_LENGTH:
+            return self.plain(" " + word)
         if len(self) >= CACHED_WORDS:
             self.clear()
         ids = self[word] = self.plain(" " + word)
@@ -127,14 +130,18 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-_SCHEMA = "shard long, row int, n_tokens int, doc_ids array<long>, piece_starts array<int>, cu_seqlens array<int>, ids binary, positions binary"
+_SCHEMA = "shard long, row int, n_tokens int, doc_ids array<{}>, piece_starts array<int>, cu_seqlens array<int>, ids binary, positions binary"
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, length: int = ROW_LENGTH, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    source = docs.select(quoted(id_col), quoted(text).cast("string"))
+    id_type = source.schema[0].dataType
+    id_kind = to_arrow_type(id_type)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, made = tokenizer(vocabulary), TaskContext.get().partitionId(), 0
         pieces, owners, starts, held = [], [], [], 0
-        schema = pa.schema([("shard", pa.int64()), ("row", pa.int32()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("piece_starts", pa.list_(pa.int32())),
+        schema = pa.schema([("shard", pa.int64()), ("row", pa.int32()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(id_kind)), ("piece_starts", pa.list_(pa.int32())),
                             ("cu_seqlens", pa.list_(pa.int32())), ("ids", pa.binary()), ("positions", pa.binary())])
 
         def shard() -> Iterator[pa.RecordBatch]:
@@ -165,7 +172,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary
         if pieces:
             yield from shard()
 
-    return docs.select(quoted(id_col).cast("long"), quoted(text).cast("string")).mapInArrow(run, _SCHEMA)
+    return source.mapInArrow(run, _SCHEMA.format(id_type.simpleString()))
 
 
 def matrix(rows: list, length: int, field: str = "ids", vocabulary: str = VOCABULARY) -> np.ndarray:

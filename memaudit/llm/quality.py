@@ -41,7 +41,8 @@ FLOOR = {"fertility": 0.02, "bytes": 0.003, "entropy": 0.1}
 #: Least deviations of the band of all texts where there are next to none; they shrink to nothing at ``LEAST_GROUP`` texts.
 FEW = {"fertility": 0.5, "bytes": 0.02, "entropy": 0.5}
 SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
-CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps, and the most bytes of such a word (longer ones are coded each time).
+CACHED_WORDS, CACHED_LENGTH = 400_000, 64
 #: Scripts by the lead byte of their letters in UTF-8 (fixed values); ASCII letters are Latin.
 SCRIPTS = {"Latin": (0xC3, 0xCA), "Greek": (0xCD, 0xCF), "Cyrillic": (0xD0, 0xD4), "Hebrew": (0xD6, 0xD7), "Arabic": (0xD8, 0xDD), "Indic": (0xE0, 0xE1), "Kana": (0xE3, 0xE3),
            "Han": (0xE4, 0xE9), "Hangul": (0xEA, 0xED)}
@@ -58,9 +59,11 @@ class WordPieces(dict):
         self.is_byte[self.byte_ids] = True
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        ids = self[word] = np.array(self.model.encode(word.decode()), np.int32).tobytes()
+        ids = np.array(self.model.encode(word.decode()), np.int32).tobytes()
+        if len(word) <= CACHED_LENGTH:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
 

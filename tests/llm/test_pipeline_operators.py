@@ -267,6 +267,31 @@ def test_language_id_of_odd_rows(spark):
     assert {tuple(r) for r in langid.identify(df.select("text"), empty).select("lang_pred", "score").collect()} == {("und", 0.0)}
 
 
+def test_language_sample_gives_rare_languages_their_share(spark):
+    assert langid.quotas({"en": 1000, "de": 3, "fr": 50}, 40) == {"de": 3, "fr": 18, "en": 19}
+    assert langid.quotas({}, 40) == {} and langid.quotas({"a": 2, "b": 2}, 40) == {"a": 2, "b": 2}
+    copies = [(i, "the same cat sat on the same mat", "en") for i in range(3000)] + [(4000 + i, f"the cat number {i} went home with the dog", "en") for i in range(900)]
+    rare = [(9000 + i, f"der hund {i} und die katze gehen heim", "de") for i in range(30)]
+    model = langid.train(H.docs(spark, copies + rare), sample=60)
+    assert model.languages == ["de", "en"] and model.predict(b"die katze und der hund")[0] == "de" and model.predict(b"the dog went home")[0] == "en"
+
+
+def test_ids_of_any_type(spark):
+    rows = [(f"doc-{i}", t) for i, (_, t) in enumerate(ODD)] + [(None, "one two three four five")]
+    df = H.docs(spark, rows, "doc_id string, text string")
+    packed = packing.pack(df, length=64).collect()
+    assert {d for r in packed for d in r["doc_ids"]} == {d for d, _ in rows}
+    items = H.docs(spark, [("q", "two three four")], "item_id string, text string")
+    got = {r["doc_id"]: r["n_hit"] for r in decontam.contamination(df, items).collect()}
+    assert set(got) == {d for d, _ in rows} and got[None] == 3
+
+
+def test_coders_do_not_keep_very_long_words():
+    coder = packing.WordTokenizer(packing.VOCABULARY)
+    long = "x" * 5000
+    assert coder.encode(f"a {long} b".encode()).tolist() == coder.encoding.encode_ordinary(f"a {long} b") and set(coder) == {"b"}
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------
 
 def test_pipeline_stages_equal_plain_versions(spark):
