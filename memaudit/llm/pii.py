@@ -1,11 +1,14 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Candidates are spans of regular expressions: the four base kinds (email, ip, card, phone) and further kinds (phones without a
-country code, social-security-like numbers, account numbers, credentials). Labelers vote on each: its *format* check, a
-*gazetteer* (top-level domains, first octets, issuer prefixes, country codes, credential names), *context* words before it, its
-*borders*, and whether its digits *vary*. Expectation-maximisation estimates, from the counts of vote patterns over all
+country code, social-security-like numbers, account numbers, credentials), and spans that a gazetteer proposes (a given name
+or a title before a capitalised word, street words with a number) or that only context can decide (dates, which are personal if someone
+was born on them). Labelers vote on each, or abstain where they know nothing: its *format* check, a *gazetteer* (top-level
+domains, first octets, issuer prefixes, country codes, credential names, given names, years of life), *context* words around it,
+its *borders*, and whether its digits or characters *vary*. They disagree on the spans that matter ("order 555-123-4567", "the John
+Smith Foundation"). Expectation-maximisation estimates, from the counts of vote patterns over all
 documents, how reliable each labeler is and how likely each kind is personal data; the posteriors train the final
-classifier, a logistic regression on kind and votes. Counts, EM and training work on the table of vote patterns,
+classifier, a logistic regression on the votes of each kind. Counts, EM and training work on the table of vote patterns,
 which is bounded by kinds times 3^labelers whatever the corpus; spans are found and scored by column expressions.
 
 Base spans (leftmost, non-overlapping per kind, failing ones dropped without a retry) always stay. The method adds
@@ -29,7 +32,7 @@ from memaudit.llm.common import quoted
 from memaudit.session import materialize
 
 BASE = ["email", "ip", "card", "phone"]
-KINDS = [*BASE, "secret", "national_id", "account", "local_phone"]
+KINDS = [*BASE, "secret", "national_id", "account", "local_phone", "birth_date", "name", "address"]
 
 
 def _run(chars: str) -> str:
@@ -38,6 +41,13 @@ def _run(chars: str) -> str:
 
 
 _LOCAL = "A-Za-z0-9._%+-"
+#: Gazetteers that propose spans.
+GIVEN_NAMES = ("James|John|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Daniel|Matthew|Peter|Paul|George|Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Sarah|"
+               "Karen|Emma|Anna|Laura|Julia|Alice|Jane|Hans|Klaus|Jürgen|Wolfgang|Stefan|Andreas|Sabine|Monika|Ursula|Petra|Heike|Jean|Pierre|Jacques|Michel|Philippe|Marie|Nathalie|"
+               "Isabelle|Sophie|Claire|Juan|José|Carlos|Luis|Miguel|Antonio|Pablo|María|Carmen|Lucía|Elena|Ana|Marco|Giulia")
+TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señora?|Sra?"
+STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Drive|Boulevard|Blvd|Court|Square|Way"
+_CAPITAL, _ALONE = r"\p{Lu}\p{Ll}++", r"(?![\p{L}\p{N}])"
 PATTERNS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
     "email": _run(_LOCAL) + rf"[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -51,24 +61,50 @@ PATTERNS = {
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9+)(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "birth_date": r"(?<![0-9./-])(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9/-])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{TITLES})\.? (?:{_CAPITAL} )?|(?:{GIVEN_NAMES}) )(?:\p{{Lu}}\. )?{_CAPITAL}(?:-{_CAPITAL})?{_ALONE}",
+    "address": rf"(?<![\p{{L}}\p{{N}}])(?=[0-9\p{{Lu}}])(?:[0-9]{{1,5}}[A-Za-z]? (?:{_CAPITAL} ){{1,3}}(?:{STREETS})|[0-9]{{1,4}},? (?:rue|avenue|boulevard|place) (?:de |du |des |la |le )*{_CAPITAL}"
+               rf"|\p{{Lu}}\p{{Ll}}*(?:straße|strasse|weg|gasse|platz|allee) [0-9]{{1,4}}[a-z]?|(?:Calle|Avenida|Plaza) (?:de |del |la |las |los )*{_CAPITAL},? [0-9]{{1,4}}){_ALONE}",
 }
 #: What a text must hold for the pattern to be tried at all.
-NEEDS = {"email": "contains(t, '@')", "phone": "contains(t, '+')", "secret": "contains(t, '=') OR contains(t, ':') OR contains(t, 'AKIA') OR contains(t, 'gh')"}
+NEEDS = {"email": "contains(t, '@')", "phone": "contains(t, '+')", "secret": "contains(t, '=') OR contains(t, ':') OR contains(t, 'AKIA') OR contains(t, 'gh')",
+         "name": "t RLIKE '[A-Z]'"}
 #: Fixed values of the gazetteers and context labelers.
 GAZETTEER = {
     "email": r"(?i)\.(com|org|net|edu|gov|info|io|eu|us|uk|de|fr|es|it|nl|ch|at)$",
     "ip": r"^(?!0|127\.|22[4-9]|2[3-5][0-9])[0-9]",
     "card": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38)",
     "phone": r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
-    "secret": r"(?i)^(AKIA|gh[pousr]_|password|passwd|pwd|secret|token|api)",
+    "secret": r"(?i)^(AKIA|gh[pousr]_|password|passwd|pwd|secret|api)",
     "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
     "account": r"^(DE|FR|ES|GB|IT|NL|BE|CH|AT|PT|IE|PL|LU)",
     "local_phone": r"^\(?[2-9]",
+    "birth_date": r"^(19[0-9]{2}|20[01][0-9])-|[./-](19[0-9]{2}|20[01][0-9])$",
+    "name": rf"(^| )({GIVEN_NAMES}) ",
+    "address": r"[0-9]",
 }
-CONTEXT_YES = r"(?i)(mail|contact|write to|call|phone|tel|fax|mobile|card|visa|credit|pay|host|server|address|login|user|key|iban|account|ssn|social|kontakt|telefon|karte|carte|tarjeta|correo)[^\n]{0,12}$"
-CONTEXT_NO = r"(?i)(version|ver\.|v|isbn|issn|order|invoice|page|line|build|release|rfc|no\.|#)\s*$"
+#: Words before a span that speak for its kind.
+_CALL = "call|phone|tel|fax|mobile|cell|telefon|contact|ring|móvil|portable"
+CONTEXT_YES = {"email": "mail|contact|write to|correo|kontakt|courriel", "ip": "host|server|address|login|ip", "card": "card|visa|credit|pay|karte|carte|tarjeta",
+               "phone": _CALL, "local_phone": _CALL, "secret": "login|user|key|credential|access|aws", "national_id": "ssn|social|security|taxpayer",
+               "account": "iban|account|konto|compte|cuenta|bank"}
+CONTEXT_NO = r"(?i)(?<![a-z])(version|ver\.?|v|isbn|issn|order|invoice|page|line|build|release|rfc|no\.|part|serial|ticket|tracking|batch|item|sku|ref\.?|#)[\s:]*$"
+BORN = r"(?i)(?<![\p{L}])(born|birth|birthday|birthdate|dob|geboren|geb\.|geburtsdatum|naissance|née?|nacid[oa]|nacimiento)(?![\p{L}])[^\n]{0,12}$"
+NAMED = r"(?i)(?<![\p{L}])(name is|name|named|signed|contact|dear|patient|sincerely|by|from|name ist|heiße|appelle|llamo)[\s:,]{1,3}$"
+NOT_NAMED = r"(?i)(?<![\p{L}])(the|saint|st\.|university|airport|museum)\s$"
+NOT_A_NAME = r"^ (Street|University|Inc|Foundation|Prize|Airport|Hospital|School|Ltd|GmbH|Corporation|Award|Avenue|Library|Museum|Stadium)"
+LIVES = r"(?i)(?<![\p{L}])(live[sd]? (at|in)|address|residing (at|in)|resides (at|in)|home|ship to|wohnt in|wohnhaft in|habite|vive en)[^\n]{0,12}$"
+NOT_LIVED = r"(?i)(?<![\p{L}])(chapter|page|figure|table|exit)\s$"
+#: A word before the weak credential name that makes it prose.
+PROSE = r"(?i)(?<![\p{L}])(the|a|an|each|every|next|first|last)\s$"
 LABELERS = ["format", "gazetteer", "context", "borders", "variety"]
+#: Rates of yes-votes on false and on true candidates that the estimation starts from.
+#: The candidates that each start counts as much as, and the part of a kind's candidates on which a labeler may vote otherwise, or abstain, and still says the same of all.
+FIRM, DISSENT = 10, 0.01
+TRUST = {"format": (0.2, 0.85), "gazetteer": (0.4, 0.7), "context": (0.05, 0.95), "borders": (0.3, 0.8), "variety": (0.45, 0.6)}
 
+#: Matches of a text that are gone through in one run.
+RUN = 256
 _FOUND = "array<struct<kind:string,s:int,e:int,t:string,before:string,after:string>>"
 
 
@@ -77,11 +113,14 @@ def _spans(kind: str) -> tuple[str, str, str]:
     pattern = PATTERNS[kind].replace("\\", "\\\\").replace("'", "\\'")
     need = NEEDS.get(kind, "t RLIKE '[0-9]'")
     matches = f"CASE WHEN {need} THEN regexp_extract_all(t, '{pattern}', 0) END AS m_{kind}"
-    gaps = f"CASE WHEN size(m_{kind}) > 0 THEN transform(split(t, '{pattern}', -1), g -> named_struct('n', length(g), 'head', left(g, 1), 'tail', right(g, 32))) END AS g_{kind}"
+    gaps = f"CASE WHEN size(m_{kind}) > 0 THEN transform(split(t, '{pattern}', -1), g -> named_struct('n', length(g), 'head', left(g, 16), 'tail', right(g, 32))) END AS g_{kind}"
     m, g = f"m_{kind}", f"g_{kind}"
-    spans = f"""CASE WHEN size({m}) > 0 THEN aggregate(sequence(0, size({m}) - 1), named_struct('p', 0, 'out', cast(array() AS {_FOUND})),
-        (a, i) -> named_struct('p', a.p + {g}[i].n + length({m}[i]), 'out', concat(a.out, array(named_struct('kind', '{kind}', 's', a.p + {g}[i].n, 'e', a.p + {g}[i].n + length({m}[i]),
-            't', {m}[i], 'before', {g}[i].tail, 'after', {g}[i + 1].head)))), a -> a.out) ELSE cast(array() AS {_FOUND}) END"""
+    span = f"""named_struct('kind', '{kind}', 's', b.p + {g}[i].n, 'e', b.p + {g}[i].n + length({m}[i]), 't', {m}[i], 'before', {g}[i].tail, 'after', {g}[i + 1].head)"""
+    # an array grows by copying, so the matches of a text are gone through in runs, and the runs joined at the end
+    run = f"""aggregate(sequence(c * {RUN}, least(size({m}), (c + 1) * {RUN}) - 1), named_struct('p', a.p, 'out', cast(array() AS {_FOUND})),
+        (b, i) -> named_struct('p', b.p + {g}[i].n + length({m}[i]), 'out', concat(b.out, array({span}))))"""
+    spans = f"""CASE WHEN size({m}) > 0 THEN aggregate(sequence(0, (size({m}) - 1) DIV {RUN}), named_struct('p', 0, 'runs', cast(array() AS array<{_FOUND}>)),
+        (a, n) -> transform(array(cast(n AS int)), c -> transform(array({run}), r -> named_struct('p', r.p, 'runs', concat(a.runs, array(r.out))))[0])[0], a -> flatten(a.runs)) ELSE cast(array() AS {_FOUND}) END"""
     return matches, gaps, spans
 
 
@@ -101,18 +140,35 @@ def _valid(kind: str) -> str:
     if kind == "account":
         return "length(regexp_replace(x.t, ' ', '')) BETWEEN 15 AND 34"
     if kind == "secret":
-        return "x.t RLIKE '[0-9]' AND x.t RLIKE '[A-Za-z]'"
-    return "true"
+        return "if(x.t RLIKE '[0-9]' AND x.t RLIKE '[A-Za-z]', true, NULL)"
+    if kind == "birth_date":
+        day, month = "(0?[1-9]|[12][0-9]|3[01])", "(0?[1-9]|1[0-2])"
+        return f"if(x.t RLIKE '^({day}[./-]{month}|{month}[./-]{day}|[0-9]{{4}}-{month}-{day})($|[./-])', NULL, false)"
+    if kind == "name":
+        return f"if(x.t RLIKE '^({TITLES})[. ]', true, NULL)"
+    return "true" if kind == "email" else "cast(NULL AS boolean)"  # the pattern is all there is to check
 
 
 def _votes() -> str:
     """SQL for the votes on ``x``, in the labelers' order: 1, 0, or null for no vote."""
     case = lambda parts: "CASE x.kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in parts.items()) + " END"
-    sql = lambda p: p.replace("\\", "\\\\").replace("'", "\\'")
-    return f"""array(int({case({k: _valid(k) for k in KINDS})}), int({case({k: f"x.t RLIKE '{sql(p)}'" for k, p in GAZETTEER.items()})}),
-        CASE WHEN x.before RLIKE '{sql(CONTEXT_NO)}' THEN 0 WHEN x.before RLIKE '{sql(CONTEXT_YES)}' THEN 1 END,
-        int(NOT (x.before RLIKE '[A-Za-z0-9_]$' OR x.after RLIKE '^[A-Za-z0-9_]')),
-        CASE WHEN length({_DIGITS}) < 6 THEN NULL ELSE int(size(array_distinct(split({_DIGITS}, ''))) > 3) END)"""
+    like = lambda what, p: f"x.{what} RLIKE '" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    by_kind = {
+        "birth_date": f"int({like('before', BORN)})",  # most dates are nobody's birthday, so no word is a vote too
+        "name": f"CASE WHEN {like('before', NOT_NAMED)} OR {like('after', NOT_A_NAME)} THEN 0 WHEN {like('before', NAMED)} THEN 1 END",
+        "address": f"CASE WHEN {like('before', NOT_LIVED)} THEN 0 WHEN {like('before', LIVES)} THEN 1 END",
+    }
+    for kind, words in CONTEXT_YES.items():  # "phone no." names a phone, "order no." does not
+        named, near = rf"(?i)({words})[ .]*(no\.?|number|nr\.?|#)?[\s:]*$", rf"(?i)({words})[^\n]{{0,12}}$"
+        by_kind[kind] = f"CASE WHEN {like('before', named)} THEN 1 WHEN {like('before', CONTEXT_NO)} THEN 0 WHEN {like('before', near)} THEN 1 END"
+    weak = f"WHEN x.kind = 'secret' AND {like('t', '(?i)^token')} AND {like('before', PROSE)} THEN 0"
+    context = "CASE " + weak + "".join(f" WHEN x.kind = '{k}' THEN {v}" for k, v in by_kind.items()) + " END"
+    bounded = ", ".join(f"'{k}'" for k in KINDS if k not in (*BASE, "secret"))  # their patterns look at the borders themselves
+    value = "regexp_replace(x.t, '^[A-Za-z_]+ ?[=:] ?', '')"
+    return f"""array(int({case({k: _valid(k) for k in KINDS})}), int({case({k: f"if({like('t', p)}, true, NULL)" if k == "secret" else like('t', p) for k, p in GAZETTEER.items()})}), {context},
+        CASE WHEN x.kind NOT IN ({bounded}) THEN int(NOT (x.before RLIKE '[A-Za-z0-9_]$' OR x.after RLIKE '^[A-Za-z0-9_]')) END,
+        CASE WHEN x.kind = 'secret' THEN int(length({value}) >= 20 OR size(array_distinct(split({value}, ''))) >= 8) WHEN x.kind IN ('birth_date', 'name', 'address') OR length({_DIGITS}) < 6 THEN NULL
+             ELSE int(size(array_distinct(split({_DIGITS}, ''))) > 3) END)"""
 
 
 def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -132,56 +188,61 @@ def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
 def fit_reliabilities(patterns: dict[tuple, float], rounds: int = 50) -> dict[tuple, float]:
     """The probability of each (kind, votes) pattern to be personal data, by expectation-maximisation.
 
-    A labeler has one rate of yes-votes on true and one on false candidates; a kind has a share of true ones. Rates
-    start from trusting the labelers and carry pseudo-counts, so a labeler that never votes keeps its start."""
-    kinds = {k for k, _ in patterns}
-    share = {k: 0.7 if k in BASE else 0.5 for k in kinds}
-    yes = {j: [0.2, 0.8] for j in range(len(LABELERS))}
-    posterior: dict[tuple, float] = {}
-    for _ in range(rounds):
-        for kind, votes in patterns:
-            odds = math.log(share[kind] / (1 - share[kind]))
-            for j, v in enumerate(votes):
-                if v is not None:
-                    odds += math.log(yes[j][1] / yes[j][0]) if v else math.log((1 - yes[j][1]) / (1 - yes[j][0]))
-            posterior[kind, votes] = 1 / (1 + math.exp(-max(-40.0, min(40.0, odds))))
-        for k in kinds:
-            n = sum(c for (kind, _), c in patterns.items() if kind == k)
-            share[k] = (sum(c * posterior[p] for p, c in patterns.items() if p[0] == k) + 1) / (n + 2)
-        for j in yes:
-            voted = [(p, c) for p, c in patterns.items() if p[1][j] is not None]
-            for y in (0, 1):
-                mass = [(c * (posterior[p] if y else 1 - posterior[p]), p[1][j]) for p, c in voted]
-                prior = 0.8 if y else 0.2
-                yes[j][y] = min(0.999, max(0.001, (sum(m for m, v in mass if v) + 10 * prior) / (sum(m for m, _ in mass) + 10)))
-            yes[j][1] = max(yes[j][1], yes[j][0])  # a yes never speaks against
-    return posterior
-
-
-def _features(kind: str, votes: tuple) -> list[float]:
-    return [1.0, *[float(kind == k) for k in KINDS], *[0.0 if v is None else 2.0 * v - 1 for v in votes]]
-
-
-def train_classifier(patterns: dict[tuple, float], posterior: dict[tuple, float], steps: int = 400) -> list[float]:
-    """Logistic-regression weights (bias, kinds, votes) on the posteriors, by gradient descent with a small L2 penalty."""
-    total = sum(patterns.values()) or 1.0
-    rows = [(_features(*p), posterior[p], math.sqrt(c) / math.sqrt(total)) for p, c in patterns.items()]
-    scale = sum(w for *_, w in rows) or 1.0
-    weights = [0.0] * (1 + len(KINDS) + len(LABELERS))
-    for _ in range(steps):
-        step = [0.001 * w for w in weights]
-        for x, y, c in rows:
-            error = 1 / (1 + math.exp(-sum(a * b for a, b in zip(weights, x)))) - y
-            for i, v in enumerate(x):
-                step[i] += c / scale * error * v
-        weights = [w - 1.0 * s for w, s in zip(weights, step)]
-    return weights
-
-
-def _score(weights: list[float]) -> str:
+    A labeler has, on each kind, one rate of yes-votes on true and one on false candidates; a kind has a share of true ones.
+    Rates start from ``TRUST`` and carry pseudo-counts, so a labeler that seldom votes stays near its start. They are kept
+    apart by kind, as the many plain numbers that look a little like cards say nothing about who reads names well."""
+    out: dict[tuple, float] = {}
+    for kind in sorted({k for k, _ in patterns}):
+        own = {votes: c for (k, votes), c in patterns.items() if k == kind}
+        yes, n = [list(TRUST[name]) for name in LABELERS], sum(own.values())
+        weight = lambda j, v: math.log(yes[j][1] / yes[j][0]) if v else math.log((1 - yes[j][1]) / (1 - yes[j][0]))
+        said = [[sum(c for v, c in own.items() if v[j] == x) for x in (0, 1)] for j in range(len(LABELERS))]
+        agreed = [max(x) >= (1 - DISSENT) * n for x in said]
+        # what a labeler says of all candidates alike can only tell how many of them are true
+        start = 1 / (1 + math.exp(-sum(weight(j, v) * m / n for j, x in enumerate(said) if agreed[j] for v, m in enumerate(x))))
+        share, posterior = start, {}
+        for _ in range(rounds):
+            for votes in own:
+                odds = math.log(share / (1 - share)) + sum(weight(j, v) for j, v in enumerate(votes) if v is not None and not agreed[j])
+                posterior[votes] = 1 / (1 + math.exp(-max(-40.0, min(40.0, odds))))
+            share = (sum(c * posterior[v] for v, c in own.items()) + FIRM * start) / (n + FIRM)
+            for j, rates in enumerate(yes):
+                if agreed[j]:
+                    continue
+                for y in (0, 1):
+                    mass = [(c * (posterior[v] if y else 1 - posterior[v]), v[j]) for v, c in own.items() if v[j] is not None]
+                    rates[y] = min(0.999, max(0.001, (sum(m for m, v in mass if v) + FIRM * TRUST[LABELERS[j]][y]) / (sum(m for m, _ in mass) + FIRM)))
+                rates[1] = max(rates)  # a yes never speaks against
+        out.update({(kind, votes): p for votes, p in posterior.items()})
+    return out
+
+
+def _features(votes: tuple) -> list[float]:
+    return [1.0, *[0.0 if v is None else 2.0 * v - 1 for v in votes]]
+
+
+def train_classifier(patterns: dict[tuple, float], posterior: dict[tuple, float], steps: int = 400) -> dict[str, list[float]]:
+    """Logistic-regression weights (bias, votes) of each kind on the posteriors, by gradient descent with a small L2 penalty."""
+    out = {}
+    for kind in sorted({k for k, _ in patterns}):
+        rows = [(_features(v), posterior[k, v], math.sqrt(c)) for (k, v), c in patterns.items() if k == kind]
+        scale = sum(w for *_, w in rows)
+        weights = [0.0] * (1 + len(LABELERS))
+        for _ in range(steps):
+            step = [0.001 * w for w in weights]
+            for x, y, c in rows:
+                error = 1 / (1 + math.exp(-sum(a * b for a, b in zip(weights, x)))) - y
+                for i, v in enumerate(x):
+                    step[i] += c / scale * error * v
+            weights = [w - s for w, s in zip(weights, step)]
+        out[kind] = weights
+    return out
+
+
+def _score(weights: dict[str, list[float]]) -> str:
     """SQL for the log-odds of the span ``x``."""
-    terms = [repr(weights[0])] + [f"if(x.kind = '{k}', {w!r}D, 0D)" for k, w in zip(KINDS, weights[1:])]
-    return " + ".join(terms + [f"coalesce(2 * x.votes[{j}] - 1, 0) * {w!r}D" for j, w in enumerate(weights[1 + len(KINDS):])])
+    sums = {k: " + ".join([f"{w[0]!r}D"] + [f"coalesce(2 * x.votes[{j}] - 1, 0) * {v!r}D" for j, v in enumerate(w[1:])]) for k, w in weights.items()}
+    return "CASE x.kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in sums.items()) + " ELSE -1D END" if sums else "-1D"
 
 
 def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:

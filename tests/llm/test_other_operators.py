@@ -1,8 +1,10 @@
 import hashlib
 import json
 import random
+import math
 import re
 import time
+from collections import Counter
 
 import duckdb
 import pytest
@@ -200,6 +202,36 @@ def test_added_spans_and_redaction(spark):
     assert rows[103] == "his [secret] and [secret] here" and rows[999] is None
 
 
+AMBIGUOUS = {
+    "order 555-123-4567 has left": "order 555-123-4567 has left", "call 555-123-4567 now": "call [local_phone] now",
+    "invoice no. 123-45-6789": "invoice no. 123-45-6789", "his ssn 123-45-6789": "his ssn [national_id]", "phone no. 555-123-4567": "phone no. [local_phone]",
+    "part AB12 3456 7890 1234 55": "part AB12 3456 7890 1234 55", "iban DE89 3704 0044 0532 0130 00": "iban [account]",
+    "the token = abcdef1": "the token = abcdef1", "token = a8Xk29fQz7": "[secret]", "password: hunterhunter": "[secret]",
+    "born 12/03/1980, John Smith, 12 Main Street": "born [birth_date], [name], [address]", "we met on 12/03/1980": "we met on 12/03/1980",
+    "the John Smith Foundation gave": "the John Smith Foundation gave", "signed: Dr. María López-García": "signed: [name]",
+    "sie wohnt in Hauptstraße 12": "sie wohnt in [address]", "geboren am 1.2.1970 in": "geboren am [birth_date] in",
+}
+
+
+def test_ambiguous_spans_are_decided_both_ways(spark):
+    filler = [(i, f"write to user{i}@mail.com or call +1 (555) 123-45{i:02d} from 12.34.56.{i}, page {i}, order 4{i}-100-2000") for i in range(60)]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(H.docs(spark, filler + [(100 + i, t) for i, t in enumerate(AMBIGUOUS)])).collect()}
+    assert {t: got[100 + i] for i, t in enumerate(AMBIGUOUS)} == AMBIGUOUS
+
+
+def test_estimation_beats_every_labeler_and_the_majority():
+    rng = random.Random(5)
+    rates = [(0.45, 0.65), (0.1, 0.85), (0.2, 0.9), (0.5, 0.55), (0.3, 0.75)]  # yes-votes on false and on true spans
+    drawn = [(truth := rng.random() < 0.4, tuple(None if rng.random() < 0.2 else int(rng.random() < r[truth]) for r in rates)) for _ in range(20000)]
+    posterior = pii.fit_reliabilities({("local_phone", v): float(n) for v, n in Counter(v for _, v in drawn).items()})
+    right = sum((posterior["local_phone", v] >= 0.5) == truth for truth, v in drawn)
+    majority = sum((sum(x for x in v if x is not None) * 2 > sum(x is not None for x in v)) == truth for truth, v in drawn)
+    alone = [sum((v[j] == 1) == truth for truth, v in drawn) for j in range(5)]
+    odds = lambda v: math.log(0.4 / 0.6) + sum(math.log((r[1] if x else 1 - r[1]) / (r[0] if x else 1 - r[0])) for x, r in zip(v, rates) if x is not None)
+    best = sum((odds(v) >= 0) == truth for truth, v in drawn)  # with the true rates
+    assert right > majority and right > max(alone) and right > 0.98 * best
+
+
 def test_long_credentials_are_whole_spans(spark):
     filler = [(i, f"his password=a1b2c3d4e5f{i} and AKIAABCDEFGHIJ2345{i:02d} here") for i in range(60)]
     value, longer = "aB3" * 334, "b1" + "xY-_." * 30000
