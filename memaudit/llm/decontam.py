@@ -46,6 +46,9 @@ WINDOW = 10
 SLOP = 2
 #: Words of a segment; a longer document is a segment of its own.
 SEGMENT_WORDS = 400_000
+#: A segment is a row of megabytes. Parquet looks at a row group's size after a hundred rows unless told otherwise, and both its
+#: writer and its reader hold a whole row group: with these, that is a few segments, however many a task has.
+SMALL_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1"}
 #: Distinct windows of the test items that are looked up in one pass.
 BLOCK_WINDOWS = 200_000
 #: Word bytes are kept, A-Z lower-cased; all other bytes become spaces. Bytes over 0x7F are parts of word characters.
@@ -104,7 +107,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", seg
         if ids:
             yield segment()
 
-    return materialize(source.mapInArrow(run, _INDEX.format(id_type.simpleString())), "postings")
+    return materialize(source.mapInArrow(run, _INDEX.format(id_type.simpleString())), "postings", SMALL_GROUPS)
 
 
 def window_blocks(items: DataFrame, id_col: str, text: str, window: int, block: int) -> Iterator[dict[tuple[bytes, ...], set[str]]]:

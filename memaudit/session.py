@@ -62,15 +62,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as parquet under the checkpoint folder and reading it back.
 
-    A written table survives executor loss (unlike cached or locally checkpointed blocks).
+    A written table survives executor loss (unlike cached or locally checkpointed blocks). ``options`` go to the writer.
     """
     spark = df.sparkSession
     base = checkpoint_dir(spark)
     path = os.path.join(base, f"{name or 'stage'}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)  # a known schema needs no job to read the files' footers
 
 
