@@ -15,7 +15,7 @@ sides of every scoring join derive from it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memaudit.operators import cards as cards_op
@@ -55,10 +55,13 @@ def stage(spark: SparkSession, sf_dir: str, modes: tuple = cards_op.MODES) -> tu
     return cards_df, sp
 
 
+def _number(patient_id: str) -> Column:
+    return F.substring(patient_id, 5, 1 << 20).cast("bigint")
+
+
 def _requests(cards_df: DataFrame, repeat: int) -> DataFrame:
     """(model, patient_id, gen_idx, _src, mmode): whose card, in which mode, each generation is; bounded literal fan-out."""
-    keys = cards_df.filter(F.col("mode") == "full").select(
-        "patient_id", F.substring("patient_id", 5, 1 << 20).cast("bigint").alias("_k"))
+    keys = cards_df.filter(F.col("mode") == "full").select("patient_id", _number("patient_id").alias("_k"))
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(md).alias("mmode"), F.lit(off).alias("off"))
                        for m, md, off in MODELS])
     return (keys.select("patient_id", "_k", F.explode(models).alias("m"))
@@ -68,20 +71,29 @@ def _requests(cards_df: DataFrame, repeat: int) -> DataFrame:
 
 
 def generations(cards_df: DataFrame, repeat: int = 1) -> DataFrame:
-    """Long-form predictions (model, patient_id, gen_idx, gen); each neighbour's card comes ``repeat`` times in a row."""
+    """Long-form predictions (model, patient_id, gen_idx, gen); each neighbour's card comes ``repeat`` times in a row.
+
+    Every text is there thirty times: for those that need each generation's text beside it. The others take
+    ``addressed_generations``."""
     src = cards_df.select(F.col("patient_id").alias("_src"), F.col("mode").alias("mmode"), F.col("text").alias("gen"))
-    # the join fans each card out to ~N_GEN*3 rows: rebalance so AQE sizes the
-    # (text-heavy) output partitions by their real size, not the small join inputs
-    return _requests(cards_df, repeat).join(src, ["_src", "mmode"]).select("model", "patient_id", "gen_idx", "gen").hint("rebalance")
+    return _requests(cards_df, repeat).join(src, ["_src", "mmode"]).select("model", "patient_id", "gen_idx", "gen")
 
 
 def addressed_generations(cards_df: DataFrame, repeat: int = 1) -> tuple[DataFrame, DataFrame]:
     """The same predictions content-addressed: (model, patient_id, gen_idx, digest), and the distinct texts (digest, text).
 
-    Only addresses fan out; a text that thirty generations repeat is in the second table once."""
+    Only addresses fan out; a text that thirty generations repeat is in the second table once. Each card goes to the records that
+    ask for it, so the fan-out is shuffled once, to the records."""
     src, texts = addressed(cards_df.filter(F.col("mode").isin([md for _, md, _ in MODELS])), "text", ("patient_id", "mode"))
-    ids = src.select(F.col("patient_id").alias("_src"), F.col("mode").alias("mmode"), "digest")
-    return _requests(cards_df, repeat).join(ids, ["_src", "mmode"]).select("model", "patient_id", "gen_idx", "digest"), texts
+    keys = cards_df.filter(F.col("mode") == "full").select("patient_id", _number("patient_id").alias("_k"))
+    src = src.withColumn("_s", _number("patient_id")).filter(F.col("patient_id") == F.concat(F.lit("row_"), F.col("_s").cast("string")))
+    asked = F.lit(None)
+    for mode in sorted({md for _, md, _ in MODELS}):
+        by = [F.struct(F.lit(m).alias("model"), F.lit(i).alias("gen_idx"), F.lit(off + i // repeat).alias("shift"))
+              for m, md, off in MODELS if md == mode for i in range(N_GEN)]
+        asked = F.when(F.col("mode") == mode, F.array(*by)).otherwise(asked)
+    fanned = src.select("_s", "digest", F.explode(asked).alias("m")).select("m.model", "m.gen_idx", (F.col("_s") - F.col("m.shift")).alias("_k"), "digest")
+    return keys.join(fanned, "_k").select("model", "patient_id", "gen_idx", "digest"), texts
 
 
 def completion_truth(cards_df: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def q_prediction_files(spark, sf_dir):
     c, _ = stage(spark, sf_dir, ("full", "coarsened"))
     arrays = generations(c).groupBy("model", "patient_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("gen_idx", "gen"))), lambda g: g["gen"]).alias("generations"))  # ten a record
     named = arrays.withColumn("file", F.concat("model", F.lit("_predictions.jsonl")))
-    writers.write_jsonl(named.select("patient_id", "generations", "file"), path, partition_by=["file"])
+    writers.write_jsonl(named.select("patient_id", "generations", "file"), path, partition_by=["file"], compression="gzip")  # every text thirty times
     back = readers.read_predictions(spark, path, r"file=([^/]+?)_(gene|size|icd10)?_?predictions\.jsonl/[^/]+$")
     return back.select("model", "patient_id", F.posexplode("generations").alias("gen_idx", "gen")).select("model", "patient_id", F.col("gen_idx").cast("bigint").alias("gen_idx"), _md5("gen").alias("gen_md5"))
 

@@ -18,9 +18,11 @@ def write_cards(cards: DataFrame, path: str) -> None:
      .option("ignoreNullFields", "false").json(path))
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    """K2: prompts / chat records as UTF-8 JSONL (non-ASCII kept as is)."""
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None, compression: str | None = None) -> None:
+    """K2: prompts / chat records as UTF-8 JSONL (non-ASCII kept as is), plain or by a codec that the readers know by the files' ending."""
     w = df.write.mode(mode)
+    if compression:
+        w = w.option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.json(path)
