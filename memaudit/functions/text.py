@@ -225,11 +225,22 @@ def gene_canary(gen_l, gene) -> Column:
     return F.coalesce(F.when((t != "") & g.contains(t), stated(labelled) | stated(followed)), F.lit(False))
 
 
-def size_loose(gen_l, targets) -> Column:
-    """Strip coarsening bucket strings, then any target is a bare substring."""
+def without_buckets(gen_l) -> Column:
+    """The text without the coarsening bucket strings."""
     x = col(gen_l)
     for s in vocab.SIZE_BUCKET_STRINGS:
         x = F.replace(x, F.lit(s), F.lit(""))
+    return x
+
+
+def size_loose(gen_l, targets) -> Column:
+    """Strip coarsening bucket strings, then any target is a bare substring."""
+    return any_of(without_buckets(gen_l), targets)
+
+
+def any_of(text, targets) -> Column:
+    """Whether any of the strings is a substring of the text."""
+    x = col(text)
     return F.exists(col(targets), lambda t: x.contains(t))
 
 

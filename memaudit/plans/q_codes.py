@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memaudit.functions import vocab
 from memaudit.operators import metrics, scoring
 from memaudit.plans import sqlx
-from memaudit.plans.predictions import addressed_generations, per_model
+from memaudit.plans.predictions import per_model
 from memaudit.plans.q_scoring import ATTACK_CTES, _attack_inputs, base_sql, r9
 from memaudit.plans.registry import register
 
@@ -15,8 +15,7 @@ MIN_SUPPORT = 3
 
 
 def best(spark, sf_dir):
-    c, _, t, _ = _attack_inputs(spark, sf_dir)
-    ids, texts = addressed_generations(c)
+    _, (ids, texts), t, _ = _attack_inputs(spark, sf_dir)
     return scoring.best_code_recall(ids, per_model(t, "billing_block"), texts)
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from memaudit.functions import vocab
 from memaudit.operators import metrics, scoring
 from memaudit.plans import sqlx
-from memaudit.plans.predictions import (MODEL_NAMES, addressed_generations, attack_targets, completion_truth, generations,
-                                        gens_sql_ctes, per_model, stage)
+from memaudit.plans.predictions import (MODEL_NAMES, addressed_generations, attack_targets, completion_truth, gens_sql_ctes,
+                                        stage)
 from memaudit.plans.q_cards import cards_cte, typed_cte
 from memaudit.plans.q_rarity import profile_sql, scored_ctes, splits_ctes
 from memaudit.plans.registry import register
@@ -201,17 +201,12 @@ def q_regime_by_stratum(spark, sf_dir):
 # ------------------------------------------------------------------ phase II: attack scores
 def _attack_inputs(spark, sf_dir):
     c, sp = stage(spark, sf_dir, ("full", "coarsened", "exact"))
-    return c, generations(c), attack_targets(c), sp.select("patient_id", "split", "rarity_group")
+    return c, addressed_generations(c), attack_targets(c), sp.select("patient_id", "split", "rarity_group")
 
 
 def attack_table(spark, sf_dir):
-    c, g, t, sp = _attack_inputs(spark, sf_dir)
-    parts = []
-    for attack, block in (("gene", "gene_block"), ("size", "size_block")):
-        s = scoring.attack_scores(g, per_model(t, block), attack)
-        parts.append(s.withColumn("attack", F.lit(attack)))
-    out = parts[0].unionByName(parts[1])  # U1
-    return out.join(sp, "patient_id")
+    _, (ids, texts), t, sp = _attack_inputs(spark, sf_dir)
+    return scoring.attack_scores_all(ids, t, texts).join(sp, "patient_id")  # U1
 
 
 def _strip_buckets(x: str) -> str:

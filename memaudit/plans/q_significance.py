@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memaudit.functions import text as T
 from memaudit.operators import metrics, scoring
 from memaudit.plans import sqlx
-from memaudit.plans.predictions import MODEL_NAMES, addressed_generations
+from memaudit.plans.predictions import MODEL_NAMES
 from memaudit.plans.q_scoring import ATTACK_CTES, _attack_inputs, base_sql, r9
 from memaudit.plans.registry import register
 
@@ -20,8 +20,7 @@ def success_table(spark, sf_dir, inputs=None):
     """(attack, model, patient_id, target, success) for the three strict matchers, from one pass over the generations.
 
     ``inputs``: the (cards, generations, targets, splits) stage of the caller, if built."""
-    c, _, t, sp = inputs or _attack_inputs(spark, sf_dir)
-    ids, texts = addressed_generations(c)
+    _, (ids, texts), t, sp = inputs or _attack_inputs(spark, sf_dir)
     return scoring.attack_success_all(ids, t, texts), sp
 
 
@@ -192,7 +191,7 @@ def q_manual_examples(spark, sf_dir):
     """L4 + M20 + K5: per attack 30 records — successes of M1 first, padded with others in seeded order — with their
     target and, for each model, the first succeeding generation (for codes: the first with a code line), else the
     first, cut to 800 chars, newlines as <br>."""
-    c, g, t, sp = inputs = _attack_inputs(spark, sf_dir)
+    _, (ids, texts), t, _ = inputs = _attack_inputs(spark, sf_dir)
     s, _ = success_table(spark, sf_dir, inputs=inputs)
     wide = s.groupBy("attack", "patient_id").pivot("model", MODEL_NAMES).agg(F.max("success"))
     for m in MODEL_NAMES:
@@ -202,7 +201,8 @@ def q_manual_examples(spark, sf_dir):
     block = F.when(F.col("attack") == "gene", F.col("gene_block")).when(F.col("attack") == "size", F.col("size_block")).otherwise(F.col("billing_block"))
     picked = top.join(t, "patient_id").select("attack", "patient_id", "success", block.alias("_block"), T.gene_target(F.col("gene_block")).alias("_gene"),
                                               T.size_values(F.col("size_block")).alias("_size"))
-    j = g.join(F.broadcast(picked), "patient_id").withColumn("_gl", T.gen_lower("gen"))  # 30 records of each of three attacks
+    asked = ids.join(F.broadcast(picked), "patient_id")  # 30 records of each of three attacks
+    j = texts.join(F.broadcast(asked), "digest").withColumnRenamed("text", "gen").withColumn("_gl", T.gen_lower("gen"))  # their generations' addresses
     hit = (F.when(F.col("attack") == "gene", T.gene_guarded("_gl", "_gene"))
            .when(F.col("attack") == "size", T.size_strict("_gl", "_size")).otherwise(T.code_line_set("_gl").isNotNull()))
     shown = j.groupBy("attack", "patient_id", "success", "_block", "model").agg(
