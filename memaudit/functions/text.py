@@ -251,13 +251,24 @@ def size_strict(gen_l, values) -> Column:
     so ``45`` also hits ``450`` (prefix match, as in the audited scorer)."""
     g, v = col(gen_l), col(values)
 
-    def clean(x):
-        return py_strip(F.replace(F.lower(x), F.lit("mm"), F.lit("")))
-    c1, c2 = clean(v["v1"]), clean(v["v2"])
-    real1, real2 = (c1 != "") & (c1 != "unknown"), (c2 != "") & (c2 != "unknown")
-    m1 = F.when(real1, g.contains(F.concat(F.lit("first reported diameter: "), c1))).otherwise(F.lit(True))
-    m2 = F.when(real2, g.contains(F.concat(F.lit("diameter at intervention: "), c2))).otherwise(F.lit(True))
-    return (real1 | real2) & m1 & m2
+    return says_sizes(g, said_sizes(v))
+
+
+def said_sizes(values) -> Column:
+    """M13 targets: struct(first, interv) of what a generation must say of either diameter, NULL where there is none."""
+    v = col(values)
+
+    def said(label: str, x: Column) -> Column:
+        clean = py_strip(F.replace(F.lower(x), F.lit("mm"), F.lit("")))
+        return F.when((clean != "") & (clean != "unknown"), F.concat(F.lit(label + ": "), clean))
+    return F.struct(said("first reported diameter", v["v1"]).alias("first"), said("diameter at intervention", v["v2"]).alias("interv"))
+
+
+def says_sizes(gen_l, said) -> Column:
+    """M13 from its targets (``said_sizes``), which are made once per record and not once per generation."""
+    g, s = col(gen_l), col(said)
+    m1, m2 = (F.coalesce(g.contains(s[k]), s[k].isNull()) for k in ("first", "interv"))
+    return (s["first"].isNotNull() | s["interv"].isNotNull()) & m1 & m2
 
 
 def size_canary(gen_l, first_mm, interv_mm) -> Column:

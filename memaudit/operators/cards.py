@@ -199,8 +199,9 @@ def card(records: DataFrame, mode: str) -> DataFrame:
 # ------------------------------------------------------------------ reading cards back
 def section(text, name: str) -> Column:
     """``{name}:`` up to the next blank line or end of text; '' when absent."""
-    pat = r"(?s)(" + re.escape(name) + r":.*?)(?=\n\n|\z)"
-    return cells.py_strip(F.regexp_extract(cells.col(text), pat, 1))
+    t = cells.col(text)  # found by position: a pattern would look for the blank line at every character
+    at = F.instr(t, name + ":")
+    return F.when(t.isNotNull(), F.when(at > 0, cells.py_strip(F.substring_index(F.substr(t, at), "\n\n", 1))).otherwise(F.lit("")))
 
 
 def field(text, label: str) -> Column:

@@ -153,29 +153,30 @@ def attack_success(gens: DataFrame, targets: DataFrame, attack: str, typed: bool
 
     gene: guarded match (M10; records without a specific gene are skipped);
     size: anchored strict match (M13); icd10: exact code-set line (M16; records
-    without codes skipped). ``targets``: (model, patient_id, target_text[, target_icd10]).
+    without codes skipped). ``targets``: (model, patient_id, target_text[, target_icd10]), keyed by patient_id alone if
+    all models have the same: such generations meet them where they lie.
     ``typed`` takes the summaries' wider list of generic gene names and adds ``gene_type``.
     With ``texts`` (digest, text) the generations address their texts."""
-    extra = []
+    extra, key = [], [k for k in KEY if k in targets.columns]
     if attack == "gene":
         if typed:
-            found = targets.select(*KEY, T.gene_target_typed(F.col("target_text")).alias("_g"))
-            t, extra = found.select(*KEY, F.col("_g.gene").alias("_t"), F.col("_g.type").alias("gene_type")), ["gene_type"]
+            found = targets.select(*key, T.gene_target_typed(F.col("target_text")).alias("_g"))
+            t, extra = found.select(*key, F.col("_g.gene").alias("_t"), F.col("_g.type").alias("gene_type")), ["gene_type"]
         else:
-            t = targets.select(*KEY, T.gene_target(F.col("target_text")).alias("_t"))
+            t = targets.select(*key, T.gene_target(F.col("target_text")).alias("_t"))
         t = t.filter(F.col("_t").isNotNull()).withColumn("target", F.col("_t"))
         hit = lambda: T.gene_guarded("_gl", "_t")
     elif attack == "size":
-        t = targets.select(*KEY, T.size_values(F.col("target_text")).alias("_t"))
-        t = t.withColumn("target", F.to_json("_t"))
-        hit = lambda: T.size_strict("_gl", "_t")
+        t = targets.select(*key, T.size_values(F.col("target_text")).alias("_v"))
+        t = t.select(*key, F.to_json("_v").alias("target"), T.said_sizes("_v").alias("_t"))
+        hit = lambda: T.says_sizes("_gl", "_t")
     elif attack == "icd10":
-        t = targets.select(*KEY, T.code_set(F.col("target_icd10")).alias("_t")).filter(F.size("_t") > 0)
+        t = targets.select(*key, T.code_set(F.col("target_icd10")).alias("_t")).filter(F.size("_t") > 0)
         t = t.withColumn("target", F.array_join("_t", ", "))
         hit = lambda: T.exact_code_match("_gl", "_t")
     else:
         raise ValueError(attack)
-    j = _beside(gens, t, KEY, {"_gl": T.gen_lower}, texts)
+    j = _beside(gens, t, key, {"_gl": T.gen_lower}, texts)
     per = j.select(*KEY, "target", *extra, hit().alias("_hit"))
     return per.groupBy(*KEY, "target", *extra).agg(F.max(F.col("_hit").cast("int")).alias("success"))
 
@@ -198,13 +199,16 @@ def attack_success_all(gens: DataFrame, targets: DataFrame, texts: DataFrame | N
     t = t.select(*key, "gene", "_size", F.to_json("_size").alias("size"), F.when(F.size("_codes") > 0, F.array_join("_codes", ", ")).alias("icd10"),
                  F.when(F.size("_codes") > 0, _codes_digest(F.col("_codes"))).alias("_line"))
     attacks = ("gene", "size", "icd10")
-    t = t.withColumn("_of", digest(F.to_json(F.struct(*attacks))))
-    j = _beside(gens, t.select(*key, "_of", "gene", "_size", "_line"), key,
+    # a record's rows of targets (seldom more than one) are told apart by a number; read out of the cards once and written, as the
+    # generations take what they are compared with, and the result the targets as they are shown
+    t = t.withColumn("_said", T.said_sizes("_size")).withColumn("_of", F.xxhash64(F.to_json(F.struct(*attacks))))
+    t = materialize(t.select(*key, "_of", "_said", "_line", *attacks).distinct(), "targets")
+    j = _beside(gens, t.select(*key, "_of", "gene", F.col("_said").alias("_size"), "_line"), key,
                 {"_gl": T.gen_lower, "_said": lambda g: _codes_digest(T.code_line_set(T.gen_lower(g)))}, texts)
-    hits = {"gene": T.gene_guarded("_gl", "gene"), "size": T.size_strict("_gl", "_size"), "icd10": F.coalesce(F.col("_said") == F.col("_line"), F.lit(False))}
+    hits = {"gene": T.gene_guarded("_gl", "gene"), "size": T.says_sizes("_gl", "_size"), "icd10": F.coalesce(F.col("_said") == F.col("_line"), F.lit(False))}
     per = j.select(*KEY, "_of", *[h.cast("int").alias("hit_" + a) for a, h in hits.items()])
     per = per.groupBy(*KEY, "_of").agg(*[F.max("hit_" + a).alias("hit_" + a) for a in attacks])
-    per = per.join(t.select(*key, "_of", *attacks).distinct(), [*key, "_of"])
+    per = per.join(t.select(*key, "_of", *attacks), [*key, "_of"])
     rows = F.array(*[F.struct(F.lit(a).alias("attack"), F.col(a).alias("target"), F.col("hit_" + a).alias("success")) for a in attacks])
     return per.select(*KEY, F.explode(rows).alias("r")).select("r.attack", *KEY, "r.target", "r.success").filter(F.col("target").isNotNull())
 

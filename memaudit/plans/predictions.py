@@ -83,17 +83,23 @@ def addressed_generations(cards_df: DataFrame, repeat: int = 1) -> tuple[DataFra
     """The same predictions content-addressed: (model, patient_id, gen_idx, digest), and the distinct texts (digest, text).
 
     Only addresses fan out; a text that thirty generations repeat is in the second table once. Each card goes to the records that
-    ask for it, so the fan-out is shuffled once, to the records."""
+    ask for it, once for all the models and indices that do, and lies there by patient_id: what else is keyed so meets it without
+    another shuffle."""
     src, texts = addressed(cards_df.filter(F.col("mode").isin([md for _, md, _ in MODELS])), "text", ("patient_id", "mode"))
-    keys = cards_df.filter(F.col("mode") == "full").select("patient_id", _number("patient_id").alias("_k"))
+    keys = cards_df.filter(F.col("mode") == "full").select("patient_id")
     src = src.withColumn("_s", _number("patient_id")).filter(F.col("patient_id") == F.concat(F.lit("row_"), F.col("_s").cast("string")))
+    requests: dict[tuple[str, int], list[Column]] = {}  # (mode, how far the card is from the record) -> its generations
+    for m, mode, off in MODELS:
+        for i in range(N_GEN):
+            requests.setdefault((mode, off + i // repeat), []).append(F.struct(F.lit(m).alias("model"), F.lit(i).alias("gen_idx")))
     asked = F.lit(None)
-    for mode in sorted({md for _, md, _ in MODELS}):
-        by = [F.struct(F.lit(m).alias("model"), F.lit(i).alias("gen_idx"), F.lit(off + i // repeat).alias("shift"))
-              for m, md, off in MODELS if md == mode for i in range(N_GEN)]
-        asked = F.when(F.col("mode") == mode, F.array(*by)).otherwise(asked)
-    fanned = src.select("_s", "digest", F.explode(asked).alias("m")).select("m.model", "m.gen_idx", (F.col("_s") - F.col("m.shift")).alias("_k"), "digest")
-    return keys.join(fanned, "_k").select("model", "patient_id", "gen_idx", "digest"), texts
+    for wanted in sorted({mode for mode, _ in requests}):
+        by = [F.struct(F.lit(n).alias("request"), F.lit(shift).alias("shift")) for n, (mode, shift) in enumerate(requests) if mode == wanted]
+        asked = F.when(F.col("mode") == wanted, F.array(*by)).otherwise(asked)
+    fanned = src.select("_s", "digest", F.explode(asked).alias("m")).select(
+        F.concat(F.lit("row_"), (F.col("_s") - F.col("m.shift")).cast("string")).alias("patient_id"), "m.request", "digest")
+    made = F.get(F.array(*[F.array(*some) for some in requests.values()]), F.col("request"))
+    return keys.join(fanned, "patient_id").select("patient_id", "digest", F.explode(made).alias("m")).select("m.model", "patient_id", "m.gen_idx", "digest"), texts
 
 
 def completion_truth(cards_df: DataFrame) -> DataFrame:

@@ -62,3 +62,32 @@ def test_cards_go_to_the_records_that_ask_for_them(spark):
         back = got.join(texts, "digest").select("model", "patient_id", "gen_idx", "text")
         assert rows(back) == rows(predictions.generations(cards, repeat))
         assert dict(got.dtypes)["digest"] == "binary"
+
+
+def test_generations_meet_their_targets_where_they_lie(spark):
+    cards = spark.createDataFrame([(f"row_{k}", m, f"{m} {k} variant: ski") for k in range(40) for m in ("full", "coarsened", "exact")], "patient_id string, mode string, text string")
+    targets = spark.createDataFrame([(f"row_{k}", "- Pathogenic variant: " + ("SKI" if k % 2 else "MFAP5")) for k in range(30)], "patient_id string, target_text string")
+    confs = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        ids, texts = predictions.addressed_generations(cards)
+        got = scoring.attack_success(ids, targets, "gene", typed=True, texts=texts)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # records, cards and targets by patient_id; the pairs and the texts by address; the result
+        assert plan.count("Exchange hashpartitioning") == 6 and plan.count("Exchange hashpartitioning(patient_id") == 3
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    models = spark.createDataFrame([(m,) for m in predictions.MODEL_NAMES], "model string")
+    assert rows(got) == rows(scoring.attack_success(ids, targets.crossJoin(models), "gene", typed=True, texts=texts))
+    assert got.where("success = 1").count() == 45
+
+
+def test_targets_of_one_record_that_comes_twice_stay_apart(spark):
+    gens = spark.createDataFrame([("A", "r1", 0, "variant: ski"), ("A", "r2", 0, "icd-10 codes: i10")], "model string, patient_id string, gen_idx int, gen string")
+    t = spark.createDataFrame([("r1", "- Pathogenic variant: SKI", "", ""), ("r1", "- VUS: FBN1", "", ""), ("r1", "", "", "SKI"), ("r2", "", "", "I10")],
+                              "patient_id string, gene_block string, size_block string, target_icd10 string")
+    got = scoring.attack_success_all(gens, t).where("attack <> 'size'").select("attack", "patient_id", "target", "success")
+    assert rows(got) == sorted(map(repr, [("gene", "r1", "ski", 1), ("gene", "r1", "fbn1", 0), ("icd10", "r1", "ski", 0), ("icd10", "r2", "i10", 1)]))

@@ -122,3 +122,13 @@ def test_fidelity_on_empty_tables_missing_cards_and_clashing_columns(spark):
     assert verify.mismatches(clash, full).count() == 1
     blank = full.withColumn("text", F.lit(None).cast("string"))
     assert {r["actual"] for r in verify.mismatches(raw.limit(1), blank).collect()} == {"Not found"}
+
+
+def test_a_section_is_found_by_position(spark):
+    from memaudit.functions import cells
+    texts = ["Title\n\nGenetics:\n- a\n\nAortic size:\n- b", "Genetics:", "x Genetics: y\n\n\nGenetics: z", "genetics:\n- a", "", None, "Genetics:\n \n- a\n", "Genetics:\r\n\r\nb"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = cells.py_strip(F.regexp_extract("t", r"(?s)(Genetics:.*?)(?=\n\n|\z)", 1))
+    got = df.select(cards.section("t", "Genetics").alias("now"), old.alias("was"))
+    assert all(r["now"] == r["was"] for r in got.collect())
+    assert "regexp" not in got.select("now")._jdf.queryExecution().optimizedPlan().toString().lower()
