@@ -71,21 +71,25 @@ def completion_scores(gens: DataFrame, truth: DataFrame, concepts=vocab.SURGERY_
     and the mean token Jaccard (reconstruction).
 
     ``truth``: (model, patient_id, expected) — the expected completion per model. ``gens`` hold their texts (gen), or address
-    them in ``texts`` (digest, text; one row per distinct text). Generations and truths meet as addresses; a pair of texts
-    that meets for several records, models or generations is compared once, on the features of the two."""
+    them in ``texts`` (digest, text; one row per distinct text). Generations and truths meet as addresses, once for a record
+    and its models and generations that repeat them. A pair takes one text with it, the generation's normal form, to the
+    other; tokens are cut where the two meet, as their hashes would weigh more than the text on the way."""
     ids, texts = (gens.select(*KEY, "digest"), texts) if texts is not None else addressed(gens)
     want, expected = addressed(truth, "expected", tuple(KEY))
-    features = materialize(text_features(texts.select("digest", "text").union(expected).dropDuplicates(["digest"]), concepts), "features")
-    met = (ids.withColumnRenamed("digest", "g").join(want.withColumnRenamed("digest", "e"), KEY)
-           .groupBy(*KEY, "g", "e").agg(F.count(F.lit(1)).alias("n")))
-    met = materialize(met, "pairs")
-    both = _pairs_with(_pairs_with(met.select("g", "e").distinct(), features, "g"), features, "e")
-    common = F.size(F.array_intersect("g.tokens", "e.tokens"))
-    compared = both.select("g_digest", "e_digest", T.collapse_hit("g.norm", "e.norm", empty_is_hit).cast("int").alias("_collapse"),
-                           (F.col("g.concepts") == F.col("e.concepts")).cast("int").alias("_combo"), F.size("g.tokens").alias("_a"), F.size("e.tokens").alias("_b"), common.alias("_both"))
-    compared = compared.select(F.col("g_digest").alias("g"), F.col("e_digest").alias("e"), "_collapse", "_combo", T.jaccard_of_sizes("_a", "_b", "_both").alias("_jac"))
+    features = text_features(texts.select("digest", "text").union(expected).dropDuplicates(["digest"]), concepts)
+    features = materialize(features.select("digest", "norm", F.size("tokens").alias("n"), F.array_join("concepts", ",").alias("concepts")), "features")
+    per_record = want.groupBy("patient_id").agg(F.collect_list(F.struct("model", "digest")).alias("_want"))  # its models, a few
+    met = ids.join(per_record, "patient_id").select(*KEY, F.col("digest").alias("g"), F.explode(F.filter("_want", lambda w: w["model"] == F.col("model"))["digest"]).alias("e"))
+    met = met.groupBy(*KEY, "g", "e").agg(F.count(F.lit(1)).alias("_n"))
+    met = met.groupBy("patient_id", "g", "e").agg(F.collect_list(F.struct("model", "_n")).alias("_models"))
+    both = _pairs_with(_pairs_with(met, features, "g").drop("g_digest"), features, "e")
+    common = F.size(F.array_intersect(F.split("g.norm", " "), F.split("e.norm", " ")))  # of distinct tokens; an empty text's size rules
+    compared = both.select("patient_id", "_models", T.collapse_hit("g.norm", "e.norm", empty_is_hit).cast("int").alias("_collapse"),
+                           (F.col("g.concepts") == F.col("e.concepts")).cast("int").alias("_combo"), F.col("g.n").alias("_a"), F.col("e.n").alias("_b"), common.alias("_both"))
+    compared = compared.select("patient_id", "_models", "_collapse", "_combo", T.jaccard_of_sizes("_a", "_b", "_both").alias("_jac"))  # a column of its own: read twice, made once
+    per = compared.select("patient_id", F.explode("_models").alias("_m"), "_collapse", "_combo", "_jac").select(
+        "_m.model", "patient_id", F.col("_m._n").alias("n"), "_collapse", "_combo", "_jac").groupBy(*KEY)
     n = F.sum("n")
-    per = met.join(compared, ["g", "e"]).groupBy(*KEY)
     return per.agg((F.sum(F.col("_collapse") * F.col("n")) / n).alias("collapse_score"), (F.sum(F.col("_combo") * F.col("n")) / n).alias("combo_score"),
                    (F.sum(F.col("_jac") * F.col("n")) / n).alias("reconstruction_score"), n.alias("n_generations"))
 

@@ -65,3 +65,17 @@ def test_addressed_code_recall_and_attacks_equal_plain_ones(spark):
 def test_scores_of_empty_tables(spark):
     gens, truth = tables(spark, 2)
     assert scoring.completion_scores(gens.limit(0), truth).count() == 0 and scoring.completion_scores(gens, truth.limit(0)).count() == 0
+
+
+def test_a_pair_takes_one_text_along_and_no_tokens(spark):
+    gens, truth = tables(spark)
+    ids, texts = scoring.addressed(gens)
+    got = scoring.completion_scores(ids, truth, texts=texts)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "tokens" not in plan and plan.count("array_intersect") == 1
+    twice = truth.union(truth)  # a record that comes twice weighs twice
+    again = {(r["model"], r["patient_id"]): r[2:] for r in scoring.completion_scores(ids, twice, texts=texts).collect()}
+    once = {(r["model"], r["patient_id"]): r[2:] for r in got.collect()}
+    assert set(again) == set(once)
+    for key, scores in once.items():
+        assert again[key] == pytest.approx((*scores[:3], 2 * scores[3]))
