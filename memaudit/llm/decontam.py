@@ -7,7 +7,7 @@ no posting is shuffled, and a hot document, source or term spreads over the segm
 ``match`` takes the test items as windows of ten words (an item of fewer words is one window). In each segment a
 window's terms are looked up, the posting list of the rarest is taken first, and the lists of the next rarest terms,
 less their offsets in the window, are intersected with it until it is empty or all terms are used: what is left are the
-exact phrase matches. With ``slop`` it also gives proximity matches: occurrences of the rarest term around which every
+exact phrase matches. The windows of a segment take each of these steps together, ``CANDIDATES`` positions at a time. With ``slop`` it also gives proximity matches: occurrences of the rarest term around which every
 other term of the window occurs within the window's length plus ``slop`` words, in any order; with ``repeats`` as often
 as the window holds it.
 
@@ -28,7 +28,6 @@ columns are left alone.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +50,8 @@ SEGMENT_WORDS = 400_000
 SMALL_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1"}
 #: Distinct windows of the test items that are looked up in one pass.
 BLOCK_WINDOWS = 200_000
+#: Positions that are tested in one step; a window whose rarest term has more is a step of its own.
+CANDIDATES = 1 << 20
 #: Word bytes are kept, A-Z lower-cased; all other bytes become spaces. Bytes over 0x7F are parts of word characters.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -67,7 +68,7 @@ class _Numbers(dict):
         return n
 
 
-_INDEX = "segment long, doc_ids array<{}>, digests array<binary>, n_words array<int>, terms array<binary>, counts array<int>, gaps array<int>"
+_INDEX = "segment long, doc_ids array<{}>, digests array<binary>, n_words array<int>, terms array<binary>, counts array<int>, gaps binary"
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
@@ -78,20 +79,20 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", seg
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(id_kind)), ("digests", pa.list_(pa.binary())),
-                            ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("gaps", pa.list_(pa.int32()))])
+                            ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("gaps", pa.binary())])
         part, made = TaskContext.get().partitionId(), 0
         numbers, tokens, ids, digests, sizes = _Numbers(), [], [], [], []
 
         def segment() -> pa.RecordBatch:
             token = np.array(tokens, np.int32)
-            position = np.argsort(token, kind="stable").astype(np.int32)
+            position = np.argsort(token.astype(np.uint16) if len(numbers) <= 1 << 16 else token, kind="stable").astype(np.int32)  # numpy counts short numbers
             counts = np.bincount(token, minlength=len(numbers)).astype(np.int32)
             gaps = np.diff(position, prepend=np.int32(0))
             starts = np.cumsum(counts) - counts
             gaps[starts] = position[starts]  # each list begins with a position
             one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
             return pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), one(ids, id_kind), one(digests, pa.binary()), one(sizes, pa.int32()),
-                                               one(list(numbers), pa.binary()), one(counts, pa.int32()), one(gaps, pa.int32())], schema=schema)
+                                               one(list(numbers), pa.binary()), one(counts, pa.int32()), pa.array([gaps.astype("<i4").tobytes()], pa.binary())], schema=schema)
 
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
@@ -126,51 +127,61 @@ def window_blocks(items: DataFrame, id_col: str, text: str, window: int, block:
 
 
 class _Segment:
-    """The posting lists of a segment, decoded as they are asked for."""
+    """The posting lists of a segment, one behind the other; ``own`` gives the list of a wanted term."""
+
+    #: Room around a list's positions, so that a place before the first or behind the last word is in no list.
+    MARGIN = 1 << 16
 
     def __init__(self, terms: pa.Array, counts: np.ndarray, gaps: np.ndarray, wanted: pa.Array):
-        where = pc.index_in(wanted, value_set=terms)
-        self.own = where.fill_null(-1).to_numpy(zero_copy_only=False)
-        self.ends = np.cumsum(counts.astype(np.int64))
-        self.counts = np.where(self.own >= 0, counts[self.own], 0).astype(np.int64)
-        self.gaps, self.lists = gaps, {}
-
-    def positions(self, term: int) -> np.ndarray:
-        if term not in self.lists:
-            end = self.ends[self.own[term]]
-            self.lists[term] = np.cumsum(self.gaps[end - self.counts[term]:end], dtype=np.int64)
-        return self.lists[term]
-
-
-def _among(values: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Which values the rising list ``of`` holds."""
-    at = np.searchsorted(of, values)
-    return of[np.minimum(at, len(of) - 1)] == values
-
-
-def _phrase(segment: _Segment, terms: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Where the terms stand in a row: offset-adjusted lists, intersected from the rarest."""
-    starts = segment.positions(terms[order[0]]) - order[0]
-    for k in order[1:]:
-        if not len(starts):
-            break
-        starts = starts[_among(starts + k, segment.positions(terms[k]))]
-    return starts
-
-
-def _near(segment: _Segment, terms: np.ndarray, order: np.ndarray, reach: int, doc_of: np.ndarray, first: np.ndarray, last: np.ndarray,
-          repeats: bool) -> np.ndarray:
-    """Occurrences of the rarest term with every other term at most ``reach`` words away in the same document; with
-    ``repeats`` each term, the rarest too, must be there as often as among the terms."""
-    at, need = segment.positions(terms[order[0]]), Counter(terms[order].tolist())
-    for term in list(need) if repeats else terms[order[1:]]:
-        if not len(at):
-            break
-        of = segment.positions(term)
-        doc = doc_of[at]
-        low, high = np.maximum(at - reach, first[doc]), np.minimum(at + reach, last[doc])
-        at = at[np.searchsorted(of, high, "right") - np.searchsorted(of, low) >= (need[term] if repeats else 1)]
-    return at
+        self.own = pc.index_in(wanted, value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = counts.astype(np.int64)
+        self.counts = np.where(self.own >= 0, counts[self.own], 0)
+        self.starts = np.cumsum(counts) - counts
+        positions = np.cumsum(gaps, dtype=np.int64)
+        self.positions = positions - (positions[self.starts] - gaps[self.starts]).repeat(counts)
+        self.stride = len(gaps) + 2 * self.MARGIN
+        self.places = np.arange(len(counts)).repeat(counts) * self.stride + self.positions  # rises: lists by number, each by position
+
+    def rarest(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of the terms, each position beside the number of its term in ``terms``."""
+        counts = self.counts[terms]
+        of = np.arange(len(terms)).repeat(counts)
+        return of, self.positions[np.arange(len(of)) + (self.starts[self.own[terms]] - np.cumsum(counts) + counts).repeat(counts)]
+
+    def before(self, terms: np.ndarray, at: np.ndarray, side: str = "left") -> np.ndarray:
+        """How many entries of all lists lie before these places of the terms' lists (``right``: or there)."""
+        return np.searchsorted(self.places, self.own[terms] * self.stride + at, side)
+
+    def among(self, terms: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of these places are in the terms' lists."""
+        return self.places[np.minimum(self.before(terms, at), len(self.places) - 1)] == self.own[terms] * self.stride + at
+
+
+def _phrases(segment: _Segment, table: np.ndarray, size: np.ndarray, order: np.ndarray, of: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the (window, start) have the window's terms in a row: offset-adjusted lists, intersected from the rarest."""
+    for j in range(1, table.shape[1]):
+        k = order[of, j]
+        keep = j >= size[of]
+        rest = np.flatnonzero(~keep)
+        keep[rest] = segment.among(table[of[rest], k[rest]], starts[rest] + k[rest])
+        of, starts = of[keep], starts[keep]
+    return of, starts
+
+
+def _near(segment: _Segment, table: np.ndarray, size: np.ndarray, order: np.ndarray, need: np.ndarray, of: np.ndarray, at: np.ndarray, slop: int, doc_of: np.ndarray,
+          first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the (window, place of its rarest term) have each term of the window, as often as ``need`` says, within the window's
+    length plus ``slop`` words in the same document; a term is looked for where ``need`` is not 0."""
+    for j in range(table.shape[1]):
+        k = order[of, j]
+        keep = need[of, k] == 0
+        rest = np.flatnonzero(~keep)
+        w, here, doc = of[rest], at[rest], doc_of[at[rest]]
+        reach, term = size[w] - 1 + slop, table[w, k[rest]]
+        low, high = np.maximum(here - reach, first[doc]), np.minimum(here + reach, last[doc])
+        keep[rest] = segment.before(term, high, "right") - segment.before(term, low) >= need[w, k[rest]]
+        of, at = of[keep], at[keep]
+    return of, at
 
 
 _HIT = "segment long, doc int, item string, first int, past int, exact boolean"
@@ -197,6 +208,11 @@ def match(index: DataFrame, items: DataFrame, id_col: str = "item_id", text: str
 def _one_block(index: DataFrame, vocabulary: list[bytes], table: np.ndarray, size: np.ndarray, owners: list[np.ndarray], names: list[str], slop: int | None,
                repeats: bool) -> DataFrame:
     used = np.arange(table.shape[1]) < size[:, None]
+    same = (table[:, :, None] == table[:, None, :]) & used[:, None, :]
+    # how often a proximity match must hold each term, at the term's first place in the window
+    need = np.where(used & (same.argmax(axis=2) == np.arange(table.shape[1])), same.sum(axis=2) if repeats else 1, 0).astype(np.int32)
+    own_items, n_items = np.concatenate(owners), np.array([len(own) for own in owners])
+    first_item = np.cumsum(n_items) - n_items
 
     def of_segment(number: int, sizes: np.ndarray, segment: _Segment) -> Iterator[pa.RecordBatch]:
         first = np.cumsum(sizes) - sizes
@@ -204,22 +220,24 @@ def _one_block(index: DataFrame, vocabulary: list[bytes], table: np.ndarray, siz
         counts = np.where(used, segment.counts[table], np.iinfo(np.int64).max)
         docs, items, starts, pasts, exact = [], [], [], [], []
 
-        def add(at: np.ndarray, length: int, w: int, is_exact: bool) -> None:
-            own = owners[w]
-            for out, value in ((docs, doc_of[at].repeat(len(own))), (items, np.tile(own, len(at))), (starts, at.repeat(len(own))),
-                               (pasts, (at + length).repeat(len(own))), (exact, np.full(len(at) * len(own), is_exact))):
+        def add(w: np.ndarray, at: np.ndarray, length: np.ndarray, is_exact: bool) -> None:
+            n = n_items[w]
+            item = own_items[np.arange(n.sum()) + (first_item[w] - np.cumsum(n) + n).repeat(n)]
+            for out, value in ((docs, doc_of[at].repeat(n)), (items, item), (starts, at.repeat(n)), (pasts, (at + length).repeat(n)), (exact, np.full(len(item), is_exact))):
                 out.append(value)
 
-        for w in np.flatnonzero(counts.min(axis=1) > 0):
-            order = np.argsort(counts[w], kind="stable")[:size[w]]
-            at = _phrase(segment, table[w], order)
-            at = at[doc_of[at] == doc_of[at + size[w] - 1]]  # not over the end of a document
-            if len(at):
-                add(at, size[w], w, True)
-            if slop is not None:
-                near = _near(segment, table[w], order, int(size[w]) - 1 + slop, doc_of, first, first + sizes - 1, repeats)
-                if len(near):
-                    add(near, 1, w, False)
+        live = np.flatnonzero(counts.min(axis=1) > 0)
+        step = np.cumsum(counts[live].min(axis=1)) // CANDIDATES
+        for windows in np.split(live, np.flatnonzero(np.diff(step)) + 1) if len(live) else []:
+            t, n, ranks = table[windows], size[windows], np.argsort(counts[windows], axis=1, kind="stable")
+            of, at = segment.rarest(t[np.arange(len(t)), ranks[:, 0]])
+            if slop is not None:  # an exact match is a proximity match too, so it is looked for among these
+                of, at = _near(segment, t, n, ranks, need[windows], of, at, slop, doc_of, first, first + sizes - 1)
+                add(windows[of], at, np.ones(len(at), np.int64), False)
+            of, at = _phrases(segment, t, n, ranks, of, at - ranks[of, 0])
+            whole = doc_of[at] == doc_of[at + n[of] - 1]  # not over the end of a document
+            add(windows[of[whole]], at[whole], n[of[whole]], True)
+        docs, items, starts, pasts, exact = ([x for x in of if len(x)] for of in (docs, items, starts, pasts, exact))
         if not docs:
             return
         doc, item, start, past, is_exact = (np.concatenate(x) for x in (docs, items, starts, pasts, exact))
@@ -242,9 +260,9 @@ def _one_block(index: DataFrame, vocabulary: list[bytes], table: np.ndarray, siz
         for batch in batches:
             for i in range(batch.num_rows):
                 number, sizes, terms, counts, gaps = (batch.column(c)[i] for c in range(5))
-                lists = [x.values.to_numpy(zero_copy_only=False) for x in (sizes, counts, gaps)]
-                if len(lists[1]):
-                    yield from of_segment(number.as_py(), lists[0].astype(np.int64), _Segment(terms.values, lists[1], lists[2], wanted))
+                sizes, counts = (x.values.to_numpy(zero_copy_only=False) for x in (sizes, counts))
+                if len(counts):
+                    yield from of_segment(number.as_py(), sizes.astype(np.int64), _Segment(terms.values, counts, np.frombuffer(gaps.as_buffer(), "<i4"), wanted))
 
     return index.select("segment", "n_words", "terms", "counts", "gaps").mapInArrow(run, _HIT)
 
