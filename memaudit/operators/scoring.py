@@ -47,7 +47,8 @@ def digest(text) -> Column:
 def addressed(gens: DataFrame, text: str = "gen", keys: tuple = (*KEY, "gen_idx")) -> tuple[DataFrame, DataFrame]:
     """Content addressing: ``gens`` as (keys, digest), and the table (digest, text) with one row per distinct text."""
     tagged = gens.withColumn("digest", digest(text))
-    return tagged.select(*keys, "digest"), tagged.select("digest", F.col(text).alias("text")).dropDuplicates(["digest"])
+    # dealt out by address first: one sort of the texts where they meet, not another of whole texts before the shuffle, which merges next to none
+    return tagged.select(*keys, "digest"), tagged.select("digest", F.col(text).alias("text")).repartition("digest").dropDuplicates(["digest"])
 
 
 def text_features(texts: DataFrame, concepts=vocab.SURGERY_CONCEPTS_12) -> DataFrame:

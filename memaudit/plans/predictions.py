@@ -41,9 +41,11 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rarity.splits_table(profiles(spark, sf_dir), seed=SEED)
 
 
-def stage(spark: SparkSession, sf_dir: str, modes: tuple = cards_op.MODES) -> tuple[DataFrame, DataFrame]:
+def stage(spark: SparkSession, sf_dir: str, modes: tuple = cards_op.MODES, with_splits: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """(cards table of the modes asked for, splits table) from ONE written copy of the typed record table.
 
+    ``with_splits=False`` is for those that read no split: the profiles are then not scored.
+
     Both the card renderer and the profile scorer read the parsed records; writing
     them once to the checkpoint folder keeps the cohort joins and the regex-heavy
     parsing from running twice, and the written table survives executor loss."""
@@ -51,7 +53,7 @@ def stage(spark: SparkSession, sf_dir: str, modes: tuple = cards_op.MODES) -> tu
     c = cards_op.cards(spread(rec, "patient_id"), modes)
     cards_df = materialize(c.select(F.col("meta.patient_id").alias("patient_id"), "mode", "text",
                                     F.col("meta.icd10_codes").alias("icd10_codes")), "cards")
-    sp = rarity.splits_table(rarity.cohort_profiles(rec), seed=SEED, cut_lineage=False)  # rec is already written
+    sp = rarity.splits_table(rarity.cohort_profiles(rec), seed=SEED, cut_lineage=False) if with_splits else None  # rec is already written
     return cards_df, sp
 
 

@@ -199,9 +199,9 @@ def q_regime_by_stratum(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ phase II: attack scores
-def _attack_inputs(spark, sf_dir):
-    c, sp = stage(spark, sf_dir, ("full", "coarsened", "exact"))
-    return c, addressed_generations(c), attack_targets(c), sp.select("patient_id", "split", "rarity_group")
+def _attack_inputs(spark, sf_dir, with_splits: bool = True):
+    c, sp = stage(spark, sf_dir, ("full", "coarsened", "exact"), with_splits)
+    return c, addressed_generations(c), attack_targets(c), sp.select("patient_id", "split", "rarity_group") if with_splits else None
 
 
 def attack_table(spark, sf_dir):

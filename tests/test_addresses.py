@@ -91,3 +91,25 @@ def test_targets_of_one_record_that_comes_twice_stay_apart(spark):
                               "patient_id string, gene_block string, size_block string, target_icd10 string")
     got = scoring.attack_success_all(gens, t).where("attack <> 'size'").select("attack", "patient_id", "target", "success")
     assert rows(got) == sorted(map(repr, [("gene", "r1", "ski", 1), ("gene", "r1", "fbn1", 0), ("icd10", "r1", "ski", 0), ("icd10", "r2", "i10", 1)]))
+
+
+def test_texts_are_dealt_out_unsorted(spark):
+    cards = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", None)], "patient_id string, text string")
+    ids, texts = scoring.addressed(cards, "text", ("patient_id",))
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # and what is above it stands before it in the plan
+    below = plan[plan.index("Exchange"):]
+    assert "Aggregate" not in below and "Sort" not in below
+    assert sorted(map(str, (r["text"] for r in texts.collect()))) == ["None", "x", "y"]
+    assert rows(ids.join(texts, "digest").select("patient_id", "text")) == rows(cards)
+
+
+def test_success_scores_no_profiles(spark, monkeypatch):
+    from memaudit.plans import predictions, q_significance
+
+    def never(*_, **__):
+        raise AssertionError("no split is read")
+
+    monkeypatch.setattr(predictions.rarity, "splits_table", never)
+    got = q_significance.q_attack_success(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["attack", "model", "patient_id", "target", "success"]
