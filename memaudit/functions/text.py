@@ -315,6 +315,16 @@ def code3(c) -> Column:
     return F.upper(F.split_part(col(c), F.lit("."), F.lit(1)))
 
 
+def is_plain_category(c) -> Column:
+    """Whether a category is a letter A to Z and two of the digits 0 to 9."""
+    return F.regexp_like(col(c), F.lit(r"\A[A-Z][0-9]{2}\z"))
+
+
+def category_number(c) -> Column:
+    """A plain category as a number of two bytes."""
+    return ((F.ascii(col(c)) - 65) * 100 + F.substring(col(c), 2, 2).cast("int")).cast("smallint")
+
+
 def prefix_match(gt_codes, gen_codes) -> Column:
     """struct(recall, precision, f1, matched) at 3-char level; matched counts GT codes,
     so precision can exceed 1 when several GT codes share a category."""

@@ -22,7 +22,7 @@ from memaudit.operators import cards as cards_op
 from memaudit.operators import rarity
 from memaudit.operators.scoring import addressed, expected_completion
 from memaudit.plans.q_rarity import SEED, profiles, typed_records
-from memaudit.session import materialize, spread
+from memaudit.session import materialize
 
 MODELS = [("M0", "full", 1), ("M1", "full", 0), ("M2", "coarsened", 0)]
 MODEL_NAMES = [m for m, _, _ in MODELS]
@@ -50,9 +50,9 @@ def stage(spark: SparkSession, sf_dir: str, modes: tuple = cards_op.MODES, with_
     them once to the checkpoint folder keeps the cohort joins and the regex-heavy
     parsing from running twice, and the written table survives executor loss."""
     rec = materialize(typed_records(spark, sf_dir), "records")
-    c = cards_op.cards(spread(rec, "patient_id"), modes)
+    c = cards_op.cards(rec, modes)  # the records were dealt out when they were parsed, and lie in as many files
     cards_df = materialize(c.select(F.col("meta.patient_id").alias("patient_id"), "mode", "text",
-                                    F.col("meta.icd10_codes").alias("icd10_codes")), "cards")
+                                    F.col("meta.icd10_codes").alias("icd10_codes")), "cards", {"compression": "zstd"})
     sp = rarity.splits_table(rarity.cohort_profiles(rec), seed=SEED, cut_lineage=False) if with_splits else None  # rec is already written
     return cards_df, sp
 

@@ -113,3 +113,33 @@ def test_success_scores_no_profiles(spark, monkeypatch):
     monkeypatch.setattr(predictions.rarity, "splits_table", never)
     got = q_significance.q_attack_success(spark, "/root/testdata/sf0.001")
     assert got.columns == ["attack", "model", "patient_id", "target", "success"]
+
+
+def test_categories_travel_as_numbers_once_for_a_record(spark):
+    many = [f"{a}{n:02d}.{n % 10}" for a in "IQZ" for n in range(0, 100, 2)] + ["I00.7", "250.1", "x", "A١٢"]  # 150 categories of two codes or one, and odd ones
+    gens = [("A", "r1", 0, "nothing"), ("A", "r1", 3, " ".join(many[100:140])), ("A", "r1", 2, "i98 q00 q02 250.1"), ("A", "r1", 1, " ".join(c[:3] for c in many[:40])), ("B", "r1", 5, "seen a١٢.3"),
+            ("B", "r1", 6, "i00"), ("B", "r1", 4, "i00"), ("C", "r1", 0, "I00"), ("A", "r2", 0, "I10 I10.1 i11"), (None, "r1", 0, "I00"), ("A", None, 0, "I00")]
+    g = spark.createDataFrame(gens, "model string, patient_id string, gen_idx int, gen string")
+    t = spark.createDataFrame([(m, "r1", ", ".join(many)) for m in "AB"] + [("A", "r2", "I10, I10.9"), ("B", "r3", "I10")], "model string, patient_id string, target_icd10 string")
+    got = {(r["model"], r["patient_id"]): r.asDict() for r in scoring.best_code_recall(g, t).collect()}
+    assert set(got) == {("A", "r1"), ("B", "r1"), ("A", "r2")}
+
+    def expect(codes, said, n, union):
+        matched = [c for c in sorted(c.upper() for c in codes) if c.split(".")[0] in said]
+        return {"matched": matched, "recall": len(matched) / len(codes), "precision": len(matched) / n, "union_recall": len([c for c in codes if c.upper().split(".")[0] in union]) / len(codes)}
+
+    first, third = {c[:3] for c in many[:40]}, {c[:3] for c in many[100:140]}
+    assert expect(many, first, 40, first | third | {"I98", "Q00", "Q02"}).items() <= got["A", "r1"].items()
+    assert expect(many, {"I00"}, 1, {"I00", "A١٢"}).items() <= got["B", "r1"].items()
+    assert expect(["I10", "I10.9"], {"I10"}, 3, {"I10"}).items() <= got["A", "r2"].items()
+
+    confs = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        plan = scoring.best_code_recall(*scoring.addressed(g)[:1], t, scoring.addressed(g)[1])._jdf.queryExecution().executedPlan()
+        assert "Exchange hashpartitioning(patient_id" in plan.toString() and "Exchange hashpartitioning(model" not in plan.toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
