@@ -87,3 +87,13 @@ def test_paired_tables_common_patients_only(spark):
     r = t[("M0", "M1")]
     assert (r["n_both"], r["n_only_a"], r["n_only_b"], r["n_neither"]) == (0, 1, 1, 0)
     assert r["p_value"] == 1.0
+
+
+def test_codes_are_counted_in_one_pass_over_the_best_generations(spark):
+    best = spark.createDataFrame([("A", ["E11.1", "E11.2", "I10"], ["E11.1", "E11.2"]), ("A", ["I10", "Q20"], []), ("B", ["I10"], ["I10"])], "model string, gt array<string>, matched array<string>")
+    by_code, by_chapter = metrics.recall_by_code(best), metrics.recall_by_chapter(best)
+    assert {tuple(r) for r in by_code.collect()} == {("A", "E11", 2, 2, 1.0), ("A", "I10", 2, 0, 0.0), ("A", "Q20", 1, 0, 0.0), ("B", "I10", 1, 1, 1.0)}
+    assert {(r["model"], r["chapter"], r["gt_n"], r["match_n"]) for r in by_chapter.collect()} == {("A", "E", 2, 2), ("A", "I", 2, 0), ("A", "Q", 1, 0), ("B", "I", 1, 1)}
+    assert {r["code3"] for r in metrics.recall_by_code(best, 2).collect()} == {"E11", "I10"}
+    for df in (by_code, by_chapter):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
