@@ -58,10 +58,31 @@ def text_features(texts: DataFrame, concepts=vocab.SURGERY_CONCEPTS_12) -> DataF
                     T.concept_set("_low", concepts, lowered=True).alias("concepts"))
 
 
-def _pairs_with(pairs: DataFrame, features: DataFrame, side: str) -> DataFrame:
-    """``pairs`` with the features of the text that its column ``side`` addresses, as a struct of the same name."""
-    f = features.select(F.col("digest").alias(side), F.struct(*[c for c in features.columns if c != "digest"]).alias("_f"))
-    return pairs.join(f, side).select(*[c for c in pairs.columns if c != side], F.col(side).alias(side + "_digest"), F.col("_f").alias(side))
+#: Generations that meet at one place, about.
+PLACE_ROWS = 2048
+
+
+def places(ids: DataFrame, most: int = PLACE_ROWS) -> DataFrame:
+    """(patient_id, _least, _parts, _own): where a record's texts (digest) meet. Records that share texts mostly share their place, so a
+    text travels once to a place and not once to each record: a place is the least hash of a record's texts. One of more than ``most``
+    generations is cut into ``_parts``, and a record that has more by itself into ``_own``."""
+    least = ids.groupBy("patient_id").agg(F.min(F.xxhash64("digest")).alias("_least"), F.count(F.lit(1)).alias("_rows"))
+    full = least.groupBy("_least").agg(F.sum("_rows").alias("_all")).filter(F.col("_all") > most)
+    return least.join(full, "_least", "left").select("patient_id", "_least", F.coalesce(F.ceil(F.col("_all") / most), F.lit(1)).alias("_parts"), F.ceil(F.col("_rows") / most).alias("_own"))
+
+
+def with_texts(rows: DataFrame, at: DataFrame, digests: Column, texts: DataFrame, made: Callable[[Column], Column], cut: Column | None = None) -> DataFrame:
+    """``rows`` (patient_id, ...) with ``_texts``, a map from the address of each text of their place (``at``, see ``places``) to what
+    ``made`` makes of its row in ``texts`` (digest, ...); ``digests`` are those that a row needs, an array. Each text is sent to each
+    place once. ``cut`` tells a record's rows apart, if they may lie at several places."""
+    share = F.pmod(F.xxhash64(cut), F.col("_own")) if cut is not None else F.lit(0)
+    dealt = rows.join(at, "patient_id").withColumn("_at", F.xxhash64("_least", F.pmod(F.xxhash64("patient_id", share), F.col("_parts")))).drop("_least", "_parts", "_own").repartition("_at")
+    # either branch gives the same addresses: the condition reads all columns, so that both readers of the dealt rows are given the same ones and they are dealt out once
+    needs = F.when(F.xxhash64(*dealt.columns) == 0, F.reverse(digests)).otherwise(digests)
+    wanted = dealt.select("_at", F.explode_outer(needs).alias("digest")).distinct()  # outer: no filter of its own goes below the dealing
+    found = wanted.join(texts, "digest").groupBy("_at").agg(F.collect_list(F.struct(*texts.columns)).alias("_found"))  # of a bounded number of generations
+    found = found.select("_at", F.map_from_entries(F.transform("_found", lambda x: F.struct(x["digest"].alias("digest"), made(x).alias("made")))).alias("_texts"))
+    return dealt.join(found, "_at").drop("_at")
 
 
 def completion_scores(gens: DataFrame, truth: DataFrame, concepts=vocab.SURGERY_CONCEPTS_12,
@@ -71,24 +92,35 @@ def completion_scores(gens: DataFrame, truth: DataFrame, concepts=vocab.SURGERY_
     and the mean token Jaccard (reconstruction).
 
     ``truth``: (model, patient_id, expected) — the expected completion per model. ``gens`` hold their texts (gen), or address
-    them in ``texts`` (digest, text; one row per distinct text). Generations and truths meet as addresses, once for a record
-    and its models and generations that repeat them. A pair takes one text with it, the generation's normal form, to the
-    other; tokens are cut where the two meet, as their hashes would weigh more than the text on the way."""
+    them in ``texts`` (digest, text; one row per distinct text)."""
     ids, texts = (gens.select(*KEY, "digest"), texts) if texts is not None else addressed(gens)
+    return completion_scores_by(ids.withColumn("scorer", F.lit(0)), truth, [(concepts, empty_is_hit)], texts).drop("scorer")
+
+
+def completion_scores_by(gens: DataFrame, truth: DataFrame, scorers: list[tuple[list[str], bool]], texts: DataFrame) -> DataFrame:
+    """A14 for several tables of generations in one pass: (scorer, model, patient_id, scores) as ``completion_scores`` with the
+    concepts and the rule for empty truths of ``scorers[scorer]``. ``gens``: (scorer, model, patient_id, digest), in ``texts``.
+
+    Generations and truths meet as addresses, once for a record and its scorers, models and generations that repeat them. Each
+    distinct text is normalised once; its normal form goes once to a place where many records meet (``places``), and is cut into
+    words there, once for all its pairs."""
+    by = ["scorer", *KEY]
     want, expected = addressed(truth, "expected", tuple(KEY))
-    features = text_features(texts.select("digest", "text").union(expected).dropDuplicates(["digest"]), concepts)
-    features = materialize(features.select("digest", "norm", F.size("tokens").alias("n"), F.array_join("concepts", ",").alias("concepts")), "features")
+    features = text_features(texts.select("digest", "text").union(expected).dropDuplicates(["digest"]), list(dict.fromkeys(c for some, _ in scorers for c in some)))
+    features = features.select("digest", "norm", F.array(*[F.array_join(F.filter("concepts", lambda c: c.isin(*some)), ",") for some, _ in scorers]).alias("concepts"))  # noqa: B023
     per_record = want.groupBy("patient_id").agg(F.collect_list(F.struct("model", "digest")).alias("_want"))  # its models, a few
-    met = ids.join(per_record, "patient_id").select(*KEY, F.col("digest").alias("g"), F.explode(F.filter("_want", lambda w: w["model"] == F.col("model"))["digest"]).alias("e"))
-    met = met.groupBy(*KEY, "g", "e").agg(F.count(F.lit(1)).alias("_n"))
-    met = met.groupBy("patient_id", "g", "e").agg(F.collect_list(F.struct("model", "_n")).alias("_models"))
-    both = _pairs_with(_pairs_with(met, features, "g").drop("g_digest"), features, "e")
-    common = F.size(F.array_intersect(F.split("g.norm", " "), F.split("e.norm", " ")))  # of distinct tokens; an empty text's size rules
-    compared = both.select("patient_id", "_models", T.collapse_hit("g.norm", "e.norm", empty_is_hit).cast("int").alias("_collapse"),
-                           (F.col("g.concepts") == F.col("e.concepts")).cast("int").alias("_combo"), F.col("g.n").alias("_a"), F.col("e.n").alias("_b"), common.alias("_both"))
+    met = gens.join(per_record, "patient_id").select(*by, F.col("digest").alias("g"), F.explode(F.filter("_want", lambda w: w["model"] == F.col("model"))["digest"]).alias("e"))
+    met = met.groupBy(*by, "g", "e").agg(F.count(F.lit(1)).alias("_n"))
+    met = met.groupBy("patient_id", "g", "e").agg(F.collect_list(F.struct("scorer", "model", "_n")).alias("_models"))
+    words = lambda norm: F.transform(T.token_set(norm), lambda w: F.xxhash64(w))
+    both = with_texts(met, places(gens), F.array("g", "e"), features, lambda x: F.struct(x["norm"].alias("norm"), words(x["norm"]).alias("words"), x["concepts"].alias("concepts")), F.col("g"))
+    both = both.select("patient_id", "_models", F.element_at("_texts", F.col("g")).alias("g"), F.element_at("_texts", F.col("e")).alias("e"))
+    compared = both.select("patient_id", "_models", F.array(*[T.collapse_hit("g.norm", "e.norm", empty).cast("int") for _, empty in scorers]).alias("_collapse"),
+                           F.transform(F.arrays_zip(F.col("g.concepts").alias("a"), F.col("e.concepts").alias("b")), lambda c: (c["a"] == c["b"]).cast("int")).alias("_combo"),
+                           F.size("g.words").alias("_a"), F.size("e.words").alias("_b"), F.size(F.array_intersect("g.words", "e.words")).alias("_both"))
     compared = compared.select("patient_id", "_models", "_collapse", "_combo", T.jaccard_of_sizes("_a", "_b", "_both").alias("_jac"))  # a column of its own: read twice, made once
-    per = compared.select("patient_id", F.explode("_models").alias("_m"), "_collapse", "_combo", "_jac").select(
-        "_m.model", "patient_id", F.col("_m._n").alias("n"), "_collapse", "_combo", "_jac").groupBy(*KEY)
+    per = compared.select("patient_id", F.explode_outer("_models").alias("_m"), "_collapse", "_combo", "_jac")  # never empty; outer as in ``with_texts``
+    per = per.select("_m.scorer", "_m.model", "patient_id", F.col("_m._n").alias("n"), F.get("_collapse", F.col("_m.scorer")).alias("_collapse"), F.get("_combo", F.col("_m.scorer")).alias("_combo"), "_jac").groupBy(*by)
     n = F.sum("n")
     return per.agg((F.sum(F.col("_collapse") * F.col("n")) / n).alias("collapse_score"), (F.sum(F.col("_combo") * F.col("n")) / n).alias("combo_score"),
                    (F.sum(F.col("_jac") * F.col("n")) / n).alias("reconstruction_score"), n.alias("n_generations"))
