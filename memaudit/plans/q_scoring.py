@@ -147,8 +147,10 @@ def regime_scores(spark, sf_dir):
     sp = sp.select("patient_id", "split", "rarity_group")
     truth = completion_truth(c)
     (ids, texts), (twice, _) = addressed_generations(c), addressed_generations(c, 2)
-    old = scoring.completion_scores(ids, truth, CONCEPTS, empty_is_hit=True, texts=texts)
-    new = scoring.completion_scores(twice, truth, vocab.SURGERY_CONCEPTS_11, empty_is_hit=False, texts=texts)
+    # both scorers in one pass over the texts: most of their pairs are the same
+    both = ids.withColumn("scorer", F.lit(0)).unionByName(twice.withColumn("scorer", F.lit(1)))
+    scored = materialize(scoring.completion_scores_by(both, truth, [(CONCEPTS, True), (vocab.SURGERY_CONCEPTS_11, False)], texts), "both-scores")
+    old, new = (scored.filter(F.col("scorer") == k).drop("scorer") for k in (0, 1))
     archive = os.path.join(checkpoint_dir(spark), f"archived-metrics-{uuid.uuid4().hex}")
     writers.write_csv(old, archive)  # the three-epoch metrics are an archived file (S6)
     both = (readers.read_metrics_csv(spark, archive, vocab.MODEL_LABELS_3).withColumn("epoch_regime", F.lit(vocab.REGIME_3))
