@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memaudit.operators import cards, datasets, metrics, records
+from memaudit.operators import cards, datasets, metrics, records, scoring
 from memaudit.plans.cohort import raw_cohort
-from memaudit.plans.predictions import generations, splits, stage
+from memaudit.plans.predictions import MODEL_NAMES, addressed_generations, splits, stage
 from memaudit.plans.q_cards import cards_sql_cte
 from memaudit.plans.q_codes import CODE_CTES, best
 from memaudit.plans.q_datasets import ATTACK_PROMPTS_SQL, CHAT_SQL, VARIANTS, attack_prompts_all
@@ -85,9 +85,12 @@ def q_prediction_files(spark, sf_dir):
     """K2 + S4: the generations of each record as one array per line, one file set per model; the model is read off its name."""
     path = folder(spark, "predictions")
     c, _ = stage(spark, sf_dir, ("full", "coarsened"))
-    arrays = generations(c).groupBy("model", "patient_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("gen_idx", "gen"))), lambda g: g["gen"]).alias("generations"))  # ten a record
-    named = arrays.withColumn("file", F.concat("model", F.lit("_predictions.jsonl")))
-    writers.write_jsonl(named.select("patient_id", "generations", "file"), path, partition_by=["file"], compression="gzip")  # every text thirty times
+    ids, texts = addressed_generations(c)
+    lines = ids.groupBy("model", "patient_id").agg(F.collect_list(F.struct("gen_idx", "digest")).alias("_made"))  # ten a record
+    lines = scoring.with_texts(lines, scoring.places(ids), F.col("_made.digest"), texts, lambda x: x["text"])
+    made = F.transform("_made", lambda g: F.struct(g["gen_idx"], F.element_at("_texts", g["digest"]).alias("gen")))
+    named = lines.select("patient_id", F.transform(F.array_sort(made), lambda g: g["gen"]).alias("generations"), F.concat("model", F.lit("_predictions.jsonl")).alias("file"))
+    writers.write_jsonl(named, path, partition_by=["file"], compression="gzip", open_files=len(MODEL_NAMES))  # every text thirty times
     back = readers.read_predictions(spark, path, r"file=([^/]+?)_(gene|size|icd10)?_?predictions\.jsonl/[^/]+$")
     return back.select("model", "patient_id", F.posexplode("generations").alias("gen_idx", "gen")).select("model", "patient_id", F.col("gen_idx").cast("bigint").alias("gen_idx"), _md5("gen").alias("gen_md5"))
 

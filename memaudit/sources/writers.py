@@ -18,14 +18,23 @@ def write_cards(cards: DataFrame, path: str) -> None:
      .option("ignoreNullFields", "false").json(path))
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None, compression: str | None = None) -> None:
-    """K2: prompts / chat records as UTF-8 JSONL (non-ASCII kept as is), plain or by a codec that the readers know by the files' ending."""
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None, compression: str | None = None, open_files: int = 0) -> None:
+    """K2: prompts / chat records as UTF-8 JSONL (non-ASCII kept as is), plain or by a codec that the readers know by the files' ending.
+
+    With ``open_files`` a task keeps that many of its files open and does not sort its lines by ``partition_by``; only a task with more files does."""
     w = df.write.mode(mode)
     if compression:
         w = w.option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.json(path)
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    try:
+        if open_files:
+            conf.set(name, str(open_files))
+        w.json(path)
+    finally:
+        conf.set(name, before)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

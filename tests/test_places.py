@@ -1,10 +1,15 @@
 """Places where texts meet: a text goes to a place once, and no result depends on how records are dealt to places."""
 
+import glob
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
 from memaudit.functions import vocab
 from memaudit.operators import scoring
+from memaudit.plans import predictions
+from memaudit.sources import writers
 
 WORDS = ["aortic", "root", "replacement", "tevar", "i71", "e11", "none", "é", "ab"]
 
@@ -87,3 +92,20 @@ def test_texts_are_dealt_out_once(spark):
     # the pairs are dealt to their places once, for both readers; each text goes there with its address
     dealt = [line for line in plan.splitlines() if "hashpartitioning(_at" in line]
     assert len([line for line in dealt if "ReusedExchange" not in line]) == 2 and any("REPARTITION_BY_COL" in line for line in dealt), dealt
+
+
+def test_lines_are_written_unsorted_with_all_texts(spark, tmpdir_path):
+    cards = spark.createDataFrame([(f"row_{k}", m, f"{m} {k} said") for k in range(25) for m in ("full", "coarsened")], "patient_id string, mode string, text string")
+    ids, texts = predictions.addressed_generations(cards)
+    lines = ids.groupBy("model", "patient_id").agg(F.collect_list(F.struct("gen_idx", "digest")).alias("_made"))
+    got = scoring.with_texts(lines, scoring.places(ids), F.col("_made.digest"), texts, lambda x: x["text"])
+    got = got.select("model", "patient_id", F.explode("_made").alias("m"), "_texts").select("model", "patient_id", "m.gen_idx", F.element_at("_texts", F.col("m.digest")).alias("gen"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, predictions.generations(cards).collect()))
+
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    rows = spark.range(0, 40, 1, 1).select((F.col("id") % 3).alias("file"), F.col("id"))
+    writers.write_jsonl(rows, tmpdir_path, partition_by=["file"], compression="gzip", open_files=3)
+    assert spark.conf.get(name) == before
+    held = [[line for f in glob.glob(f"{tmpdir_path}/file={k}/*.gz") for line in gzip.open(f, "rt").read().splitlines()] for k in range(3)]
+    assert held == [[f'{{"id":{i}}}' for i in range(k, 40, 3)] for k in range(3)]
