@@ -288,7 +288,7 @@ def best_code_recall(gens: DataFrame, targets: DataFrame, texts: DataFrame | Non
     met = pairs.join(found, "digest").drop("digest").join(goal, "patient_id")
     places = F.transform(F.array_intersect("_said", "_numbers"), lambda x: F.array_position("_numbers", x))
     others = F.transform(F.array_intersect("_odd", "_cats"), lambda c: F.array_position("_cats", c))
-    met = met.select("patient_id", "_n", "_weights", F.filter("_made", lambda m: F.array_contains("_for", m["model"])).alias("_made"),
+    met = met.select("patient_id", "_n", "_weights", "_for", "_made",
                      F.when(F.col("_odd").isNull(), places).otherwise(F.concat(places, others)).alias("_places"))
     hits = F.aggregate("_places", F.lit(0), lambda n, p: n + F.get("_weights", (p - 1).cast("int")))
 
@@ -297,7 +297,9 @@ def best_code_recall(gens: DataFrame, targets: DataFrame, texts: DataFrame | Non
         return F.aggregate(inside, F.lit(0).cast("bigint"), lambda m, p: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), ((p - 1) % _BITS).cast("int"))))
 
     masks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_weights") - 1) / _BITS).cast("int")), mask)
-    met = met.select("patient_id", "_n", "_made", hits.alias("_hits"), F.posexplode(masks).alias("_code_part", "_mask")).select("patient_id", "_n", "_hits", "_code_part", "_mask", F.explode("_made").alias("_m"))
+    # none is empty; outer, as a filter by size would make the masks twice
+    met = met.select("patient_id", "_n", "_for", "_made", hits.alias("_hits"), F.posexplode_outer(masks).alias("_code_part", "_mask")).select("*", F.explode_outer("_made").alias("_m"))
+    met = met.filter(F.array_contains("_for", F.col("_m.model")))
     rank = F.col("_hits").cast("bigint") * _PLACE + (F.lit(_PLACE // 2) - F.col("_m.gen_idx").cast("bigint"))
     # numbers alone: kept in place in a hash table, and combined before anything else is
     best = met.select("_m.model", "patient_id", "_code_part", "_n", "_mask", rank.alias("_rank")).groupBy(*KEY, "_code_part").agg(
