@@ -31,7 +31,7 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     before = conf.get(name)
     try:
         if open_files:
-            conf.set(name, str(open_files))
+            conf.set(name, str(open_files + 1))  # a task that reaches the number begins to sort
         w.json(path)
     finally:
         conf.set(name, before)
